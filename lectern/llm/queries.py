@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lectern.llm.minhash import op4_minhash
 from lectern.llm.mixing import MIX_SQL, op10_mix
 from lectern.llm.packing import op1_best_fit_packing
 from lectern.llm.tokens import op5_token_counts
@@ -9,6 +10,7 @@ from lectern.llm.warc import WARC_SQL, op8_warc
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_minhash": op4_minhash,
     "op5_token_counts": op5_token_counts,
     "op8_warc": op8_warc,
     "op10_mix": op10_mix,
