@@ -5,12 +5,14 @@ from __future__ import annotations
 from lectern.llm.minhash import op4_minhash
 from lectern.llm.mixing import MIX_SQL, op10_mix
 from lectern.llm.packing import op1_best_fit_packing
+from lectern.llm.pii import op3_pii
 from lectern.llm.suffixes import op9_suffix_array
 from lectern.llm.tokens import op5_token_counts
 from lectern.llm.warc import WARC_SQL, op8_warc
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_pii": op3_pii,
     "op4_minhash": op4_minhash,
     "op5_token_counts": op5_token_counts,
     "op8_warc": op8_warc,
