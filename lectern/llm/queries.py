@@ -8,6 +8,7 @@ from lectern.llm.packing import op1_best_fit_packing
 from lectern.llm.pii import op3_pii
 from lectern.llm.suffixes import op9_suffix_array
 from lectern.llm.tokens import op5_token_counts
+from lectern.llm.toxicity import op6_toxicity
 from lectern.llm.warc import WARC_SQL, op8_warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_minhash": op4_minhash,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op8_warc": op8_warc,
     "op9_suffix_array": op9_suffix_array,
     "op10_mix": op10_mix,
