@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lectern.llm.ann import op2_nearest
 from lectern.llm.minhash import op4_minhash
 from lectern.llm.mixing import MIX_SQL, op10_mix
 from lectern.llm.packing import op1_best_fit_packing
@@ -13,6 +14,7 @@ from lectern.llm.warc import WARC_SQL, op8_warc
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_nearest": op2_nearest,
     "op3_pii": op3_pii,
     "op4_minhash": op4_minhash,
     "op5_token_counts": op5_token_counts,
