@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern.llm.ann import op2_nearest
+from lectern.llm.embedding_dedup import op7_embedding_dedup
 from lectern.llm.minhash import op4_minhash
 from lectern.llm.mixing import MIX_SQL, op10_mix
 from lectern.llm.packing import op1_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_warc": op8_warc,
     "op9_suffix_array": op9_suffix_array,
     "op10_mix": op10_mix,
