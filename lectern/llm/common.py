@@ -55,3 +55,16 @@ def mix64(x):
 
 def least_id(left: str, right: str) -> F.Column:
     return F.least(F.col(left), F.col(right))
+
+
+#: Ids up to which a list of them (8 bytes each) is broadcast to filter rows; beyond, rows are joined.
+MAX_BROADCAST_IDS = 500_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, column: str, keep: bool) -> DataFrame:
+    """Rows whose ``column`` is (keep) or is not (not keep) among ``ids(id)``, which are distinct and written.
+
+    A null is never among them.
+    """
+    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, rows[column] == ids["id"], "left_semi" if keep else "left_anti")

@@ -12,7 +12,7 @@ from lectern.llm.components import connected_components
 LEAST = 0.9
 CELL_ROWS = 800  # vectors per centroid, on average
 MAX_CENTROIDS, MAX_SAMPLE = 4096, 20_000  # centroids are fitted on a sample of at most so many vectors
-OVERLAP = 2  # nearest centroids whose shards a vector belongs to
+OVERLAP = 3  # nearest centroids whose shards a vector belongs to
 BLOCK_ROWS = 2048  # half of what a task holds at most; larger cells are dealt in pairs of blocks
 BEAM = 48
 AUDIT_QUERIES, LEAST_RECALL = 256, 0.99

@@ -8,13 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mix64, read_table, words_of, written
+from lectern.llm.common import by_ids, mix64, read_table, words_of, written
 from lectern.llm.components import connected_components
 
 BANDS, ROWS = 40, 6  # two sets at similarity 0.8 share no band with probability (1 - 0.8^6)^40 = 5e-6
 STAR_ROUNDS = 4
-#: Ids up to which a list of them (8 bytes each) is broadcast to filter texts; beyond, the texts are joined.
-MAX_BROADCAST_IDS = 500_000
 MAX_KEPT = 1_000_000
 
 
@@ -139,16 +137,10 @@ def shingle_table(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sets, "doc_id long, shingles array<long>")
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` is among the distinct ``ids(id)``: by broadcast while these are few, else by a join."""
-    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, rows[column] == ids["id"], "left_semi")
-
-
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    mine = only_ids(sets, ids, "doc_id")
+    mine = by_ids(sets, ids, "doc_id", keep=True)
     both = (pairs.join(mine.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
             .join(mine.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -174,9 +166,8 @@ def links(sig: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame
     met = written(rows.join(hubs.select("key", F.col("h.d").alias("hub"), F.col("h.n").alias("hub_n"), "c"), "key").where("d <> hub"))
     pairs = written(met.where(fits).select(*pair).distinct())
     rest = met.where("c > 2").select("key", "d", "n")
-    sets = written(shingle_table(only_ids(docs, written(
-        pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(rest.select("d")).distinct()), "doc_id"), size)
-        .dropDuplicates(["doc_id"]))
+    wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(rest.select("d")).distinct())
+    sets = written(shingle_table(by_ids(docs, wanted, "doc_id", keep=True), size).dropDuplicates(["doc_id"]))
     found, tried = written(confirm(pairs, sets, percent)), pairs
     orders: list[Callable] = [lambda: F.struct(-F.col("n"), F.col("d")), lambda: F.struct(F.xxhash64("d"), F.col("d")), lambda: F.struct(F.col("n"), F.col("d"))]
     for turn in range(STAR_ROUNDS):
@@ -218,5 +209,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents that ``near_duplicates`` doesn't keep, and one row of each repeated doc_id."""
+    found = near_duplicates(docs, size, percent)
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("id")).distinct())
+    rest = by_ids(docs, gone, "doc_id", keep=False)
+    again = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"))
+    if again.limit(1).count() == 0:
+        return rest
+    return by_ids(rest, again, "doc_id", keep=False).unionByName(by_ids(rest, again, "doc_id", keep=True).dropDuplicates(["doc_id"]))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), size=2)

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mix64, read_table, shuffle_partitions, written
+from lectern.llm.common import by_ids, mix64, read_table, shuffle_partitions, written
 
 LENGTH = 100  # bytes of a string that counts as repeated
 GRAM = 32  # bytes of a gram; each LENGTH-byte string is filed under its gram of least hash
@@ -253,8 +253,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     base = base.join(first.select("doc_id", F.lit(True).alias("is_first")).distinct(), "doc_id", "left")
     copies = written(base.where((F.col("n_bytes") >= LENGTH) & F.col("doc_id").isNotNull() & F.col("is_first").isNull()).select("doc_id"))
     originals = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    few = copies.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    originals = originals.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
+    originals = by_ids(originals, copies.select(F.col("doc_id").alias("id")), "doc_id", keep=False)
 
     runs = suffix_sort(strings_table(originals))
     whole = runs.where("same_before").select("doc", "pos", "n")
@@ -293,9 +292,5 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         F.when(gone, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.coalesce("spans", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"))).alias("spans"))
 
 
-#: Ids of whole copies up to which they are broadcast (8 bytes each); beyond, they are joined.
-MAX_BROADCAST_IDS = 500_000
-
-
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(read_table(spark, sf_dir, "documents")).drop("spans")

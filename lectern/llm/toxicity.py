@@ -10,7 +10,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import read_table, written
+from lectern.llm.common import by_ids, read_table, written
 
 #: Labelled rows that the model is fitted on at most (a hash-chosen sample of them, where there are more).
 MAX_LABELLED = 16_000
@@ -194,5 +194,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without those predicted to be toxic; of rows that share an id all go if one does, a null id stays."""
+    gone = toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    return by_ids(docs, written(gone), "doc_id", keep=False)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
