@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import by_ids, mix64, read_table, shuffle_partitions, written
 
 LENGTH = 100  # bytes of a string that counts as repeated
-GRAM = 32  # bytes of a gram; each LENGTH-byte string is filed under its gram of least hash
+GRAM = 50  # bytes of a gram; each LENGTH-byte string is filed under its gram of least hash
 _BASE = 0x9E3779B97F4A7C15
 _SECOND = 0xC2B2AE3D27D4EB4F
 _tables: dict[int, tuple] = {}
@@ -242,7 +242,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     it also starts earlier: in a document with a smaller id, or earlier in the same one. All strings
     are judged on the input. Whole copies of a text need no sorting: all but the first have every byte
     covered. Strings of the others are filed in runs under the least gram fingerprint
-    (about one run per 35 bytes), and the runs' suffixes are sorted: a run equal to an earlier one is
+    (about one run per 26 bytes), and the runs' suffixes are sorted: a run equal to an earlier one is
     removed whole; a run that shares only its first token is opened, and its single strings are sorted likewise.
     Ids must be present and unique: a row with a null id is compared with nothing and keeps all bytes, and of rows
     that share an id each must hold the same text. Other columns are ignored.
