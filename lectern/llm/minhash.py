@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lectern.llm.common import by_ids, mix64, read_table, words_of, written
 from lectern.llm.components import connected_components
 
 BANDS, ROWS = 40, 6  # two sets at similarity 0.8 share no band with probability (1 - 0.8^6)^40 = 5e-6
-STAR_ROUNDS = 4
 MAX_KEPT = 1_000_000
 
 
@@ -152,9 +151,9 @@ def links(sig: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame
     """Confirmed edges (a, b) that join whatever is similar, between documents of different shingle sets.
 
     A bucket's documents are compared with one of them, its hub, and not with each other: edges are a
-    star. A document that its hub does not confirm may still be like another one, so a bucket whose rest
-    lies in several components gets a new hub (another order each round), and after ``STAR_ROUNDS`` the pairs across
-    components that are left are all compared. No link is lost to the stars; most buckets end in the first round.
+    star. A document that its hub does not confirm may still be like another one: the documents of buckets whose hub
+    did not confirm all others are then compared across components by exact prefix filtering, so no link is lost to
+    the stars.
     """
     least = sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     unique = sig.join(least.select("id"), sig["doc_id"] == F.col("id"), "left_semi")
@@ -165,28 +164,40 @@ def links(sig: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame
     hubs = rows.groupBy("key").agg(F.min(F.struct("d", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
     met = written(rows.join(hubs.select("key", F.col("h.d").alias("hub"), F.col("h.n").alias("hub_n"), "c"), "key").where("d <> hub"))
     pairs = written(met.where(fits).select(*pair).distinct())
-    rest = met.where("c > 2").select("key", "d", "n")
+    # texts are read again only for documents that share a bucket with one of their size
+    rest = met.where("c > 2")
     wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(rest.select("d")).distinct())
     sets = written(shingle_table(by_ids(docs, wanted, "doc_id", keep=True), size).dropDuplicates(["doc_id"]))
-    found, tried = written(confirm(pairs, sets, percent)), pairs
-    orders: list[Callable] = [lambda: F.struct(-F.col("n"), F.col("d")), lambda: F.struct(F.xxhash64("d"), F.col("d")), lambda: F.struct(F.col("n"), F.col("d"))]
-    for turn in range(STAR_ROUNDS):
-        component = connected_components(found)
-        rest = rest.join(component.withColumnRenamed("id", "d"), "d", "left").select("key", "d", "n", F.coalesce("component", "d").alias("component"))
-        several = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(orders[turn % len(orders)]().alias("o"), F.col("d"), F.col("n"), F.col("component"))).alias("h")).where("lo <> hi")
-        rest = written(rest.join(several.select("key", F.col("h.d").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_c")), "key").where("d <> hub"))
-        last = turn == STAR_ROUNDS - 1
-        if rest.limit(1).count() == 0:
-            break
-        new = rest.where(fits & (F.col("component") != F.col("hub_c"))).select(*pair)
-        if last:
-            other = rest.select("key", F.col("d").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_c"))
-            new = new.union(rest.drop("hub", "hub_n", "hub_c").join(other, "key").where(fits & (F.col("d") < F.col("hub")) & (F.col("component") != F.col("hub_c"))).select(*pair))
-        new = written(new.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(new)
-        found = written(found.union(confirm(new, sets, percent)))
-        rest = rest.select("key", "d", "n")
-    return found
+    found = written(confirm(pairs, sets, percent))
+    ok = found.select("a", "b", F.lit(True).alias("ok"))
+    rest = rest.select("key", "d", "n", *pair).join(ok, ["a", "b"], "left")
+    open_ = rest.where("ok is null").select("key").distinct()
+    left = written(rest.join(open_, "key", "left_semi").select("d").distinct())
+    if left.limit(1).count() == 0:
+        return found
+    more = overlapping(left, sets, connected_components(found), percent).join(pairs, ["a", "b"], "left_anti")
+    return written(found.union(confirm(written(more), sets, percent)))
+
+
+def overlapping(ids: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the documents ``ids(d)`` that lie in different components and can be similar enough.
+
+    Exact prefix filtering: with shingles in order of rarity among these documents, two sets of the wanted similarity
+    share a shingle so early in both that the rest can still make up the overlap needed. Variants of one text,
+    each with changes of its own, begin with shingles that no other has, and meet nobody.
+    """
+    mine = by_ids(sets, ids.select(F.col("d").alias("id")), "doc_id", keep=True).select(F.col("doc_id").alias("d"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    counts = mine.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    shared = mine.join(counts, "s")
+    w = W.partitionBy("d").orderBy("df", "s")
+    place = F.row_number().over(w) + F.col("n") - F.count("*").over(W.partitionBy("d"))  # shingles of its own come first
+    early = shared.withColumn("p", place).where(100 * (F.col("p") - 1) <= (100 - percent) * F.col("n")).select("d", "n", "s", "p")
+    early = written(early.join(component.withColumnRenamed("id", "d"), "d", "left").select("d", "n", "s", "p", F.coalesce("component", "d").alias("c")))
+    other = early.select(F.col("d").alias("d2"), F.col("n").alias("n2"), "s", F.col("p").alias("p2"), F.col("c").alias("c2"))
+    most = 1 + F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2"))
+    can = (100 + percent) * most >= percent * (F.col("n") + F.col("n2"))
+    met = early.join(other, "s").where((F.col("d") < F.col("d2")) & (F.col("c") != F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & can)
+    return met.select(F.col("d").alias("a"), F.col("d2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
