@@ -1,0 +1,17 @@
+"""A place for intermediate tables that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``; below a local temporary folder where that is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-scratch-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
