@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Suffixes of steps 2 to 4 of the published algorithm and their replacements.
@@ -78,6 +78,6 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
-def porter_stem(words: pd.Series) -> pd.Series:
-    return words.map(stem)
+def porter_stem(column: str) -> Column:
+    """Stems of a column of words, in Arrow batches; meant for a distinct vocabulary."""
+    return F.pandas_udf(lambda words: words.map(stem), "string")(column)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.operators.keyword import CANDIDATES, top_k
 
@@ -32,14 +33,17 @@ def knn_exact(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, scope:
 
     n = queries.count()
     blocks = max(1, -(-n // MAX_BROADCAST_QUERIES))
+    # norms are taken once per vector, before the vectors meet
+    queries = queries.select("query_id", "qvec", F.sqrt(dot(F.col("qvec"), F.col("qvec"))).alias("_qn"))
+    chunks = chunks.withColumn("_cn", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
     parts = []
     for b in range(blocks):
         q = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         if scope is None:
-            pairs = chunks.select("chunk_id", "embedding").crossJoin(F.broadcast(q.select("query_id", "qvec")))
+            pairs = chunks.select("chunk_id", "embedding", "_cn").crossJoin(F.broadcast(q))
         else:
-            pairs = chunks.select("chunk_id", "document_id", "embedding").join(F.broadcast(scope.join(q, "query_id").select("query_id", "document_id", "qvec")), "document_id")
-        scored = pairs.select("query_id", "chunk_id", cosine(F.col("qvec"), F.col("embedding")).alias("similarity"))
+            pairs = chunks.select("chunk_id", "document_id", "embedding", "_cn").join(F.broadcast(scope.select("query_id", "document_id").join(q, "query_id")), "document_id")
+        scored = pairs.select("query_id", "chunk_id", (dot(F.col("qvec"), F.col("embedding")) / (F.col("_qn") * F.col("_cn"))).alias("similarity"))
         parts.append(top_k(scored, k, F.desc("similarity"), F.asc("chunk_id")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -106,7 +110,7 @@ def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
 def embed_passages(df: DataFrame, embedder: Embedder | None = None, text: str = "text", out: str = "embedding") -> DataFrame:
     """df plus ``out`` array<float>: vectors by a pluggable embedder, in bounded batches; a worker loads the model once."""
     model = embedder or hashing_embedder()
-    schema = df.schema.add(out, "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(frames):
         for pdf in frames:
