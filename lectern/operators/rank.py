@@ -89,9 +89,12 @@ def hybrid_candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid
         phrases = phrases if inside is None else phrases.join(inside, ["query_id", "chunk_id"], "left_semi")
         words = keyword.keyword_topk(terms, postings, scope=inside).select("query_id", "chunk_id", "rank").unionByName(phrases.select("query_id", "chunk_id", "rank"))
     c = union_candidates(found, words)
-    share = keyword.term_coverage(c, terms, postings)
+    # coverage comes from the terms' own matches, so that the candidates are made once
+    total = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    have = postings.join(terms.select("query_id", "lexeme"), "lexeme").groupBy("query_id", "chunk_id").agg(F.countDistinct("lexeme").alias("have"))
+    share = have.join(total, "query_id").select("query_id", "chunk_id", (F.col("have") / F.col("n_terms")).alias("coverage"))
     web = kw.where("mode = 'web'").select("query_id", F.lit(True).alias("web"))
-    c = c.join(share, ["query_id", "chunk_id"]).join(web, "query_id", "left").withColumn("coverage", F.when(F.col("web"), F.col("keyword_rank").isNotNull().cast("double")).otherwise(F.col("coverage"))).drop("web")
+    c = c.join(share, ["query_id", "chunk_id"], "left").join(web, "query_id", "left").withColumn("coverage", F.when(F.col("web"), F.col("keyword_rank").isNotNull().cast("double")).otherwise(F.coalesce("coverage", F.lit(0.0)))).drop("web")
     if mode == "vector":
         c = c.withColumn("coverage", F.lit(0.0))
     c = c.join(chunks.select("chunk_id", "document_id", "ordinal", "embedding"), "chunk_id").join(queries.select("query_id", "qvec"), "query_id")

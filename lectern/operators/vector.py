@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from lectern.operators.keyword import CANDIDATES, top_k
 
-#: Queries up to which the exact search broadcasts them (a few hundred bytes each); more are dealt in blocks of so many.
-MAX_BROADCAST_QUERIES = 20_000
+#: Queries (a few hundred bytes each) that a task of the exact search holds at once; more are taken in blocks of so many.
+QUERY_BLOCK = 2_000
 BATCH_TEXTS, BATCH_TOKENS, CHARS_PER_TOKEN = 128, 60_000, 4
 
 
@@ -27,25 +27,46 @@ def knn_exact(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, scope:
     """(query_id, chunk_id, similarity, rank): all passages (of the scoped documents) by cosine, the first k.
 
     queries (query_id, qvec), chunks (chunk_id, document_id, embedding), scope (query_id, document_id). The query set is
-    compared with all passages, broadcast in blocks of bounded size; a window keeps the best k per task before rows move.
+    compared with all passages in blocks of bounded size: each task multiplies its passages with a block as matrices and
+    hands on the best k alone. Scoped searches join on the document first and score only what is in scope.
     """
     from functools import reduce
 
-    n = queries.count()
-    blocks = max(1, -(-n // MAX_BROADCAST_QUERIES))
-    # norms are taken once per vector, before the vectors meet
-    queries = queries.select("query_id", "qvec", F.sqrt(dot(F.col("qvec"), F.col("qvec"))).alias("_qn"))
-    chunks = chunks.withColumn("_cn", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    parts = []
-    for b in range(blocks):
-        q = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        if scope is None:
-            pairs = chunks.select("chunk_id", "embedding", "_cn").crossJoin(F.broadcast(q))
-        else:
-            pairs = chunks.select("chunk_id", "document_id", "embedding", "_cn").join(F.broadcast(scope.select("query_id", "document_id").join(q, "query_id")), "document_id")
+    if scope is not None:
+        q = queries.select("query_id", "qvec", F.sqrt(dot(F.col("qvec"), F.col("qvec"))).alias("_qn"))
+        c = chunks.select("chunk_id", "document_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("_cn"))
+        pairs = c.join(scope.select("query_id", "document_id").join(q, "query_id"), "document_id")
         scored = pairs.select("query_id", "chunk_id", (dot(F.col("qvec"), F.col("embedding")) / (F.col("_qn") * F.col("_cn"))).alias("similarity"))
-        parts.append(top_k(scored, k, F.desc("similarity"), F.asc("chunk_id")))
-    return reduce(DataFrame.unionByName, parts)
+        return top_k(scored, k, F.desc("similarity"), F.asc("chunk_id"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = [best_of_tasks(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), chunks, k) for b in range(blocks)]
+    return top_k(reduce(DataFrame.unionByName, parts), k, F.desc("similarity"), F.asc("chunk_id"))
+
+
+def best_of_tasks(block: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, similarity): of one block of about QUERY_BLOCK queries, the best k of each task's passages."""
+    import numpy as np
+
+    rows = block.select("query_id", "qvec").collect()
+    ids, q = np.array([r.query_id for r in rows], np.int64), np.array([r.qvec for r in rows], np.float64)
+    q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else q
+
+    def score(batches):
+        import pyarrow as pa
+
+        kept_ids, kept = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            x = np.array(batch.column(1).to_pylist(), np.float64)
+            sims = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+            new = np.broadcast_to(np.asarray(batch.column(0), np.int64), sims.shape)
+            all_ids, sims = np.concatenate([kept_ids, new], axis=1), np.concatenate([kept, sims], axis=1)
+            order = np.lexsort((all_ids, -sims), axis=1)[:, :k]
+            kept_ids, kept = np.take_along_axis(all_ids, order, 1), np.take_along_axis(sims, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, kept.shape[1])), pa.array(kept_ids.ravel()), pa.array(kept.ravel())], names=["query_id", "chunk_id", "similarity"])
+
+    return chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding").mapInArrow(score, "query_id long, chunk_id long, similarity double")
 
 
 def hyperplane_keys(v: Column, width: int, bands: int, bits: int, seed: int = 5) -> Column:
