@@ -68,3 +68,11 @@ def by_ids(rows: DataFrame, ids: DataFrame, column: str, keep: bool) -> DataFram
     """
     few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, rows[column] == ids["id"], "left_semi" if keep else "left_anti")
+
+
+def one_per_id(docs: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each id that several rows have; rows are moved only if there are such ids. Null ids stay."""
+    again = written(docs.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("id")).count().where("count > 1").select("id"))
+    if again.limit(1).count() == 0:
+        return docs
+    return by_ids(docs, again, column, keep=False).unionByName(by_ids(docs, again, column, keep=True).dropDuplicates([column]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lectern.llm.common import by_ids, mix64, read_table, words_of, written
+from lectern.llm.common import by_ids, mix64, one_per_id, read_table, words_of, written
 from lectern.llm.components import connected_components
 
 BANDS, ROWS = 40, 6  # two sets at similarity 0.8 share no band with probability (1 - 0.8^6)^40 = 5e-6
@@ -224,11 +224,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     """``docs`` without the documents that ``near_duplicates`` doesn't keep, and one row of each repeated doc_id."""
     found = near_duplicates(docs, size, percent)
     gone = written(found.where("not kept").select(F.col("doc_id").alias("id")).distinct())
-    rest = by_ids(docs, gone, "doc_id", keep=False)
-    again = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"))
-    if again.limit(1).count() == 0:
-        return rest
-    return by_ids(rest, again, "doc_id", keep=False).unionByName(by_ids(rest, again, "doc_id", keep=True).dropDuplicates(["doc_id"]))
+    return one_per_id(by_ids(docs, gone, "doc_id", keep=False))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

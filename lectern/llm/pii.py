@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import read_table, written
+from lectern.llm.common import MAX_BROADCAST_IDS, read_table, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -174,18 +174,24 @@ def redact(docs: DataFrame) -> DataFrame:
         lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), F.concat(
             F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["kind"].alias("kind"), F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))))
         .otherwise(F.concat(acc, F.array(s))))
-    some = written(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("s_id"), F.col("row_key").alias("s_key"), F.when(F.size("spans") > 0, merge).alias("s")).dropDuplicates(["s_id", "s_key"]))
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("row_key") == F.col("s_key"))
-    whole = keyed.join(some, same, "left")
-    pieces = F.transform("s", lambda s, i: F.concat(
-        F.substring(F.col("text"), (F.when(i > 0, F.get(F.col("s"), i - 1)["end"]).otherwise(0) + 1).cast("int"), (s["start"] - F.when(i > 0, F.get(F.col("s"), i - 1)["end"]).otherwise(0)).cast("int")),
-        F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    tail = F.substring(F.col("text"), (F.element_at("s", -1)["end"] + 1).cast("int"), F.length("text"))
-    new = F.when(F.col("s").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    out = whole.withColumn("text", new)
+    names = ("_pii_id", "_pii_key", "_pii_spans", "_pii_row")
+    docs = docs.drop(*names)
+    some = written(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("row_key").alias("_pii_key"), F.when(F.size("spans") > 0, merge).alias("_pii_spans")).dropDuplicates(["_pii_id", "_pii_key"]))
+    keyed = docs.withColumn("_pii_row", F.xxhash64("doc_id", "text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (F.col("_pii_row") == F.col("_pii_key"))
+    # one short row for each text with spans: broadcast while they are few, so that texts stay where they are
+    few = some.limit(MAX_BROADCAST_IDS // 10 + 1).count() <= MAX_BROADCAST_IDS // 10
+    whole = keyed.join(F.broadcast(some) if few else some, same, "left")
+    spans, text = F.col("_pii_spans"), F.col("text")
+
+    def piece(s, i):
+        start = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+        return F.concat(F.substring(text, (start + 1).cast("int"), (s["start"] - start).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+
+    tail = F.substring(text, (F.element_at(spans, -1)["end"] + 1).cast("int"), F.length(text))
+    out = whole.withColumn("text", F.when(spans.isNull(), text).otherwise(F.concat(F.array_join(F.transform(spans, piece), ""), tail)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("s").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(spans.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(docs.columns)
 
 

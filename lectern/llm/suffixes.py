@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import by_ids, mix64, read_table, shuffle_partitions, written
+from lectern.llm.common import by_ids, mix64, one_per_id, read_table, shuffle_partitions, written
 
 LENGTH = 100  # bytes of a string that counts as repeated
 GRAM = 50  # bytes of a gram; each LENGTH-byte string is filed under its gram of least hash
@@ -253,7 +253,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     base = base.join(first.select("doc_id", F.lit(True).alias("is_first")).distinct(), "doc_id", "left")
     copies = written(base.where((F.col("n_bytes") >= LENGTH) & F.col("doc_id").isNotNull() & F.col("is_first").isNull()).select("doc_id"))
     originals = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    originals = by_ids(originals, copies.select(F.col("doc_id").alias("id")), "doc_id", keep=False)
+    originals = by_ids(one_per_id(originals), copies.select(F.col("doc_id").alias("id")), "doc_id", keep=False)
 
     runs = suffix_sort(strings_table(originals))
     whole = runs.where("same_before").select("doc", "pos", "n")

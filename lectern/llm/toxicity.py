@@ -106,7 +106,7 @@ def features_of(text: str | None, codes: _Codes, classes) -> list[float]:
 
 
 def features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
-    """(doc_id, n_chars_seen, x array<double>): FEATURES of each whole text, in one pass."""
+    """(doc_id, x array<double>): FEATURES of each whole text, in one pass."""
     fixed = frozenset(lexicon)
 
     def compute(batches):
@@ -166,7 +166,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     seed insult, 0.1 for others. Null and empty texts are scored like any other (all features 0); null ids and
     repeated rows get their own results. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic")).where(fold(F.col("doc_id")) > 0)
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     share = max_labelled / max(1, known.count())
