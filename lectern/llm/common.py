@@ -53,10 +53,6 @@ def mix64(x):
     return x ^ (x >> np.uint64(31))
 
 
-def least_id(left: str, right: str) -> F.Column:
-    return F.least(F.col(left), F.col(right))
-
-
 #: Ids up to which a list of them (8 bytes each) is broadcast to filter rows; beyond, rows are joined.
 MAX_BROADCAST_IDS = 500_000
 
