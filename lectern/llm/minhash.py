@@ -12,7 +12,7 @@ from lectern.llm.common import by_ids, mix64, one_per_id, read_table, words_of,
 from lectern.llm.components import connected_components
 
 BANDS, ROWS = 40, 6  # two sets at similarity 0.8 share no band with probability (1 - 0.8^6)^40 = 5e-6
-MAX_KEPT = 1_000_000
+MAX_KEPT = 400_000
 
 
 class _Hashes(dict):
