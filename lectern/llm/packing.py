@@ -104,7 +104,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, source_col: str, cluster_
         F.transform(F.sequence(F.lit(1), F.greatest(full, F.lit(1))), lambda i: F.struct((i - 1).alias("piece"), F.lit(capacity).cast("long").alias("n"))),
         F.array(F.struct(full.alias("piece"), rest.alias("n"))))
     # without full pieces the first entry, and without a rest the last, is not wanted
-    pieces = F.filter(pieces, lambda p: ((full > 0) & (p["piece"] < full)) | ((p["piece"] == full) & ((rest > 0) | (full == 0))))
+    pieces = F.filter(pieces, lambda p: ((p["n"] == capacity) & (p["piece"] < full)) | ((p["n"] < capacity) & ((rest > 0) | (full == 0))))
     rows = base.withColumn("p", F.explode(pieces)).select("id", "source", "cluster", F.col("p.piece").alias("piece"), F.col("p.n").alias("n"))
     n_shards = max(1, -(-base.count() // shard_rows))
     waiting = rows.where(F.col("n") > 0).withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(n_shards)))
