@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.ann import usable
-from lectern.llm.common import read_table, written
+from lectern.llm.common import read_table, shuffle_partitions, written
 from lectern.llm.components import connected_components
 
 LEAST = 0.9
@@ -69,7 +69,12 @@ def shards_of(cells: DataFrame) -> DataFrame:
     return each.select("vec_id", "u", "weight", "cells", "cell", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "blocks")
 
 
-def adjacency(shards: DataFrame) -> DataFrame:
+def one_task_each(rows: DataFrame, n_shards: int) -> DataFrame:
+    """Shards dealt to tasks of their own: they are small in bytes but long in work, so partitions must not be merged by size."""
+    return rows.repartition(max(shuffle_partitions(rows.sparkSession), 2 * n_shards), "cell", "i", "j").groupBy("cell", "i", "j")
+
+
+def adjacency(shards: DataFrame, n_shards: int) -> DataFrame:
     """(vec_id, neighbours): each shard's graph, its vectors' lists united over all shards."""
 
     def make(pdf):
@@ -83,11 +88,11 @@ def adjacency(shards: DataFrame) -> DataFrame:
         adj = build(np.stack(pdf["u"].to_numpy()).astype(np.float32))
         return pd.DataFrame({"vec_id": ids, "neighbours": [ids[a[a >= 0]] for a in adj]})
 
-    lists = shards.select("cell", "i", "j", "vec_id", "u").groupBy("cell", "i", "j").applyInPandas(make, "vec_id long, neighbours array<long>")
+    lists = one_task_each(shards.select("cell", "i", "j", "vec_id", "u"), n_shards).applyInPandas(make, "vec_id long, neighbours array<long>")
     return lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
 
 
-def linked(shards: DataFrame, flat: DataFrame, least: float) -> DataFrame:
+def linked(shards: DataFrame, flat: DataFrame, least: float, n_shards: int) -> DataFrame:
     """(vec_id, n, root) per vector and shard: confirmed links counted in this shard (with the copies of the linked), and the smallest id linked through it.
 
     Every vector searches its shard's part of the flat graph, from the medoid and from its own neighbours.
@@ -147,7 +152,7 @@ def linked(shards: DataFrame, flat: DataFrame, least: float) -> DataFrame:
         return pd.DataFrame({"vec_id": ids, "n": count, "root": ids[roots]})
 
     rows = shards.join(flat, "vec_id", "left")
-    return rows.groupBy("cell", "i", "j").applyInPandas(search, "vec_id long, n long, root long")
+    return one_task_each(rows, n_shards).applyInPandas(search, "vec_id long, n long, root long")
 
 
 def audit(unit: DataFrame, counts: DataFrame, n: int, least: float) -> float:
@@ -217,7 +222,8 @@ def _links_of_width(unit: DataFrame, least: float) -> DataFrame:
     while True:
         overlap = min(overlap, len(centroids))
         shards = written(shards_of(assigned(unit, centroids, overlap)))
-        per_shard = written(linked(shards, adjacency(shards), least))
+        n_shards = shards.select("cell", "i", "j").distinct().count()
+        per_shard = written(linked(shards, adjacency(shards, n_shards), least, n_shards))
         counts = written(per_shard.groupBy("vec_id").agg(F.sum("n").alias("n_links")))
         if overlap == len(centroids) or audit(unit, counts, n, least) >= LEAST_RECALL:
             break
