@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lectern.functions import text as T
 from lectern.operators import audit as J
@@ -144,7 +145,7 @@ def answers(spark, d):
     w = F.split(F.regexp_replace("text", '["“”\\[\\]<>]', ""), r"\s+")
     real = F.array_join(F.slice(w, 1, 5), " ")
     return t.select(F.col("doc_id").alias("answer_id"), F.col("doc_id").alias("thread_id"), F.concat(
-        F.lit('As said [P1][P7] "'), real, F.lit('" and [P2; P9] “'), F.array_join(F.slice(w, 1, 3), " "), F.lit(" ... "), F.array_join(F.slice(w, 7, 3), " "), F.lit('” <synthesis>on p. 42 and pages 10–12'), F.when(F.col("doc_id") % 2 == 0, "</synthesis> <outside>never "), F.lit(' "an invented sentence of no book" '), F.when(F.col("doc_id") % 3 == 0, "[P3, P2]</outside>").otherwise("<synth")).alias("text"))
+        F.lit('As said [P1][P7] "'), real, F.lit('" and [P2; P9] “'), F.array_join(F.slice(w, 1, 3), " "), F.lit(" ... "), F.array_join(F.slice(w, 7, 3), " "), F.lit('” <synthesis>on p. 42 and pages 10–12'), F.when(F.col("doc_id") % 2 == 0, "</synthesis> <outside>never ").otherwise(""), F.lit(' "an invented sentence of no book" '), F.when(F.col("doc_id") % 3 == 0, "[P3, P2]</outside>").otherwise("<synth")).alias("text"))
 
 
 ANSWERS = A.PARAGRAPHS + r""",
@@ -219,8 +220,8 @@ def _(spark, d):
 
 @query("j9_locate_passage")
 def _(spark, d):
-    """A document's lines are spans; its third and fourth lines together are sought in its first page."""
-    p = A.paragraphs(spark, d).where("page = 1")
-    spans = p.select(F.col("document_id").alias("page_key"), F.col("seq").cast("long").alias("idx"), "text")
-    w = p.where("seq in (2, 3)").groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return J.locate_passage(spans, w.select(F.col("document_id").alias("target_id"), F.col("document_id").alias("page_key"), "text"))
+    """A page's lines are spans; each line, together with the one after it on its page if there is one, is sought in its page."""
+    p = A.paragraphs(spark, d).withColumn("page_key", F.struct("document_id", "page"))
+    spans = p.select("page_key", F.col("seq").cast("long").alias("idx"), "text")
+    after = F.lead("text").over(W.partitionBy("page_key").orderBy("seq"))
+    return J.locate_passage(spans, p.select((F.col("document_id") * 100_000 + F.col("seq")).alias("target_id"), "page_key", F.concat_ws(" ", "text", after).alias("text")))

@@ -33,6 +33,44 @@ def test_places_on_a_page(spark):
     assert got[1] == {1, 2, 3} and {1, 4} <= got[2] and 0 not in got[2] and 3 not in got
 
 
+def documents(spark, tmp_path):
+    """Four documents whose lines fill more than one page each."""
+    rows = [(i, "\n".join(f"line {k} of book {i} tells{' again and' * 40} of thing {k}x{i}" for k in range(40))) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "length(text)::bigint as n_chars")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_answers_without_a_closed_tag_are_audited(spark, tmp_path):
+    from lectern.plans import q_context as Q
+
+    a = Q.answers(spark, documents(spark, tmp_path))
+    assert {r.answer_id for r in a.where("text is not null").collect()} == {0, 1, 2, 3}
+    kinds = {}
+    for r in J.segment_answer(a).orderBy("pos").collect():
+        kinds.setdefault(r.answer_id, []).append(r.kind)
+    assert kinds == {0: ["text", "synthesis", "outside"], 1: ["text", "synthesis"], 2: ["text", "synthesis", "outside"], 3: ["text", "synthesis"]}
+    p = spark.createDataFrame([(i, "P1", f"line 0 of book {i} tells") for i in range(4)], "thread_id long, passage_id string, text string")
+    got = {r.answer_id: (r.cited, r.unknown, r.verified, r.quotes) for r in J.audit_summary(a, p).collect()}
+    assert got == {0: (1, 4, 1, 3), 1: (1, 3, 1, 3), 2: (1, 3, 1, 3), 3: (1, 4, 1, 3)}
+
+
+def test_passages_are_located_on_every_page(spark, tmp_path):
+    from lectern.plans import adapters as A
+    from lectern.plans import q_context as Q
+
+    d = documents(spark, tmp_path)
+    lines = {(r.document_id * 100_000 + r.seq): (r.document_id, r.page, r.seq) for r in A.paragraphs(spark, d).collect()}
+    assert max(page for _, page, _ in lines.values()) > 1
+    got = {}
+    for r in Q.Q["j9_locate_passage"](spark, d).collect():
+        got.setdefault(r.target_id, set()).add(r.idx)
+    last = {}
+    for doc, page, seq in lines.values():
+        last[doc, page] = max(seq, last.get((doc, page), 0))
+    assert got == {t: {seq, min(seq + 1, last[doc, page])} for t, (doc, page, seq) in lines.items()}
+
+
 def test_jobs(spark):
     rows = [(1, "running", 16, 2), (2, "running", 16, 3), (3, "running", 3, 0), (4, "pending", 0, 0)]
     j = spark.createDataFrame(rows, "job_id long, status string, age int, attempts int").withColumns({"started_at": F.expr("timestamp '2024-01-01 12:00:00' - make_interval(0,0,0,0,0,age,0)"), "error": F.lit(None).cast("string"), "created_at": F.lit(0)})
