@@ -30,10 +30,13 @@ MAYBE = {
 }
 
 #: Bootstrapping: rounds of scoring, the score from which a pattern or an instance is trusted, the distinct
-#: instances that a pattern needs, and the characters of left context that are looked at.
-ROUNDS, TRUST, SUPPORT, CONTEXT = 3, 0.9, 5, 64
-#: Candidate identifiers: tokens that hold a digit.
-TOKEN = r"(?<![^\s])[^\s0-9]*+[0-9][^\s]*+"
+#: instances that a pattern needs, and the characters that an instance found by context needs.
+ROUNDS, TRUST, SUPPORT, SHORTEST = 3, 0.9, 5, 5
+#: Marks around a known span in a text whose units are looked at, and the sign for a space inside a unit.
+GLUE, OPEN, NAMED, CLOSE = "\u0001", "\u0002", "\u0003", "\u0004"
+MARKS = f"{OPEN}[a-z]+{NAMED}|{CLOSE}"
+#: What is no part of a unit at its ends.
+PUNCTUATION = ".,;:!?\"'`()[]{}<>|/\\*#&%=~^_-\u2013\u2014\u2026\u201c\u201d\u201e\u2018\u2019\u00ab\u00bb\u00bf\u00a1"
 
 SPAN = "array<struct<kind: string, start: bigint, end: bigint>>"
 
@@ -99,67 +102,165 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def shape(token: Column) -> Column:
-    """Letters as a, digits as 9, runs of either shortened to at most four."""
-    letters = F.regexp_replace(token, r"\p{L}", "a")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(letters, "[0-9]", "9"), "a{5,}", "aaaa"), "9{5,}", "9999")
+def merged(spans: Column) -> Column:
+    """Spans in order with those that overlap as one, under the first's kind."""
+    last = lambda acc: F.element_at(acc, -1)
+    return F.aggregate(
+        spans, F.expr(f"cast(array() as {SPAN})"),
+        lambda acc, s: F.when((F.size(acc) > 0) & (last(acc)["end"] > s["start"]), F.concat(
+            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["kind"].alias("kind"), last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end")))))
+        .otherwise(F.concat(acc, F.array(s))))
+
+
+def marked(text: Column, spans: Column) -> Column:
+    """The text with marks around its (merged) spans. What has to stay one unit, a span or groups of digits, is glued."""
+    clean = F.translate(text, GLUE + OPEN + NAMED + CLOSE, "\ufffd" * 4)
+
+    def piece(s, i):
+        start = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+        inside = F.translate(F.substring(clean, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), " ", GLUE)
+        return F.concat(F.substring(clean, (start + 1).cast("int"), (s["start"] - start).cast("int")), F.lit(OPEN), s["kind"], F.lit(NAMED), inside, F.lit(CLOSE))
+
+    tail = F.substring(clean, (F.element_at(spans, -1)["end"] + 1).cast("int"), F.length(clean))
+    whole = F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), tail)).otherwise(clean)
+    return F.regexp_replace(whole, r"(?<=[0-9)]) (?=[(0-9])", GLUE)
+
+
+def bare(unit: Column) -> Column:
+    return F.btrim(F.translate(F.when(unit.contains(OPEN), F.regexp_replace(unit, MARKS, "")).otherwise(unit), GLUE, " "), F.lit(PUNCTUATION))
+
+
+def kind_of(unit: Column) -> Column:
+    return F.when(unit.contains(OPEN), F.regexp_extract(unit, f"{OPEN}([a-z]+){NAMED}", 1))
+
+
+def context_word(unit: Column) -> Column:
+    """A neighbour as contexts know it: in lower case, a known span as its kind, nothing where there is none."""
+    word = F.when(unit.contains(OPEN), F.concat(F.lit("<"), kind_of(unit), F.lit(">"))).otherwise(F.lower(F.btrim(unit, F.lit(PUNCTUATION))))
+    return F.coalesce(word, F.lit(""))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (token, start, end, left): tokens with a digit, and the word before each (null at the beginning)."""
-    found = F.filter(located(text, TOKEN), lambda x: x["end"] - x["start"] >= 5)
-    left = lambda x: F.lower(F.regexp_extract(F.substring(text, F.greatest(F.lit(1), x["start"] - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT), x["start"]).cast("int")), r"([^\s]+)\s+$", 1))
-    bare = lambda x: F.regexp_replace(x["m"], r"[^\p{L}0-9]+$", "")
-    full = F.transform(found, lambda x: F.struct(bare(x).alias("token"), x["start"].alias("start"), (x["start"] + F.length(bare(x))).alias("end"), left(x).alias("left")))
-    return F.when(text.rlike("[0-9]"), F.filter(full, lambda c: F.length(c["left"]) > 0)).otherwise(
-        F.expr("cast(array() as array<struct<token: string, start: bigint, end: bigint, left: string>>)"))
+def units_of(facts: DataFrame) -> DataFrame:
+    """(doc_id, row_key, i, kind, token, l2, l1, r1): every unit of the marked texts with the words around it."""
+    w = facts.select("doc_id", "row_key", F.split("marked", r"\s+", -1).alias("w"))
+    w = w.select("doc_id", "row_key", "w", F.concat(F.array(F.lit("")), "w").alias("l1"), F.concat(F.array(F.lit(""), F.lit("")), "w").alias("l2"), F.slice("w", F.lit(2), F.size("w")).alias("r1"))
+    u = w.select("doc_id", "row_key", F.posexplode(F.arrays_zip("w", "l1", "l2", "r1")).alias("i", "u")).where("u.w <> ''")
+    return u.select("doc_id", "row_key", "i", kind_of(F.col("u.w")).alias("kind"), bare(F.col("u.w")).alias("token"), *[context_word(F.col(f"u.{c}")).alias(c) for c in ("l2", "l1", "r1")]).where("token <> ''")
 
 
-def bootstrap(instances: DataFrame) -> DataFrame:
-    """(left, shape, kind) of trusted patterns, from distinct (left, shape, token, kind) with kind null for unlabelled ones.
+def patterns_of() -> Column:
+    """Array of (side, anchor, pattern) of a unit: the word before it, two words before it, the words on both sides, the word after it;
+    each for units of its coarse class (with a digit, with another sign, of letters alone) and for all units."""
+    coarse = F.when(F.col("token").rlike("[0-9]"), "9").when(F.col("token").rlike(r"[^\p{L}]"), ".").otherwise("a")
+    l2, l1, r1 = F.col("l2"), F.col("l1"), F.col("r1")
+    contexts = [("l", l1, l1 != "", F.concat(l1, F.lit(" _"))), ("l", l1, (l1 != "") & (l2 != ""), F.concat(l2, F.lit(" "), l1, F.lit(" _"))),
+                ("l", l1, (l1 != "") & (r1 != ""), F.concat(l1, F.lit(" _ "), r1)), ("r", r1, r1 != "", F.concat(F.lit("_ "), r1))]
+    return F.array_compact(F.array(*[F.when(there, F.struct(F.lit(side).alias("side"), anchor.alias("anchor"), F.concat(c, F.lit(" "), words).alias("pattern")))
+                                     for side, anchor, there, words in contexts for c in (coarse, F.lit("*"))]))
 
-    A bipartite graph joins lexical patterns (left word, token shape) to the tokens that they occur with.
-    Seeds are tokens that the fixed patterns know, at score 1 for their kind. In each round a pattern's score is
-    the mean score of its instances, an instance's the largest score among its trusted patterns. Counts are of distinct
-    tokens: copies of a text add nothing. Sums are combined before their shuffles.
+
+def small(rows: DataFrame) -> DataFrame:
+    """Written rows (a few dozen bytes each), broadcast while they are few."""
+    most = MAX_BROADCAST_IDS // 10
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def some(rows: DataFrame) -> bool:
+    return rows.limit(1).count() > 0
+
+
+def instances_of(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Distinct (pattern, token) of all units in the wanted (side, anchor, pattern)s; most units go by their next words alone."""
+    near = units
+    for side, word in (("l", "l1"), ("r", "r1")):
+        anchors = written(wanted.where(F.col("side") == side).select(F.col("anchor").alias(f"anchor_{side}")).distinct())
+        near = near.join(small(anchors), F.col(word) == F.col(f"anchor_{side}"), "left")
+    near = near.where("anchor_l is not null or anchor_r is not null").select("token", F.explode(patterns_of()).alias("p")).select("token", "p.pattern")
+    return written(near.join(small(written(wanted.select("pattern"))), "pattern").select("pattern", "token").distinct())
+
+
+def bootstrap(units: DataFrame) -> DataFrame | None:
+    """(doc_id, row_key, i, kind) of the units found by trusted contextual patterns; None if there are none.
+
+    A bipartite graph joins lexical patterns to the tokens that they occur with. Seeds are tokens that the fixed patterns
+    know, at score 1 for their kind. In each round a pattern's score is the mean score of all its instances, an instance's
+    the largest score among its trusted patterns; what is found this way leads to further patterns in the next round.
+    A token of letters alone must have TRUST of its occurrences in trusted patterns besides, or it is a plain word. Counts
+    of instances are of distinct tokens: copies of a text add nothing. Sums are combined before their shuffles; a
+    round reads the units once for the new patterns and once for the new tokens, and only if there are such.
     """
-    kinds = instances.where("kind is not null").groupBy("token").agg(F.min("kind").alias("kind"))
-    edges = written(instances.select("left", "shape", "token").distinct())
-    scores = kinds.withColumn("score", F.lit(1.0))
-    for turn in range(ROUNDS):
+    from functools import reduce
+
+    seeds = units.where("kind is not null").select("token", "kind", F.explode(patterns_of()).alias("p")).select("token", "kind", "p.*").distinct()
+    seeds = written(seeds)
+    scores = written(seeds.groupBy("token").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)))
+    touched, parts, edges, asked, trusted = seeds.drop("kind").distinct(), [], None, None, None
+    for _ in range(ROUNDS):
+        # fewer known instances than SUPPORT can't reach TRUST
+        wanted = touched.groupBy("side", "anchor", "pattern").agg(F.countDistinct("token").alias("n")).where(F.col("n") >= SUPPORT).drop("n")
+        wanted = written(wanted if asked is None else wanted.join(asked, "pattern", "left_anti").select("side", "anchor", "pattern"))
+        if some(wanted):
+            new = instances_of(units, wanted)
+            edges, asked = (new, wanted) if edges is None else (edges.union(new), asked.union(wanted))
+        if edges is None:
+            return None
         seen = edges.join(scores, "token", "left")
-        per_kind = seen.groupBy("left", "shape", "kind").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(0.0))).alias("sum"))
-        total = per_kind.groupBy("left", "shape").agg(F.sum("n").alias("n"), F.max(F.struct("sum", "kind")).alias("best"))
-        trusted = total.select("left", "shape", F.col("best.kind").alias("kind"), (F.col("best.sum") / F.col("n")).alias("score"), "n").where(
-            (F.col("n") >= SUPPORT) & (F.col("score") >= TRUST) & F.col("kind").isNotNull())
-        trusted = written(trusted)
-        if turn < ROUNDS - 1:
-            more = edges.join(trusted, ["left", "shape"]).groupBy("token").agg(F.max(F.struct("score", "kind")).alias("best")).select("token", F.col("best.kind").alias("kind"), F.col("best.score").alias("score"))
-            scores = written(scores.select("token", "kind", "score").union(more.join(kinds, "token", "left_anti").select("token", "kind", "score")).groupBy("token").agg(F.max(F.struct("score", "kind")).alias("b")).select("token", "b.kind", "b.score"))
-    return trusted.select("left", "shape", "kind")
+        per_kind = seen.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(0.0))).alias("sum"))
+        total = per_kind.groupBy("pattern").agg(F.sum("n").alias("n"), F.max(F.struct("sum", "kind")).alias("best"))
+        trusted = written(total.select("pattern", F.col("best.kind").alias("kind"), (F.col("best.sum") / F.col("n")).alias("score"), "n").where(
+            (F.col("n") >= SUPPORT) & (F.col("score") >= TRUST) & F.col("kind").isNotNull()).drop("n"))
+        more = edges.join(small(trusted), "pattern").where(F.length("token") >= SHORTEST).groupBy("token").agg(F.max(F.struct("score", "kind")).alias("best"))
+        more = written(more.join(scores, "token", "left_anti").select("token", F.col("best.kind").alias("kind"), F.col("best.score").alias("score")))
+        if not some(more):
+            break
+        at = written(units.where("kind is null").drop("kind").join(small(more.select("token")), "token"))
+        hits = at.select("doc_id", "row_key", "i", "token", F.explode(patterns_of()).alias("p")).join(small(trusted.select(F.col("pattern").alias("hit"))), F.col("p.pattern") == F.col("hit"))
+        share = at.groupBy("token").agg(F.count("*").alias("n")).join(hits.select("doc_id", "row_key", "i", "token").distinct().groupBy("token").agg(F.count("*").alias("hits")), "token")
+        good = share.where(F.col("token").rlike(r"[^\p{L}]") | (F.col("hits") >= TRUST * F.col("n"))).select("token")
+        more = written(more.join(good, "token", "left_semi"))
+        if not some(more):
+            break
+        parts.append(at.join(small(more.select("token")), "token", "left_semi"))
+        scores = written(scores.unionByName(more))
+        touched = written(touched.unionByName(parts[-1].select("token", F.explode(patterns_of()).alias("p")).select("token", "p.*").distinct()))
+    if not parts:
+        return None
+    found = reduce(DataFrame.unionByName, parts).select("doc_id", "row_key", "i", F.explode(patterns_of()).alias("p")).select("doc_id", "row_key", "i", "p.pattern")
+    found = found.join(small(trusted), "pattern").groupBy("doc_id", "row_key", "i").agg(F.max(F.struct("score", "kind")).alias("best"))
+    return written(found.select("doc_id", "row_key", "i", F.col("best.kind").alias("kind")))
+
+
+def placed(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """(x_id, x_key, extra): the spans of units found, per text; the text before a unit, less the marks, gives its place."""
+    per_text = found.groupBy(F.col("doc_id").alias("x_id"), F.col("row_key").alias("x_key")).agg(F.collect_set(F.struct("i", "kind")).alias("units"))
+    same = F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("row_key") == F.col("x_key"))
+    texts = facts.select("doc_id", "row_key", "marked").join(per_text, same).dropDuplicates(["doc_id", "row_key"])
+    texts = texts.select("x_id", "x_key", "units", F.split("marked", r"(?<=\s)(?=\S)", -1).alias("pieces"))
+
+    def span(u):
+        unit = F.regexp_replace(F.get(F.col("pieces"), u["i"]), r"\s+$", "")
+        start = F.length(F.regexp_replace(F.array_join(F.slice("pieces", F.lit(1), u["i"]), ""), MARKS, "")) + F.length(unit) - F.length(F.ltrim(unit, F.lit(PUNCTUATION)))
+        return F.struct(u["kind"].alias("kind"), start.cast("long").alias("start"), (start + F.length(bare(unit))).cast("long").alias("end"))
+
+    return texts.select("x_id", "x_key", F.transform("units", span).alias("extra"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, base spans, spans), one row per document, of its whole text.
 
-    base: the fixed patterns' spans. spans: these, and tokens that a trusted contextual pattern finds and that
+    base: the fixed patterns' spans. spans: these, and units that a trusted contextual pattern finds and that
     overlap none of them, under the pattern's kind. Offsets are code points, ends exclusive; both lists are
     ordered by start, then kind. Null and empty texts have no spans. Null ids and repeated rows are fine: equal
     (id, text) rows get equal results. Other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), base_spans(text).alias("base"), candidates(text).alias("found"))
-    facts = written(facts.withColumn("base", in_order(F.col("base"))))
-    meets = lambda c: F.filter("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    tokens = facts.where(F.size("found") > 0).select("doc_id", "row_key", "base", F.explode("found").alias("c"))
-    tokens = tokens.select("doc_id", "row_key", F.col("c.token").alias("token"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.left").alias("left"), shape(F.col("c.token")).alias("shape"),
-                           F.get(meets(F.col("c")), F.lit(0))["kind"].alias("kind"))
-    tokens = written(tokens)
-    patterns = bootstrap(tokens.groupBy("left", "shape", "token").agg(F.min("kind").alias("kind")))
-    extra = tokens.where("kind is null").drop("kind").join(patterns, ["left", "shape"]).select(
-        "doc_id", "row_key", F.struct("kind", "start", "end").alias("span")).groupBy(F.col("doc_id").alias("x_id"), F.col("row_key").alias("x_key")).agg(F.collect_set("span").alias("extra"))
+    facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), text.alias("text"), in_order(base_spans(text)).alias("base"))
+    facts = written(facts.select("doc_id", "row_key", "base", marked(F.col("text"), merged(F.col("base"))).alias("marked")))
+    found = bootstrap(units_of(facts))
+    if found is None:
+        return facts.select("doc_id", "row_key", "base", F.col("base").alias("spans"))
     same = F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("row_key") == F.col("x_key"))
-    out = facts.select("doc_id", "row_key", "base").join(extra, same, "left")
+    out = facts.select("doc_id", "row_key", "base").join(placed(found, facts), same, "left")
     return out.select("doc_id", "row_key", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(in_order(F.concat("base", "extra"))).alias("spans"))
 
 
@@ -169,19 +270,14 @@ def redact(docs: DataFrame) -> DataFrame:
     Spans that overlap are one, under the first's kind. Texts without spans stay as they are, null included.
     """
     found = find_pii(docs)
-    merge = F.aggregate(
-        "spans", F.expr(f"cast(array() as {SPAN})"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), F.concat(
-            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["kind"].alias("kind"), F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))))
-        .otherwise(F.concat(acc, F.array(s))))
     names = ("_pii_id", "_pii_key", "_pii_spans", "_pii_row")
     docs = docs.drop(*names)
-    some = written(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("row_key").alias("_pii_key"), F.when(F.size("spans") > 0, merge).alias("_pii_spans")).dropDuplicates(["_pii_id", "_pii_key"]))
+    few_texts = written(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("row_key").alias("_pii_key"), merged(F.col("spans")).alias("_pii_spans")).dropDuplicates(["_pii_id", "_pii_key"]))
     keyed = docs.withColumn("_pii_row", F.xxhash64("doc_id", "text"))
     same = F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (F.col("_pii_row") == F.col("_pii_key"))
     # one short row for each text with spans: broadcast while they are few, so that texts stay where they are
-    few = some.limit(MAX_BROADCAST_IDS // 10 + 1).count() <= MAX_BROADCAST_IDS // 10
-    whole = keyed.join(F.broadcast(some) if few else some, same, "left")
+    few = few_texts.limit(MAX_BROADCAST_IDS // 10 + 1).count() <= MAX_BROADCAST_IDS // 10
+    whole = keyed.join(F.broadcast(few_texts) if few else few_texts, same, "left")
     spans, text = F.col("_pii_spans"), F.col("text")
 
     def piece(s, i):

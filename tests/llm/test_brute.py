@@ -145,6 +145,25 @@ def test_contextual_patterns_find_unseen_identifiers(spark):
     assert got[0] == [("ip", 24, 34)] and got[101] == []
 
 
+def test_contextual_patterns_find_other_forms(spark):
+    """Unseen identifiers of other shapes than the seeds', with and without digits, and one that only a pattern of the second round knows."""
+    from lectern.llm.pii import find_pii, redact
+
+    rows = [(i, f"some  words, then phone: +1 (555) 010-99{i:02d} or mail: name{i}@host{i % 5}.org for more") for i in range(40)]
+    odd = {100: ("then phone: 030-123456 or", "030-123456", "phone"), 101: ("then phone: (030) 123 456, please", "030) 123 456", "phone"), 102: ("or mail: jane.doe(at)host.org for", "jane.doe(at)host.org", "email"),
+           103: ("é\n  x@y.zz, phone: qwertyphone", "qwertyphone", "phone")}
+    rows += [(i, t) for i, (t, _, _) in odd.items()] + [(200, "a clean 030-123456 text and another"), (201, "then phone: another or")]
+    # the same unseen names under a cue of their own lead to an identifier that the first cue never meets
+    rows += [(300 + i, f"or mail: user{i}(at)site for") for i in range(3)] + [(400 + i, f"reach user{i}(at)site today") for i in range(3)]
+    rows += [(410 + i, f"reach name{i}@host{i % 5}.org today") for i in range(16)] + [(450, "reach last(at)site today")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans if s not in r.base] for r in find_pii(df).collect()}
+    for i, (text, token, kind) in odd.items():
+        assert got[i] == [(kind, text.index(token), text.index(token) + len(token))], i
+    assert got[200] == got[201] == [] and got[450] == [("email", 6, 18)] and not any(got[i] for i in range(40))
+    assert {r.doc_id: r.text for r in redact(df).collect()}[100] == "then phone: <PHONE> or"
+
+
 def test_token_counts(texts):
     from lectern.llm.tokens import SPACE, piece_scores, terminal_counts
 
