@@ -255,6 +255,28 @@ def test_nearest_and_near_duplicate_vectors(spark, duck):
     assert {r.vec_id: r.n_links for r in QUERIES["op7_embedding_dedup"](spark, DIR).collect()} == dict(zip(ids.tolist(), near.sum(axis=1).tolist()))
 
 
+def test_nearest_with_a_third_of_copies(spark):
+    """Copies of one vector, more than a beam holds: ties go to the smallest ids, of queries that are copies too."""
+    from lectern.llm.ann import nearest
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 16)).astype("float32")
+    x[rng.choice(1500, 500, replace=False)] = x[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    y, ids = x.astype(float), np.arange(1500)
+    got, hits, n = {}, 0, 0
+    for r in nearest(df, df.where("vec_id % 10 = 0")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    for q in range(0, 1500, 10):
+        d = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        best = ids[np.lexsort((ids, d))[:10]].tolist()
+        if (y[q] == y[7]).all():
+            assert [got[q][k] for k in range(1, 11)] == best
+        hits, n = hits + len(set(best) & set(got[q].values())), n + 10
+    assert hits >= 0.95 * n
+
+
 def test_tight_cluster_over_many_blocks(spark, monkeypatch):
     from lectern.llm import embedding_dedup as D
 
