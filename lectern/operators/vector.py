@@ -69,20 +69,13 @@ def best_of_tasks(block: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding").mapInArrow(score, "query_id long, chunk_id long, similarity double")
 
 
-def hyperplane_keys(v: Column, width: int, bands: int, bits: int, seed: int = 5) -> Column:
-    """One key per band: the signs of the vector's products with ``bits`` fixed random directions."""
-    import numpy as np
-
-    planes = np.random.default_rng(seed).normal(size=(bands * bits, width))
-    signs = [F.when(dot(v, F.array(*[F.lit(float(x)) for x in p])) >= 0, 1).otherwise(0) for p in planes]
-    return F.array(*[F.concat_ws("", F.lit(f"{b}:"), *[s.cast("string") for s in signs[b * bits:(b + 1) * bits]]) for b in range(bands)])
-
+def knn_ann(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """As knn_exact, over the k nearest that operator 2's graphs find among vectors of unit length; scored exactly."""
+    from lectern.llm.ann import nearest
 
-def knn_ann(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, width: int = 64, bands: int = 12, bits: int = 5) -> DataFrame:
-    """As knn_exact, over candidates that share a band of hyperplane signs; scored exactly."""
-    q = queries.select("query_id", "qvec", F.explode(hyperplane_keys(F.col("qvec"), width, bands, bits)).alias("key"))
-    c = chunks.select("chunk_id", F.explode(hyperplane_keys(F.col("embedding"), width, bands, bits)).alias("key"))
-    met = c.join(q.select("query_id", "key"), "key").select("query_id", "chunk_id").distinct()
+    unit = lambda v: F.transform(v.cast("array<double>"), lambda x: x / F.sqrt(dot(v, v)))
+    found = nearest(chunks.select(F.col("chunk_id").alias("vec_id"), unit(F.col("embedding")).alias("embedding")), queries.select(F.col("query_id").alias("vec_id"), unit(F.col("qvec")).alias("embedding")), k, keep_own=True)
+    met = found.select("query_id", F.col("vec_id").alias("chunk_id"))
     scored = met.join(queries, "query_id").join(chunks.select("chunk_id", "embedding"), "chunk_id").select("query_id", "chunk_id", cosine(F.col("qvec"), F.col("embedding")).alias("similarity"))
     return top_k(scored, k, F.desc("similarity"), F.asc("chunk_id"))
 

@@ -67,6 +67,14 @@ def test_hybrid_search_modes(spark):
     assert {h.document_id for h in R.hybrid_search(q, c, scope=scope).collect()} == {1}
 
 
+def test_ann_recall_on_the_given_table(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    c = e.select(F.col("vec_id").alias("chunk_id"), F.lit(0).alias("document_id"), "embedding")
+    q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    r = V.recall(V.knn_ann(q, c, 10), V.knn_exact(q, c, 10)).first()
+    assert r.n == 10 * q.count() and r.found / r.n >= 0.9, r
+
+
 def test_batches():
     bounds = list(V.batches_of(["x" * n for n in range(1, 301)]))
     assert bounds[0][0] == 0 and bounds[-1][1] == 300 and all(b - a <= 128 for a, b in bounds) and all(x[1] == y[0] for x, y in zip(bounds, bounds[1:]))
