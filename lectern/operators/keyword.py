@@ -93,14 +93,18 @@ def phrase_parts(queries: DataFrame) -> DataFrame:
     return rows.select("query_id", "alt", F.col("i").alias("part"), (F.col("item").startswith("-") | F.coalesce(lead == "-", F.lit(False))).alias("negated"), words.alias("words")).where(F.size("words") > 0)
 
 
-def phrase_topk(keywords: DataFrame, postings: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def phrase_topk(keywords: DataFrame, postings: DataFrame, k: int = CANDIDATES, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, hits, rank): every phrase in order and adjacent, every word, none of the negated ones; alternatives by ``or``.
 
+    Of the passages in scope (query_id, chunk_id), if there is one.
+
     A positional join: places that agree on pos - offset for all of a phrase's words are its occurrences.
     """
     parts = phrase_parts(keywords)
     words = parts.select("query_id", "alt", "part", "negated", F.size("words").alias("n"), F.posexplode("words").alias("off", "lexeme"))
     at = postings.join(words, "lexeme").select("query_id", "alt", "part", "negated", "n", "chunk_id", (F.col("pos") - F.col("off")).alias("start"), "off")
+    if scope is not None:
+        at = at.join(scope.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     found = at.groupBy("query_id", "alt", "part", "negated", "n", "chunk_id", "start").agg(F.countDistinct("off").alias("m")).where("m = n")
     per_part = found.groupBy("query_id", "alt", "part", "negated", "chunk_id").agg(F.count("*").alias("hits"))
     need = parts.where("not negated").groupBy("query_id", "alt").agg(F.count("*").alias("need"))

@@ -85,8 +85,7 @@ def hybrid_candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid
     if mode == "vector":
         words = spark.createDataFrame([], none)
     else:
-        phrases = keyword.phrase_topk(kw, postings, keyword.CANDIDATES)
-        phrases = phrases if inside is None else phrases.join(inside, ["query_id", "chunk_id"], "left_semi")
+        phrases = keyword.phrase_topk(kw, postings, keyword.CANDIDATES, inside)
         words = keyword.keyword_topk(terms, postings, scope=inside).select("query_id", "chunk_id", "rank").unionByName(phrases.select("query_id", "chunk_id", "rank"))
     c = union_candidates(found, words)
     # coverage comes from the terms' own matches, so that the candidates are made once

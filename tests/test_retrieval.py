@@ -67,6 +67,15 @@ def test_hybrid_search_modes(spark):
     assert {h.document_id for h in R.hybrid_search(q, c, scope=scope).collect()} == {1}
 
 
+def test_scoped_phrases_beyond_the_global_cut(spark):
+    """More matches outside the scope than there are candidates, all before the one inside."""
+    c = chunks(spark, ["good life good life"] * 70 + ["a good life", "bad cat"]).withColumns({"document_id": (F.col("chunk_id") >= 70).cast("long"), "ordinal": (F.col("chunk_id") * 5).cast("int")})
+    q = V.embed_queries(spark.createDataFrame([(1, '"good life"')], "query_id long, query string"), prefix="")
+    scope = spark.createDataFrame([(1, 1)], "query_id long, document_id long")
+    hits = R.hybrid_search(q, V.embed_passages(c), "keyword", scope=scope).collect()
+    assert [(h.chunk_id, h.keyword_rank) for h in hits] == [(70, 1)]
+
+
 def test_ann_recall_on_the_given_table(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     c = e.select(F.col("vec_id").alias("chunk_id"), F.lit(0).alias("document_id"), "embedding")
