@@ -5,8 +5,11 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lectern.llm.common import MAX_BROADCAST_IDS, read_table, written
 
@@ -18,7 +21,7 @@ KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+",  # shorter runs of digits are no cards
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A cheap test that a text can match at all.
@@ -29,34 +32,74 @@ MAYBE = {
     "phone": lambda t: t.contains("+"),
 }
 
-#: Bootstrapping: rounds of scoring, the score from which a pattern or an instance is trusted, the distinct
-#: instances that a pattern needs, and the characters that an instance found by context needs.
-ROUNDS, TRUST, SUPPORT, SHORTEST = 3, 0.9, 5, 5
-#: Marks around a known span in a text whose units are looked at, and the sign for a space inside a unit.
-GLUE, OPEN, NAMED, CLOSE = "\u0001", "\u0002", "\u0003", "\u0004"
-MARKS = f"{OPEN}[a-z]+{NAMED}|{CLOSE}"
-#: What is no part of a unit at its ends.
-PUNCTUATION = ".,;:!?\"'`()[]{}<>|/\\*#&%=~^_-\u2013\u2014\u2026\u201c\u201d\u201e\u2018\u2019\u00ab\u00bb\u00bf\u00a1"
+#: Bootstrapping: rounds of scoring, the distinct known instances that a pattern needs, the confidence from which it is
+#: trusted, the weight of an instance that is not known (it may be right), and the digits that an instance without an at sign needs.
+ROUNDS, SUPPORT, TRUST, UNKNOWN, DIGITS = 3, 5, 0.8, 0.2, 6
+#: An instance: groups of digits joined by single signs or spaces, or a run without white space; it holds a digit or an at sign.
+INSTANCE = (r"(?<!\S)(?:[+(]*+[0-9][0-9().+/-]*+(?:\x20\(?[0-9][0-9().+/-]*+)*+(?=[\s,;:!?\"'\u201d\u2019\u00bb\]]|$)"
+            r"|(?=[^\s0-9@]*+[0-9@])\S++)")
+#: What is no part of an instance or a context word at its ends (a colon or an equals sign after a word belongs to it).
+AROUND = ".,;!?\"'`[]{}<>|/\\*&%~^_\u2013\u2014\u2026\u201c\u201d\u201e\u2018\u2019\u00ab\u00bb\u00bf\u00a1"
+#: Context words are the last and first words of so many characters beside an instance, on its line.
+REACH = 64
+#: Function words, which are no context by themselves.
+FUNCTION_WORDS = (
+    "a an and are as at be but by for from has he her his in is it its not of on or our she so that the their they this to was we were will with you your "
+    "aber als am an auf aus bei das dass dem den der des die ein eine einem einen einer er es f\u00fcr ich im in ist mit nach nicht oder sie sind so und von war wie wir zu zum zur "
+    "au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous ou par pas pour que qui sa se ses son sont sur un une vous "
+    "al como con de del el ella en es esta este la las lo los m\u00e1s mi no o para pero por que se si sin sobre son su sus un una y").split()
 
 SPAN = "array<struct<kind: string, start: bigint, end: bigint>>"
+NO_SPANS = f"cast(array() as {SPAN})"
+#: Elements of an array that are taken together, so that work stays in proportion to its length.
+BLOCK = 64
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def blocks_of(values: Column) -> Column:
+    """An array's elements in arrays of BLOCK (one empty array for none)."""
+    last = F.greatest(F.ceil(F.size(values) / BLOCK).cast("int"), F.lit(1)) - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """An array<bigint>'s running results of an operation that may be grouped at will and for which 0 changes nothing."""
+    zero = F.lit(0).cast("long")
+
+    def starts(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, op))
+        return F.aggregate(totals, F.array(zero), lambda acc, t: F.concat(acc, F.array(op(F.element_at(acc, -1), t))))
 
+    def within(block: Column, first: Column) -> Column:
+        none = F.struct(first.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(op(acc["at"], x))).alias("out"))
+        return F.aggregate(block, none, step, lambda acc: acc["out"])
 
-def located(text: Column, pattern: str) -> Column:
-    """Array of (m, start, end) of a pattern's leftmost non-overlapping matches, in code points.
+    return let(blocks_of(values), lambda b: let(starts(b), lambda s: F.flatten(F.zip_with(b, F.slice(s, F.lit(1), F.size(b)), within))))
 
-    The text's parts between the matches, together with the matches, give the places.
+
+def located(text: Column, pattern: str, beside: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Array of (m, start, end) of a pattern's leftmost non-overlapping matches, in code points, in time linear in them.
+
+    The text's parts between the matches, together with the matches, give the places. ``beside`` adds what it makes
+    of the parts before and after a match.
     """
-    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<m: string, start: bigint, end: bigint>>)").alias("out"))
+    length = lambda x: F.coalesce(F.length(x), F.lit(0)).cast("long")
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.coalesce(F.length(p["m"]), F.lit(0))
-        grown = F.concat(acc["out"], F.array(F.struct(p["m"].alias("m"), start.alias("start"), end.alias("end"))))
-        return F.struct(end.cast("long").alias("at"), grown.alias("out"))
+    def places(p: Column) -> Column:
+        ends = running(F.zip_with(p["gaps"], p["found"], lambda g, m: length(g) + length(m)), lambda a, x: a + x)
+        at = F.zip_with(p["found"], F.slice(ends, F.lit(1), F.size(p["found"])), lambda m, e: F.struct(m.alias("m"), (e - F.length(m)).alias("start"), e.alias("end")))
+        if beside is None:
+            return at
+        n = F.size(p["found"])
+        sides = F.zip_with(F.slice(p["gaps"], F.lit(1), n), F.slice(p["gaps"], F.lit(2), n), beside)
+        return F.zip_with(at, sides, lambda a, s: F.struct(a["m"].alias("m"), a["start"].alias("start"), a["end"].alias("end"), s.alias("beside")))
 
-    found = F.aggregate(parts, empty, step, lambda acc: acc["out"])
-    return F.filter(found, lambda x: x["m"].isNotNull())
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), places)
 
 
 def luhn(digits: Column) -> Column:
@@ -83,7 +126,7 @@ def spans_of(kind: str, text: Column) -> Column:
     """SPAN of one kind, by start."""
     valid = F.filter(located(text, PATTERNS[kind]), lambda x: holds(kind, x["m"]))
     spans = F.transform(valid, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return F.when(MAYBE[kind](text), spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return F.when(MAYBE[kind](text), spans).otherwise(F.expr(NO_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -104,59 +147,105 @@ def joined(spans: Column) -> Column:
 
 def merged(spans: Column) -> Column:
     """Spans in order with those that overlap as one, under the first's kind."""
-    last = lambda acc: F.element_at(acc, -1)
-    return F.aggregate(
-        spans, F.expr(f"cast(array() as {SPAN})"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (last(acc)["end"] > s["start"]), F.concat(
-            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["kind"].alias("kind"), last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end")))))
-        .otherwise(F.concat(acc, F.array(s))))
 
+    def groups(z: Column) -> Column:
+        heads = F.filter(z, lambda s, i: F.coalesce(F.get(z, i - 1)["reach"] <= s["start"], F.lit(True)))
+        tails = F.filter(z, lambda s, i: F.coalesce(F.get(z, i + 1)["start"] >= s["reach"], F.lit(True)))
+        return F.zip_with(heads, tails, lambda h, t: F.struct(h["kind"].alias("kind"), h["start"].alias("start"), t["reach"].alias("end")))
+
+    def reached(s: Column) -> Column:
+        reach = running(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+        return F.zip_with(s, reach, lambda x, r: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), r.alias("reach")))
+
+    return let(spans, lambda s: let(reached(s), groups))
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with each of its (merged) spans as its kind in angle brackets; a block's spans are cut from the block's part of the text."""
+
+    def pieces(blocks: Column) -> Column:
+        def of(block: Column, b: Column) -> Column:
+            first = F.coalesce(F.element_at(F.get(blocks, b - 1), -1)["end"], F.lit(0).cast("long"))
+            part = F.substring(text, (first + 1).cast("int"), (F.element_at(block, -1)["end"] - first).cast("int"))
+            cut = lambda p: F.transform(block, lambda s, i: F.concat(
+                let(F.coalesce(F.get(block, i - 1)["end"], p["first"]), lambda before: F.substring(p["part"], (before - p["first"] + 1).cast("int"), (s["start"] - before).cast("int"))),
+                F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+            return let(F.struct(first.alias("first"), part.alias("part")), cut)
 
-def marked(text: Column, spans: Column) -> Column:
-    """The text with marks around its (merged) spans. What has to stay one unit, a span or groups of digits, is glued."""
-    clean = F.translate(text, GLUE + OPEN + NAMED + CLOSE, "\ufffd" * 4)
+        return F.flatten(F.transform(blocks, of))
 
-    def piece(s, i):
-        start = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
-        inside = F.translate(F.substring(clean, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), " ", GLUE)
-        return F.concat(F.substring(clean, (start + 1).cast("int"), (s["start"] - start).cast("int")), F.lit(OPEN), s["kind"], F.lit(NAMED), inside, F.lit(CLOSE))
+    tail = lambda s: F.substring(text, (F.element_at(s, -1)["end"] + 1).cast("int"), F.length(text))
+    return let(spans, lambda s: F.concat(F.array_join(let(blocks_of(s), pieces), ""), tail(s)))
 
-    tail = F.substring(clean, (F.element_at(spans, -1)["end"] + 1).cast("int"), F.length(clean))
-    whole = F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), tail)).otherwise(clean)
-    return F.regexp_replace(whole, r"(?<=[0-9)]) (?=[(0-9])", GLUE)
 
+def context(before: Column, after: Column) -> Column:
+    """(l2, l1, r1): the two words before and the word after an instance on its line, in lower case; empty where there is none."""
+    def words(part: Column) -> Column:
+        clean = F.transform(F.split(F.lower(part), r"\s+", -1), lambda w: F.btrim(w, F.lit(AROUND + "()")))
+        return F.filter(clean, lambda w: w != "")
 
-def bare(unit: Column) -> Column:
-    return F.btrim(F.translate(F.when(unit.contains(OPEN), F.regexp_replace(unit, MARKS, "")).otherwise(unit), GLUE, " "), F.lit(PUNCTUATION))
+    word = lambda w, i: F.coalesce(F.get(w, F.size(w) + i if i < 0 else F.lit(i)), F.lit(""))
+    left = F.substring(F.substring_index(before, "\n", -1), -REACH, REACH)
+    right = F.substring(F.substring_index(after, "\n", 1), 1, REACH)
+    return let(words(left), lambda l: F.struct(word(l, -2).alias("l2"), word(l, -1).alias("l1"), word(words(right), 0).alias("r1")))
 
 
-def kind_of(unit: Column) -> Column:
-    return F.when(unit.contains(OPEN), F.regexp_extract(unit, f"{OPEN}([a-z]+){NAMED}", 1))
+def instances_in(text: Column) -> Column:
+    """Array of (token, start, end, l2, l1, r1) of a text's instances, without the signs around them."""
 
+    def bare(x: Column) -> Column:
+        def trim(t: Column) -> Column:
+            t = let(F.rtrim(F.ltrim(t, F.lit(AROUND + ":=#-)")), F.lit(AROUND + ":=#-+(")), lambda m: F.when(m.contains("(") & ~m.contains(")"), F.ltrim(m, F.lit("("))).when(m.contains(")") & ~m.contains("("), F.rtrim(m, F.lit(")"))).otherwise(m))
+            return F.when(t.rlike(r"^\([^()]*\)$"), F.btrim(t, F.lit("()"))).otherwise(t)
 
-def context_word(unit: Column) -> Column:
-    """A neighbour as contexts know it: in lower case, a known span as its kind, nothing where there is none."""
-    word = F.when(unit.contains(OPEN), F.concat(F.lit("<"), kind_of(unit), F.lit(">"))).otherwise(F.lower(F.btrim(unit, F.lit(PUNCTUATION))))
-    return F.coalesce(word, F.lit(""))
+        def place(t: Column) -> Column:
+            # what is cut in front is found again by the token's first place in the match
+            start = x["start"] + F.instr(x["m"], t).cast("long") - 1
+            return F.struct(t.alias("token"), start.alias("start"), (start + F.length(t)).alias("end"), x["beside"]["l2"].alias("l2"), x["beside"]["l1"].alias("l1"), x["beside"]["r1"].alias("r1"))
 
+        return let(trim(x["m"]), place)
 
-def units_of(facts: DataFrame) -> DataFrame:
-    """(doc_id, row_key, i, kind, token, l2, l1, r1): every unit of the marked texts with the words around it."""
-    w = facts.select("doc_id", "row_key", F.split("marked", r"\s+", -1).alias("w"))
-    w = w.select("doc_id", "row_key", "w", F.concat(F.array(F.lit("")), "w").alias("l1"), F.concat(F.array(F.lit(""), F.lit("")), "w").alias("l2"), F.slice("w", F.lit(2), F.size("w")).alias("r1"))
-    u = w.select("doc_id", "row_key", F.posexplode(F.arrays_zip("w", "l1", "l2", "r1")).alias("i", "u")).where("u.w <> ''")
-    return u.select("doc_id", "row_key", "i", kind_of(F.col("u.w")).alias("kind"), bare(F.col("u.w")).alias("token"), *[context_word(F.col(f"u.{c}")).alias(c) for c in ("l2", "l1", "r1")]).where("token <> ''")
+    found = F.filter(F.transform(located(text, INSTANCE, context), bare), lambda x: x["token"] != "")
+    none = F.expr("cast(array() as array<struct<token: string, start: bigint, end: bigint, l2: string, l1: string, r1: string>>)")
+    return F.when(text.rlike("[0-9@]"), found).otherwise(none)
 
 
-def patterns_of() -> Column:
-    """Array of (side, anchor, pattern) of a unit: the word before it, two words before it, the words on both sides, the word after it;
-    each for units of its coarse class (with a digit, with another sign, of letters alone) and for all units."""
-    coarse = F.when(F.col("token").rlike("[0-9]"), "9").when(F.col("token").rlike(r"[^\p{L}]"), ".").otherwise("a")
-    l2, l1, r1 = F.col("l2"), F.col("l1"), F.col("r1")
-    contexts = [("l", l1, l1 != "", F.concat(l1, F.lit(" _"))), ("l", l1, (l1 != "") & (l2 != ""), F.concat(l2, F.lit(" "), l1, F.lit(" _"))),
-                ("l", l1, (l1 != "") & (r1 != ""), F.concat(l1, F.lit(" _ "), r1)), ("r", r1, r1 != "", F.concat(F.lit("_ "), r1))]
-    return F.array_compact(F.array(*[F.when(there, F.struct(F.lit(side).alias("side"), anchor.alias("anchor"), F.concat(c, F.lit(" "), words).alias("pattern")))
-                                     for side, anchor, there, words in contexts for c in (coarse, F.lit("*"))]))
+def known_instances(facts: DataFrame) -> DataFrame:
+    """(doc_id, row_key, start, end, token long, kind, able, patterns): every instance of the texts, once.
+
+    kind is that of a base span which overlaps it, else null; ``able`` tells whether it may be found by context.
+    Spans and instances of a text are put in one order, in which windows carry the spans' ends forwards and starts backwards.
+    """
+    key = ["doc_id", "row_key"]
+    spans = facts.select(*key, F.explode("base").alias("s")).select(*key, "s.start", "s.end", "s.kind", *[F.lit(None).cast("string").alias(c) for c in ("token", "l2", "l1", "r1")])
+    found = facts.select(*key, F.explode("instances").alias("s")).select(*key, "s.start", "s.end", F.lit(None).cast("string").alias("kind"), "s.token", "s.l2", "s.l1", "s.r1")
+    both = spans.unionByName(found).dropDuplicates([*key, "start", "end", "kind"])
+    is_found = F.col("token").isNotNull()
+    ahead = W.partitionBy(*key).orderBy("start", is_found.cast("int")).rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy(*key).orderBy(F.desc("start"), F.col("kind").isNull().cast("int")).rowsBetween(W.unboundedPreceding, 0)
+    # a place and a kind in one number
+    with_kind = lambda c: F.when(~is_found, F.col(c) * 8 + F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
+    both = both.withColumns({"left": F.max(with_kind("end")).over(ahead), "right": F.last(with_kind("start"), ignorenulls=True).over(back)}).where(is_found)
+    touching = F.when(F.floor(F.col("left") / 8) > F.col("start"), F.col("left")).when(F.floor(F.col("right") / 8) < F.col("end"), F.col("right"))
+    kind = F.get(F.array(*map(F.lit, KINDS)), (touching % 8 - 1).cast("int"))
+    digits = F.length(F.regexp_replace("token", "[^0-9]", ""))
+    able = (digits >= DIGITS) | (F.col("token").contains("@") & (F.length("token") >= DIGITS))
+    return both.select(*key, "start", "end", F.xxhash64(F.lower("token")).alias("token"), kind.alias("kind"), able.alias("able"), patterns_of(digits).alias("patterns"))
+
+
+def patterns_of(digits: Column) -> Column:
+    """An instance's lexical patterns: words around it, with its coarse class (signs, and few, some or many digits) or with its exact shape.
+
+    The words are the one before, the two before, those on both sides, or the one after; function words are no context by themselves.
+    """
+    l2, l1, r1, token = F.col("l2"), F.col("l1"), F.col("r1"), F.col("token")
+    size = F.when(digits < DIGITS, "few").when(digits < 20, "some").otherwise("many")
+    coarse = F.when(token.contains("@"), "@").when(token.rlike(r"\p{L}"), F.concat(F.lit("a "), size)).otherwise(size)
+    shape = F.when(F.length(token) <= REACH, F.regexp_replace(F.regexp_replace(token, "[0-9]", "9"), r"\p{L}+", "a")).otherwise(coarse)
+    plain = lambda w: (w != "") & ~w.isin(FUNCTION_WORDS)
+    there = [(plain(l1), F.concat(l1, F.lit(" _ "))), ((l2 != "") & (l1 != "") & (plain(l2) | plain(l1)), F.concat(l2, F.lit(" "), l1, F.lit(" _ "))),
+             ((l1 != "") & (r1 != "") & (plain(l1) | plain(r1)), F.concat(l1, F.lit(" _ "), r1, F.lit(" "))), (plain(r1), F.concat(F.lit("_ "), r1, F.lit(" ")))]
+    return F.array_compact(F.array(*[F.when(ok, F.concat(words, what)) for ok, words in there for what in (coarse, F.concat(F.lit("="), shape))]))
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -169,101 +258,69 @@ def some(rows: DataFrame) -> bool:
     return rows.limit(1).count() > 0
 
 
-def instances_of(units: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Distinct (pattern, token) of all units in the wanted (side, anchor, pattern)s; most units go by their next words alone."""
-    near = units
-    for side, word in (("l", "l1"), ("r", "r1")):
-        anchors = written(wanted.where(F.col("side") == side).select(F.col("anchor").alias(f"anchor_{side}")).distinct())
-        near = near.join(small(anchors), F.col(word) == F.col(f"anchor_{side}"), "left")
-    near = near.where("anchor_l is not null or anchor_r is not null").select("token", F.explode(patterns_of()).alias("p")).select("token", "p.pattern")
-    return written(near.join(small(written(wanted.select("pattern"))), "pattern").select("pattern", "token").distinct())
-
+def bootstrap(found: DataFrame) -> DataFrame | None:
+    """Trusted patterns (pattern, kind, score), from the graph of patterns and the instances they occur with; None if there are none.
 
-def bootstrap(units: DataFrame) -> DataFrame | None:
-    """(doc_id, row_key, i, kind) of the units found by trusted contextual patterns; None if there are none.
-
-    A bipartite graph joins lexical patterns to the tokens that they occur with. Seeds are tokens that the fixed patterns
-    know, at score 1 for their kind. In each round a pattern's score is the mean score of all its instances, an instance's
-    the largest score among its trusted patterns; what is found this way leads to further patterns in the next round.
-    A token of letters alone must have TRUST of its occurrences in trusted patterns besides, or it is a plain word. Counts
-    of instances are of distinct tokens: copies of a text add nothing. Sums are combined before their shuffles; a
-    round reads the units once for the new patterns and once for the new tokens, and only if there are such.
+    Seeds are instances that the fixed patterns know, at score 1. In each round a pattern's confidence in a kind is
+    its instances' score for the kind over the scores of all its known instances, UNKNOWN for each that is not known,
+    and 1 as a prior; a pattern of SUPPORT known instances and confidence TRUST is trusted. Instances of trusted patterns
+    become known at the best confidence, and lead to further patterns in the next round. Counts are of distinct
+    instances: copies of a text add nothing. Sums are combined before their shuffles, so that a pattern which a third of all
+    instances share costs a row a task.
     """
-    from functools import reduce
-
-    seeds = units.where("kind is not null").select("token", "kind", F.explode(patterns_of()).alias("p")).select("token", "kind", "p.*").distinct()
-    seeds = written(seeds)
-    scores = written(seeds.groupBy("token").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)))
-    touched, parts, edges, asked, trusted = seeds.drop("kind").distinct(), [], None, None, None
+    edges = written(found.select("token", "able", F.explode("patterns").alias("pattern")).distinct())
+    sizes = written(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT))
+    edges = written(edges.join(small(sizes.select("pattern")), "pattern", "left_semi"))
+    known = written(found.where("kind is not null").groupBy("token").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)))
+    trusted = None
     for _ in range(ROUNDS):
-        # fewer known instances than SUPPORT can't reach TRUST
-        wanted = touched.groupBy("side", "anchor", "pattern").agg(F.countDistinct("token").alias("n")).where(F.col("n") >= SUPPORT).drop("n")
-        wanted = written(wanted if asked is None else wanted.join(asked, "pattern", "left_anti").select("side", "anchor", "pattern"))
-        if some(wanted):
-            new = instances_of(units, wanted)
-            edges, asked = (new, wanted) if edges is None else (edges.union(new), asked.union(wanted))
-        if edges is None:
+        by_kind = edges.join(known, "token").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("known"))
+        best = by_kind.groupBy("pattern").agg(F.sum("sum").alias("all"), F.sum("known").alias("known"), F.max(F.struct("sum", "kind")).alias("best")).join(sizes, "pattern")
+        score = F.col("best.sum") / (F.col("all") + UNKNOWN * (F.col("n") - F.col("known")) + 1)
+        trusted = written(best.where(F.col("known") >= SUPPORT).select("pattern", F.col("best.kind").alias("kind"), score.alias("score")).where(F.col("score") >= TRUST))
+        if not some(trusted):
             return None
-        seen = edges.join(scores, "token", "left")
-        per_kind = seen.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(0.0))).alias("sum"))
-        total = per_kind.groupBy("pattern").agg(F.sum("n").alias("n"), F.max(F.struct("sum", "kind")).alias("best"))
-        trusted = written(total.select("pattern", F.col("best.kind").alias("kind"), (F.col("best.sum") / F.col("n")).alias("score"), "n").where(
-            (F.col("n") >= SUPPORT) & (F.col("score") >= TRUST) & F.col("kind").isNotNull()).drop("n"))
-        more = edges.join(small(trusted), "pattern").where(F.length("token") >= SHORTEST).groupBy("token").agg(F.max(F.struct("score", "kind")).alias("best"))
-        more = written(more.join(scores, "token", "left_anti").select("token", F.col("best.kind").alias("kind"), F.col("best.score").alias("score")))
-        if not some(more):
-            break
-        at = written(units.where("kind is null").drop("kind").join(small(more.select("token")), "token"))
-        hits = at.select("doc_id", "row_key", "i", "token", F.explode(patterns_of()).alias("p")).join(small(trusted.select(F.col("pattern").alias("hit"))), F.col("p.pattern") == F.col("hit"))
-        share = at.groupBy("token").agg(F.count("*").alias("n")).join(hits.select("doc_id", "row_key", "i", "token").distinct().groupBy("token").agg(F.count("*").alias("hits")), "token")
-        good = share.where(F.col("token").rlike(r"[^\p{L}]") | (F.col("hits") >= TRUST * F.col("n"))).select("token")
-        more = written(more.join(good, "token", "left_semi"))
+        more = edges.where("able").join(small(trusted), "pattern").groupBy("token").agg(F.max(F.struct("score", "kind")).alias("best"))
+        more = written(more.join(known, "token", "left_anti").select("token", F.col("best.kind").alias("kind"), F.col("best.score").alias("score")))
         if not some(more):
             break
-        parts.append(at.join(small(more.select("token")), "token", "left_semi"))
-        scores = written(scores.unionByName(more))
-        touched = written(touched.unionByName(parts[-1].select("token", F.explode(patterns_of()).alias("p")).select("token", "p.*").distinct()))
-    if not parts:
-        return None
-    found = reduce(DataFrame.unionByName, parts).select("doc_id", "row_key", "i", F.explode(patterns_of()).alias("p")).select("doc_id", "row_key", "i", "p.pattern")
-    found = found.join(small(trusted), "pattern").groupBy("doc_id", "row_key", "i").agg(F.max(F.struct("score", "kind")).alias("best"))
-    return written(found.select("doc_id", "row_key", "i", F.col("best.kind").alias("kind")))
-
-
-def placed(found: DataFrame, facts: DataFrame) -> DataFrame:
-    """(x_id, x_key, extra): the spans of units found, per text; the text before a unit, less the marks, gives its place."""
-    per_text = found.groupBy(F.col("doc_id").alias("x_id"), F.col("row_key").alias("x_key")).agg(F.collect_set(F.struct("i", "kind")).alias("units"))
-    same = F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("row_key") == F.col("x_key"))
-    texts = facts.select("doc_id", "row_key", "marked").join(per_text, same).dropDuplicates(["doc_id", "row_key"])
-    texts = texts.select("x_id", "x_key", "units", F.split("marked", r"(?<=\s)(?=\S)", -1).alias("pieces"))
-
-    def span(u):
-        unit = F.regexp_replace(F.get(F.col("pieces"), u["i"]), r"\s+$", "")
-        start = F.length(F.regexp_replace(F.array_join(F.slice("pieces", F.lit(1), u["i"]), ""), MARKS, "")) + F.length(unit) - F.length(F.ltrim(unit, F.lit(PUNCTUATION)))
-        return F.struct(u["kind"].alias("kind"), start.cast("long").alias("start"), (start + F.length(bare(unit))).cast("long").alias("end"))
-
-    return texts.select("x_id", "x_key", F.transform("units", span).alias("extra"))
+        known = written(known.unionByName(more))
+    return trusted
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """(doc_id, base spans, spans), one row per document, of its whole text.
+    """(doc_id, row_key, base, spans), one row per document, of its whole text.
 
-    base: the fixed patterns' spans. spans: these, and units that a trusted contextual pattern finds and that
-    overlap none of them, under the pattern's kind. Offsets are code points, ends exclusive; both lists are
+    base: the fixed patterns' spans. spans: these, and whole instances that overlap none of them and stand in the context of a
+    trusted pattern, under the pattern's kind. An instance holds a digit or an at sign; one that is found has six
+    digits or an at sign, so years, prices and words stay. Offsets are code points, ends exclusive; both lists are
     ordered by start, then kind. Null and empty texts have no spans. Null ids and repeated rows are fine: equal
-    (id, text) rows get equal results. Other columns are ignored.
+    (id, text) rows get equal results. Of kinds that a pattern serves equally well the last in the alphabet is taken.
+    Other columns are ignored. Time is linear in a text's length and matches.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), text.alias("text"), in_order(base_spans(text)).alias("base"))
-    facts = written(facts.select("doc_id", "row_key", "base", marked(F.col("text"), merged(F.col("base"))).alias("marked")))
-    found = bootstrap(units_of(facts))
-    if found is None:
+    facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), in_order(base_spans(text)).alias("base"), instances_in(text).alias("instances"))
+    facts = written(facts)
+    found = written(known_instances(facts))
+    trusted = bootstrap(found)
+    if trusted is None:
         return facts.select("doc_id", "row_key", "base", F.col("base").alias("spans"))
+    # a text's instances stay together, so their rows are joined to the texts once, not each by itself
+    at = found.where("kind is null and able").select("doc_id", "row_key", "start", "end", F.explode("patterns").alias("pattern")).join(small(trusted), "pattern")
+    at = at.groupBy("doc_id", "row_key", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
+    extra = written(at.groupBy(F.col("doc_id").alias("x_id"), F.col("row_key").alias("x_key")).agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("extra")))
     same = F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("row_key") == F.col("x_key"))
-    out = facts.select("doc_id", "row_key", "base").join(placed(found, facts), same, "left")
+    out = facts.select("doc_id", "row_key", "base").join(few_spans(extra, "extra"), same, "left")
     return out.select("doc_id", "row_key", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(in_order(F.concat("base", "extra"))).alias("spans"))
 
 
+def few_spans(rows: DataFrame, column: str) -> DataFrame:
+    """Written rows with an array of spans (about 40 bytes each), broadcast while rows and spans together are few."""
+    most = MAX_BROADCAST_IDS // 5
+    n = rows.agg(F.coalesce(F.sum(F.size(column) + 1), F.lit(0)).alias("n")).first().n
+    return F.broadcast(rows) if n <= most else rows
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in angle brackets, and n_chars set anew if there.
 
@@ -273,19 +330,11 @@ def redact(docs: DataFrame) -> DataFrame:
     names = ("_pii_id", "_pii_key", "_pii_spans", "_pii_row")
     docs = docs.drop(*names)
     few_texts = written(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("row_key").alias("_pii_key"), merged(F.col("spans")).alias("_pii_spans")).dropDuplicates(["_pii_id", "_pii_key"]))
-    keyed = docs.withColumn("_pii_row", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("_pii_row", F.xxhash64(F.col("doc_id"), F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (F.col("_pii_row") == F.col("_pii_key"))
-    # one short row for each text with spans: broadcast while they are few, so that texts stay where they are
-    few = few_texts.limit(MAX_BROADCAST_IDS // 10 + 1).count() <= MAX_BROADCAST_IDS // 10
-    whole = keyed.join(F.broadcast(few_texts) if few else few_texts, same, "left")
-    spans, text = F.col("_pii_spans"), F.col("text")
-
-    def piece(s, i):
-        start = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
-        return F.concat(F.substring(text, (start + 1).cast("int"), (s["start"] - start).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-
-    tail = F.substring(text, (F.element_at(spans, -1)["end"] + 1).cast("int"), F.length(text))
-    out = whole.withColumn("text", F.when(spans.isNull(), text).otherwise(F.concat(F.array_join(F.transform(spans, piece), ""), tail)))
+    whole = keyed.join(few_spans(few_texts, "_pii_spans"), same, "left")
+    spans = F.col("_pii_spans")
+    out = whole.withColumn("text", F.when(spans.isNull(), F.col("text")).otherwise(replaced(F.col("text"), spans)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(spans.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(docs.columns)
