@@ -25,7 +25,7 @@ def hydrate_hits(candidates: DataFrame, chunks: DataFrame, docs: DataFrame, page
 
 
 def score_hits(hits: DataFrame, boost: float = BOOST, mode: str = "hybrid") -> DataFrame:
-    score = -F.coalesce("keyword_rank", F.lit(1_000_000_000)).cast("double") if mode == "keyword" else F.col("similarity") + F.lit(boost) * F.coalesce("coverage", F.lit(0.0))
+    score = -F.coalesce("keyword_rank", F.lit(1_000_000_000)).cast("double") if mode == "keyword" else F.coalesce("similarity", F.lit(0.0)) + F.lit(boost) * F.coalesce("coverage", F.lit(0.0))
     return hits.withColumn("score", score)
 
 
@@ -69,17 +69,18 @@ def hit_facets(hits: DataFrame) -> DataFrame:
     return n.withColumn("documents", F.count("*").over(W.partitionBy("query_id")))
 
 
-def hybrid_candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", scope: DataFrame | None = None, analyzer: str = "simple", ann: bool = False,
+def hybrid_candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", scope: DataFrame | None = None, analyzer: str = "simple", index: DataFrame | None = None,
                       postings: DataFrame | None = None) -> DataFrame:
     """Candidates of both legs with similarity, coverage and ranks.
 
-    queries (query_id, query, qvec); chunks (chunk_id, document_id, ordinal, text, embedding); scope (query_id, document_id).
+    An ``index`` (vector.graph_index) serves searches that have no scope; others are exact. Without a usable vector on
+    either side, similarity is null and counts as 0. queries (query_id, query, qvec); chunks (chunk_id, document_id, ordinal, text, embedding); scope (query_id, document_id).
     """
     postings = keyword.build_postings(chunks, analyzer) if postings is None else postings
     kw = keyword.keyword_queries(queries)
     none = "query_id long, chunk_id long, rank int"
     spark = queries.sparkSession
-    found = spark.createDataFrame([], none) if mode == "keyword" else (vector.knn_ann if ann and scope is None else vector.knn_exact)(queries.select("query_id", "qvec"), chunks, **({} if ann and scope is None else {"scope": scope}))
+    found = spark.createDataFrame([], none) if mode == "keyword" else vector.knn_ann(queries.select("query_id", "qvec"), index) if index is not None and scope is None else vector.knn_exact(queries.select("query_id", "qvec"), chunks, scope=scope)
     terms = keyword.informative_terms(keyword.query_terms(kw, analyzer), postings, chunks.agg(F.count("*").alias("n")))
     inside = None if scope is None else scope.join(chunks.select("chunk_id", "document_id"), "document_id").select("query_id", "chunk_id")
     if mode == "vector":
@@ -101,14 +102,14 @@ def hybrid_candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", scope: DataFrame | None = None, limit: int = 20, boost: float = BOOST, collapse: bool = True,
-                  spread: bool | None = None, analyzer: str = "simple", ann: bool = False, postings: DataFrame | None = None) -> DataFrame:
+                  spread: bool | None = None, analyzer: str = "simple", index: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, document_id, similarity, coverage, ranks, score, place) for all queries in one job.
 
     ``limit`` is clamped to 1..50, queries are cut at 1000 characters, empty ones have no hits; results are spread over documents unless scoped.
     """
     limit = max(1, min(50, limit))
     q = queries.withColumn("query", F.substring("query", 1, 1000)).where(F.trim("query") != "")
-    hits = score_hits(hybrid_candidates(q, chunks, mode, scope, analyzer, ann, postings), boost, mode)
+    hits = score_hits(hybrid_candidates(q, chunks, mode, scope, analyzer, index, postings), boost, mode)
     if collapse:
         hits = collapse_adjacent(hits)
     hits = diversify(hits, limit) if (scope is None if spread is None else spread) else hits.withColumn("adjusted", F.col("score"))

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.operators.graph_index import GRAPH, build_graphs, search_graphs, usable
 from lectern.operators.keyword import CANDIDATES, top_k
 
-#: Queries (a few hundred bytes each) that a task of the exact search holds at once; more are taken in blocks of so many.
-QUERY_BLOCK = 2_000
+#: Queries and passages (a few hundred bytes each) that a task of the exact search holds at once.
+QUERY_BLOCK, PART_ROWS = 2_000, 16_384
 BATCH_TEXTS, BATCH_TOKENS, CHARS_PER_TOKEN = 128, 60_000, 4
 
 
@@ -20,64 +21,78 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """Cosine in double precision; null where a vector is zero, or null."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def knn_exact(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): all passages (of the scoped documents) by cosine, the first k.
 
     queries (query_id, qvec), chunks (chunk_id, document_id, embedding), scope (query_id, document_id). The query set is
-    compared with all passages in blocks of bounded size: each task multiplies its passages with a block as matrices and
-    hands on the best k alone. Scoped searches join on the document first and score only what is in scope.
+    compared with all passages by groups of one block of queries and one part of the passages, both of bounded size: a
+    task multiplies them as matrices and hands on the best k of each query. Scoped searches join on the document first and
+    score only what is in scope. Vectors that are null, empty, zero or hold null or non-finite components are
+    near nothing: such queries have no hits, such passages are none. Widths don't mix.
     """
-    from functools import reduce
-
+    q = queries.where(usable(F.col("qvec"))).select("query_id", "qvec")
+    c = chunks.where(usable(F.col("embedding")))
+    best = (F.desc("similarity"), F.asc("chunk_id"))
     if scope is not None:
-        q = queries.select("query_id", "qvec", F.sqrt(dot(F.col("qvec"), F.col("qvec"))).alias("_qn"))
-        c = chunks.select("chunk_id", "document_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("_cn"))
-        pairs = c.join(scope.select("query_id", "document_id").join(q, "query_id"), "document_id")
-        scored = pairs.select("query_id", "chunk_id", (dot(F.col("qvec"), F.col("embedding")) / (F.col("_qn") * F.col("_cn"))).alias("similarity"))
-        return top_k(scored, k, F.desc("similarity"), F.asc("chunk_id"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = [best_of_tasks(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), chunks, k) for b in range(blocks)]
-    return top_k(reduce(DataFrame.unionByName, parts), k, F.desc("similarity"), F.asc("chunk_id"))
-
-
-def best_of_tasks(block: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, similarity): of one block of about QUERY_BLOCK queries, the best k of each task's passages."""
-    import numpy as np
-
-    rows = block.select("query_id", "qvec").collect()
-    ids, q = np.array([r.query_id for r in rows], np.int64), np.array([r.qvec for r in rows], np.float64)
-    q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else q
-
-    def score(batches):
-        import pyarrow as pa
-
-        kept_ids, kept = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            sims = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            new = np.broadcast_to(np.asarray(batch.column(0), np.int64), sims.shape)
-            all_ids, sims = np.concatenate([kept_ids, new], axis=1), np.concatenate([kept, sims], axis=1)
-            order = np.lexsort((all_ids, -sims), axis=1)[:, :k]
-            kept_ids, kept = np.take_along_axis(all_ids, order, 1), np.take_along_axis(sims, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, kept.shape[1])), pa.array(kept_ids.ravel()), pa.array(kept.ravel())], names=["query_id", "chunk_id", "similarity"])
-
-    return chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding").mapInArrow(score, "query_id long, chunk_id long, similarity double")
-
-
-def knn_ann(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """As knn_exact, over the k nearest that operator 2's graphs find among vectors of unit length; scored exactly."""
-    from lectern.llm.ann import nearest
-
-    unit = lambda v: F.transform(v.cast("array<double>"), lambda x: x / F.sqrt(dot(v, v)))
-    found = nearest(chunks.select(F.col("chunk_id").alias("vec_id"), unit(F.col("embedding")).alias("embedding")), queries.select(F.col("query_id").alias("vec_id"), unit(F.col("qvec")).alias("embedding")), k, keep_own=True)
-    met = found.select("query_id", F.col("vec_id").alias("chunk_id"))
-    scored = met.join(queries, "query_id").join(chunks.select("chunk_id", "embedding"), "chunk_id").select("query_id", "chunk_id", cosine(F.col("qvec"), F.col("embedding")).alias("similarity"))
-    return top_k(scored, k, F.desc("similarity"), F.asc("chunk_id"))
+        pairs = c.select("chunk_id", "document_id", "embedding").join(scope.select("query_id", "document_id").join(q, "query_id"), "document_id")
+        return top_k(pairs.select("query_id", "chunk_id", cosine(F.col("qvec"), F.col("embedding")).alias("similarity")).where("similarity is not null"), k, *best)
+    blocks, parts = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-c.count() // PART_ROWS))
+    deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    by = ["block", "part", "width"]
+    q = q.select("query_id", F.col("qvec").cast("array<double>").alias("qvec"), F.size("qvec").alias("width"), deal("query_id", blocks).alias("block"), each(parts).alias("part"))
+    c = c.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("width"), deal("chunk_id", parts).alias("part"), each(blocks).alias("block"))
+
+    def score(asked, passages):
+        import numpy as np
+        import pandas as pd
+
+        if not len(asked) or not len(passages):
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "chunk_id": np.empty(0, np.int64), "similarity": np.empty(0)})
+        unit = lambda rows: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))((lambda x: x / np.abs(x).max(axis=1, keepdims=True))(np.stack(rows.to_numpy())))
+        ids, own = asked["query_id"].to_numpy(np.int64), passages["chunk_id"].to_numpy(np.int64)
+        order = np.argsort(own, kind="stable")
+        own, x = own[order], unit(passages["embedding"])[order]
+        out = []
+        qs = unit(asked["qvec"])
+        for at in range(0, len(ids), 256):
+            sims = qs[at:at + 256] @ x.T
+            first = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # rows are by id, so ties go to the smaller
+            out.append(pd.DataFrame({"query_id": np.repeat(ids[at:at + 256], first.shape[1]), "chunk_id": own[first].ravel(), "similarity": np.take_along_axis(sims, first, 1).ravel()}))
+        return pd.concat(out, ignore_index=True)
+
+    pairs = q.groupBy(*by).cogroup(c.repartition(blocks * parts, *by).groupBy(*by))
+    return top_k(pairs.applyInPandas(score, "query_id long, chunk_id long, similarity double"), k, *best)
+
+
+def graph_index(chunks: DataFrame, path: str) -> DataFrame:
+    """The passages' vectors (chunk_id, embedding) as pruned graphs, written to ``path`` once and searched any number of times by ``knn_ann``.
+
+    Vectors are of unit length in it; those that are null, empty, zero or not finite are left out.
+    """
+    good = chunks.where(usable(F.col("embedding"))).select(F.col("chunk_id").alias("key"), unit_vector(F.col("embedding")).alias("v"))
+    build_graphs(good, good.count()).write.parquet(path)
+    return chunks.sparkSession.read.schema(GRAPH).parquet(path)
+
+
+def unit_vector(v: Column) -> Column:
+    d = v.cast("array<double>")
+    # the length is computed once for all components
+    return F.get(F.transform(F.array(F.sqrt(dot(d, d))), lambda n: F.transform(d, lambda x: x / n)), F.lit(0))
+
+
+def knn_ann(queries: DataFrame, index: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """As knn_exact, over what beam search finds in a ``graph_index``; ``recall`` measures it against knn_exact.
+
+    On unit vectors the nearest are those of the largest cosine, which is 1 - distance^2 / 2. Any width will do.
+    """
+    asked = queries.where(usable(F.col("qvec"))).select("query_id", unit_vector(F.col("qvec")).alias("v"))
+    found = search_graphs(index, asked, k).select("query_id", F.col("key").alias("chunk_id"), (1 - F.col("distance") * F.col("distance") / 2).alias("similarity"))
+    return top_k(found, k, F.desc("similarity"), F.asc("chunk_id"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

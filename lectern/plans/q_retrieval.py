@@ -137,7 +137,15 @@ def _(spark, d):
 
 @query("g3_knn_ann")
 def _(spark, d):
-    return V.knn_ann(vector_queries(spark, d), vectors(spark, d), 10)
+    return V.knn_ann(vector_queries(spark, d), V.graph_index(vectors(spark, d), f"{scratch_path(spark)}/graphs"), 10)
+
+
+@query("g3_recall", f"select count(*) as n, true as enough from (select q.vec_id, row_number() over (partition by q.vec_id order by {COS} desc, c.vec_id) as rank from embeddings q cross join embeddings c where q.vec_id % 50 = 0) where rank <= 10")
+def _(spark, d):
+    """How many of the exact ten nearest of all queries there are, and whether the index finds nine tenths of them."""
+    q, v = vector_queries(spark, d), vectors(spark, d)
+    r = V.recall(V.knn_ann(q, V.graph_index(v, f"{scratch_path(spark)}/graphs"), 10), V.knn_exact(q, v, 10))
+    return r.select("n", (F.col("found") >= 0.9 * F.col("n")).alias("enough"))
 
 
 @query("e1_embed_passages")

@@ -40,7 +40,7 @@ def test_collapse_and_diversify(spark):
     assert all(r.score == r.adjusted for r in R.diversify(many, 5).collect())
 
 
-def test_exact_search_is_brute_force_and_ann_is_measured(spark):
+def test_exact_search_is_brute_force_and_ann_is_measured(spark, tmp_path):
     import numpy as np
 
     x = np.random.default_rng(1).normal(size=(300, 64)).astype("float32")
@@ -51,7 +51,7 @@ def test_exact_search_is_brute_force_and_ann_is_measured(spark):
     got = V.knn_exact(q, c, 5)
     for r in got.collect():
         assert np.argsort(-(u @ u[r.query_id]), kind="stable")[r["rank"] - 1] == r.chunk_id
-    r = V.recall(V.knn_ann(q, c, 2), V.knn_exact(q, c, 2)).first()
+    r = V.recall(V.knn_ann(q, V.graph_index(c, str(tmp_path / 'graphs')), 2), V.knn_exact(q, c, 2)).first()
     assert r.found / r.n >= 0.9
     assert "CartesianProduct" not in got._jdf.queryExecution().toString()
 
@@ -76,14 +76,40 @@ def test_scoped_phrases_beyond_the_global_cut(spark):
     assert [(h.chunk_id, h.keyword_rank) for h in hits] == [(70, 1)]
 
 
-def test_ann_recall_on_the_given_table(spark):
+def test_ann_recall_on_the_given_table(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     c = e.select(F.col("vec_id").alias("chunk_id"), F.lit(0).alias("document_id"), "embedding")
     q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    r = V.recall(V.knn_ann(q, c, 10), V.knn_exact(q, c, 10)).first()
+    r = V.recall(V.knn_ann(q, V.graph_index(c, str(tmp_path / 'graphs')), 10), V.knn_exact(q, c, 10)).first()
     assert r.n == 10 * q.count() and r.found / r.n >= 0.9, r
 
 
+def test_vectors_without_a_direction_are_near_nothing(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, 0, [0.0, 0.0]), (1, 0, [1.0, 0.0]), (2, 0, [0.6, 0.8]), (3, 0, None), (4, 0, [nan, 1.0]), (5, 0, [inf, 1.0]), (6, 0, []), (7, 0, [1e-30, 0.0]), (8, 0, [1.0, 0.0, 0.0])]
+    c = spark.createDataFrame(rows, "chunk_id long, document_id long, embedding array<float>")
+    q = c.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    want = {1: [1, 7, 2], 2: [2, 1, 7], 7: [1, 7, 2], 8: [8]}
+    scope = q.select("query_id", F.lit(0).cast("long").alias("document_id"))
+    for found in (V.knn_exact(q, c, 5), V.knn_ann(q, V.graph_index(c, str(tmp_path / "graphs")), 5)):
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.chunk_id)
+        assert got == want
+    assert {r.query_id for r in V.knn_exact(q.where("query_id <> 8"), c.where("chunk_id <> 8"), 5, scope).collect()} == {1, 2, 7}
+    assert c.select(V.cosine(F.col("embedding"), F.col("embedding")).alias("s")).where("chunk_id = 0").first().s is None
+
+
+def test_hybrid_search_survives_blank_passages_and_unknown_words(spark):
+    c = chunks(spark, ["stoic calm and reason", "", "a garden of herbs"]).withColumns({"document_id": F.col("chunk_id"), "ordinal": F.lit(0)})
+    q = V.embed_queries(spark.createDataFrame([(1, "stoic"), (2, "unheard words"), (3, "...")], "query_id long, query string"), prefix="")
+    q = q.withColumn("qvec", F.when(F.col("query_id") == 3, F.transform("qvec", lambda x: x * 0)).otherwise(F.col("qvec")))
+    for mode in ("hybrid", "vector", "keyword"):
+        hits = R.hybrid_search(q, V.embed_passages(c), mode).collect()
+        assert min((h for h in hits if h.query_id == 1), key=lambda h: h.place).chunk_id == 0
+        assert not [h for h in hits if h.query_id == 3 or h.chunk_id == 1], mode
+
+
 def test_batches():
     bounds = list(V.batches_of(["x" * n for n in range(1, 301)]))
     assert bounds[0][0] == 0 and bounds[-1][1] == 300 and all(b - a <= 128 for a, b in bounds) and all(x[1] == y[0] for x, y in zip(bounds, bounds[1:]))
