@@ -2,97 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lectern.llm.common import read_table, written
+from lectern.operators.graph_index import BEAM, SHARD_ROWS, build_graphs, search_graphs, usable
 
-SHARD_ROWS = 4096
-BEAM = 256
 K = 10
 
 
-def usable(v: Column) -> Column:
-    """Whether a vector takes part: not null or empty, all components finite, not all zero."""
-    finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda c: c != 0), F.lit(False))
-
-
-def search_shard(ids, vectors, query_ids, queries, k: int, beam: int, keep_own: bool = False):
-    """(query_id, vec_id, distance) of the k nearest of one shard for each query, the query's own id left out unless kept.
-
-    ``vectors`` are distinct; ``ids`` has for each the list of its smallest ids (k + 1 at least, if there are so many).
-    """
-    import numpy as np
-
-    from lectern.llm.graph import beam_search, build, medoid
-
-    x = vectors.astype(np.float32)
-    adj = build(x)
-    norms = np.einsum("ij,ij->i", x, x)
-    names = np.zeros((len(ids), max(map(len, ids))), np.int64)
-    named = np.zeros(names.shape, bool)
-    for r, own in enumerate(ids):
-        names[r, : len(own)], named[r, : len(own)] = own, True
-    start, out = medoid(x), []
-    for at in range(0, len(queries), 256):
-        q = queries[at:at + 256]
-        near, _ = beam_search(x, norms, adj, q.astype(np.float32), np.full((len(q), 1), start), min(beam, len(x)), step=8)
-        # the original components in double precision decide order and ties
-        safe, rows = np.maximum(near, 0), np.arange(len(q))[:, None]
-        d = np.where(near < 0, np.inf, np.sqrt(((vectors[safe] - q[:, None, :]) ** 2).sum(axis=2)))
-        # with one id that may be the query's own, k ids can't lie in more than k + 1 vectors
-        first = np.lexsort((names[safe, 0], d), axis=1)[:, : k + 1]
-        safe, d = safe[rows, first], d[rows, first]
-        i = names[safe].reshape(len(q), -1)
-        d = np.where(named[safe], d[:, :, None], np.inf).reshape(len(q), -1)
-        if not keep_own:
-            d = np.where(i == query_ids[at:at + 256, None], np.inf, d)
-        order = np.lexsort((i, d), axis=1)[:, :k]
-        d, i = d[rows, order], i[rows, order]
-        good = np.isfinite(d)
-        out.append((np.repeat(query_ids[at:at + 256], order.shape[1])[good.ravel()], i[good], d[good]))
-    return [np.concatenate(c) for c in zip(*out)]
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, beam: int = BEAM, keep_own: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) of each query's k nearest found by Euclidean distance.
 
     Both inputs are (vec_id, embedding). Equal vectors are one, with the k + 1 smallest of their ids, of which no answer
     needs more. A hash of the smallest id deals the distinct vectors to shards of bounded size, so that a
-    cluster of any size is spread evenly; a task builds one shard's graph (every vector is in one) and answers all
-    queries on it by beam search. Each query's best of all shards are merged, nearest first, ties to the smaller
-    vec_id. Vectors that are null, empty, zero or hold null or non-finite components take no part, on
-    either side; nor do null ids. Vectors meet only others of their width. Fewer than k candidates: all of them.
-    A query's own id is no candidate unless ``keep_own``.
+    cluster of any size is spread evenly; a task builds one shard's graph, and each block of queries is answered
+    on each graph by beam search. Each query's best of all shards are merged, nearest first, ties to the smaller
+    vec_id; distances are of the original components in double precision. Vectors that are null, empty, zero or hold
+    null or non-finite components take no part, on either side; nor do null ids. Vectors meet only others of their width.
+    Fewer than k candidates: all of them. A query's own id is no candidate. Rows that repeat an id hold the same vector.
     """
     good = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda c: c + F.lit(0.0)).alias("v"))
     asked = queries.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+        F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v")).dropDuplicates(["query_id"])
     # ranks up to a bound are cut before the shuffle, so a vector with many copies costs a few rows a task
     least = good.withColumn("n", F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    distinct = written(least.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")))
-    n = max(1, -(-distinct.count() // shard_rows))
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(n)).cast("int")).withColumn("is_query", F.lit(False))
-    copies = asked.select(F.array("vec_id").alias("ids"), "v").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("is_query", F.lit(True))
-    rows = dealt.unionByName(copies).withColumn("width", F.size("v"))
-
-    def search(pdf):
-        import numpy as np
-        import pandas as pd
-
-        ask = pdf["is_query"].to_numpy(bool)
-        if ask.all() or not ask.any():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, v = pdf["ids"].to_numpy(), np.stack(pdf["v"].to_numpy())
-        first = np.array([i[0] for i in ids], np.int64)
-        order = np.argsort(first[~ask], kind="stable")  # the same graph however rows arrive
-        q, i, d = search_shard(ids[~ask][order], v[~ask][order], first[ask], v[ask], k, beam, keep_own)
-        return pd.DataFrame({"query_id": q, "vec_id": i, "score": d})
-
-    found = rows.groupBy("shard", "width").applyInPandas(search, "query_id long, vec_id long, score double").distinct()
+    distinct = written(least.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("key", F.get("ids", F.lit(0))))
+    graphs = written(build_graphs(distinct.select("key", "v"), distinct.count(), shard_rows))
+    # with one id that may be the query's own, k ids can't lie in more than k + 1 vectors
+    found = search_graphs(graphs, asked, k + 1, beam).join(distinct.select("key", "ids"), "key")
+    found = found.select("query_id", F.explode("ids").alias("vec_id"), F.col("distance").alias("score")).where("vec_id <> query_id").distinct()
     best = W.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
