@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -67,25 +69,33 @@ WINDOW, BRIDGE, LEAP, SHORTEST = 28, 80, 480, 8
 
 
 def places(page: str, target: str) -> list[tuple[int, int]]:
-    """Ranges of ``page`` that ``target`` covers: whole, or by windows in order; ranges close together are one."""
+    """Ranges of ``page`` that ``target`` covers: the whole of it, or the longest chain of its windows; ranges close together are one.
+
+    Every place of every window is a point (place on the page, number of the window). A chain goes forward in both, with leaps of
+    bounded length; of equally long ones the first on the page is taken.
+    """
     if not page or len(target) < SHORTEST:
         return []
-    at = page.find(target)
-    if at >= 0:
-        return [(at, at + len(target))]
-    found: list[list[int]] = []
-    starts = list(range(0, len(target) - WINDOW + 1, WINDOW)) + ([len(target) - WINDOW] if len(target) > WINDOW else [])
-    cursor, last = 0, None
-    for s in starts:
-        at = page.find(target[s:s + WINDOW], cursor)
-        if at < 0 or last is not None and at - last > LEAP:
-            continue
-        cursor, last = at + 1, at + WINDOW
-        if found and at - found[-1][1] <= BRIDGE:
-            found[-1][1] = max(found[-1][1], last)
-        else:
-            found.append([at, last])
-    return [(a, b) for a, b in found]
+    if target in page:
+        return [(page.index(target), page.index(target) + len(target))]
+    windows = [target[s:s + WINDOW] for s in sorted({*range(0, len(target) - WINDOW + 1, WINDOW), max(0, len(target) - WINDOW)})]
+    points = sorted((m.start(), k) for k, w in enumerate(windows) if len(w) == WINDOW for m in re.finditer(re.escape(w), page))
+    if not points:
+        return []
+    length, before, low = [1] * len(points), [-1] * len(points), 0
+    for i, (at, k) in enumerate(points):
+        while points[low][0] < at - WINDOW - LEAP:
+            low += 1
+        for j in range(low, i):
+            if points[j][0] < at and points[j][1] < k and length[j] >= length[i]:
+                length[i], before[i] = length[j] + 1, j
+    i, chain = length.index(max(length)), []
+    while i >= 0:
+        chain.append(points[i][0])
+        i = before[i]
+    chain.reverse()
+    breaks = [0, *(n for n in range(1, len(chain)) if chain[n] - chain[n - 1] - WINDOW > BRIDGE), len(chain)]
+    return [(chain[a], chain[b - 1] + WINDOW) for a, b in zip(breaks, breaks[1:])]
 
 
 def locate_passage(spans: DataFrame, targets: DataFrame) -> DataFrame:
