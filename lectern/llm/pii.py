@@ -33,11 +33,12 @@ MAYBE = {
 }
 
 #: Bootstrapping: rounds of scoring, the distinct known instances that a pattern needs, the confidence from which it is
-#: trusted, the weight of an instance that is not known (it may be right), and the digits that an instance without an at sign needs.
+#: trusted, the weight of an instance that is not known (it may be right), and the digits (or, with an at sign or a bracket, characters) that an instance found needs.
 ROUNDS, SUPPORT, TRUST, UNKNOWN, DIGITS = 3, 5, 0.8, 0.2, 6
-#: An instance: groups of digits joined by single signs or spaces, or a run without white space; it holds a digit or an at sign.
+#: An instance: groups of digits joined by single signs or spaces, or a run without white space; it holds a digit, an at sign or a bracket between letters.
 INSTANCE = (r"(?<!\S)(?:[+(]*+[0-9][0-9().+/-]*+(?:\x20\(?[0-9][0-9().+/-]*+)*+(?=[\s,;:!?\"'\u201d\u2019\u00bb\]]|$)"
-            r"|(?=[^\s0-9@]*+[0-9@])\S++)")
+            r"|(?=[^\s0-9@(\[{]*+(?:[0-9@]|(?<=\p{L})[(\[{]\p{L}))\S++)")
+HOLDS = r"[0-9@]|\p{L}[(\[{]\p{L}"
 #: What is no part of an instance or a context word at its ends (a colon or an equals sign after a word belongs to it).
 AROUND = ".,;!?\"'`[]{}<>|/\\*&%~^_\u2013\u2014\u2026\u201c\u201d\u201e\u2018\u2019\u00ab\u00bb\u00bf\u00a1"
 #: Context words are the last and first words of so many characters beside an instance, on its line.
@@ -207,7 +208,7 @@ def instances_in(text: Column) -> Column:
 
     found = F.filter(F.transform(located(text, INSTANCE, context), bare), lambda x: x["token"] != "")
     none = F.expr("cast(array() as array<struct<token: string, start: bigint, end: bigint, l2: string, l1: string, r1: string>>)")
-    return F.when(text.rlike("[0-9@]"), found).otherwise(none)
+    return F.when(text.rlike(HOLDS), found).otherwise(none)
 
 
 def known_instances(facts: DataFrame) -> DataFrame:
@@ -229,12 +230,12 @@ def known_instances(facts: DataFrame) -> DataFrame:
     touching = F.when(F.floor(F.col("left") / 8) > F.col("start"), F.col("left")).when(F.floor(F.col("right") / 8) < F.col("end"), F.col("right"))
     kind = F.get(F.array(*map(F.lit, KINDS)), (touching % 8 - 1).cast("int"))
     digits = F.length(F.regexp_replace("token", "[^0-9]", ""))
-    able = (digits >= DIGITS) | (F.col("token").contains("@") & (F.length("token") >= DIGITS))
+    able = (digits >= DIGITS) | (F.col("token").rlike(r"@|\p{L}[(\[{]\p{L}") & (F.length("token") >= DIGITS))
     return both.select(*key, "start", "end", F.xxhash64(F.lower("token")).alias("token"), kind.alias("kind"), able.alias("able"), patterns_of(digits).alias("patterns"))
 
 
 def patterns_of(digits: Column) -> Column:
-    """An instance's lexical patterns: words around it, with its coarse class (signs, and few, some or many digits) or with its exact shape.
+    """An instance's lexical patterns: words around it, with its coarse class (signs, and few, some or many digits), its exact shape, or neither.
 
     The words are the one before, the two before, those on both sides, or the one after; function words are no context by themselves.
     """
@@ -245,7 +246,7 @@ def patterns_of(digits: Column) -> Column:
     plain = lambda w: (w != "") & ~w.isin(FUNCTION_WORDS)
     there = [(plain(l1), F.concat(l1, F.lit(" _ "))), ((l2 != "") & (l1 != "") & (plain(l2) | plain(l1)), F.concat(l2, F.lit(" "), l1, F.lit(" _ "))),
              ((l1 != "") & (r1 != "") & (plain(l1) | plain(r1)), F.concat(l1, F.lit(" _ "), r1, F.lit(" "))), (plain(r1), F.concat(F.lit("_ "), r1, F.lit(" ")))]
-    return F.array_compact(F.array(*[F.when(ok, F.concat(words, what)) for ok, words in there for what in (coarse, F.concat(F.lit("="), shape))]))
+    return F.array_compact(F.array(*[F.when(ok, F.concat(words, what)) for ok, words in there for what in (coarse, F.concat(F.lit("="), shape), F.lit("*"))]))
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -292,8 +293,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, base, spans), one row per document, of its whole text.
 
     base: the fixed patterns' spans. spans: these, and whole instances that overlap none of them and stand in the context of a
-    trusted pattern, under the pattern's kind. An instance holds a digit or an at sign; one that is found has six
-    digits or an at sign, so years, prices and words stay. Offsets are code points, ends exclusive; both lists are
+    trusted pattern, under the pattern's kind. An instance holds a digit, an at sign or a bracket between letters; one
+    that is found has six digits or one of these signs, so years, prices and plain words stay. Offsets are code points, ends exclusive; both lists are
     ordered by start, then kind. Null and empty texts have no spans. Null ids and repeated rows are fine: equal
     (id, text) rows get equal results. Of kinds that a pattern serves equally well the last in the alphabet is taken.
     Other columns are ignored. Time is linear in a text's length and matches.
