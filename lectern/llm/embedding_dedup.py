@@ -333,10 +333,11 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = LEAST) -> DataFram
     repeat an id must hold the same vector, and are one vector.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda c: c + F.lit(0.0)).alias("v"))
-    # scaled by the largest component first, so that no square overflows or vanishes
-    good = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull()).withColumn("most", F.array_max(F.transform("v", F.abs)))
-    good = good.select("vec_id", F.transform("v", lambda c: c / F.col("most")).alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
-    unit = good.select("vec_id", F.transform("v", lambda c: c / F.col("norm")).alias("u"))
+    # scaled by the largest component first, so that no square overflows or vanishes; each divisor is computed once for a vector
+    over = lambda v, by: F.get(F.transform(F.array(by(v)), lambda n: F.transform(v, lambda c: c / n)), F.lit(0))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, c: a + c * c))
+    scaled = F.transform(F.array(over(F.col("v"), lambda v: F.array_max(F.transform(v, F.abs)))), lambda v: over(v, length))
+    unit = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull()).select("vec_id", F.get(scaled, F.lit(0)).alias("u"))
     unit = written(unit.withColumn("key", F.struct(F.xxhash64(F.lit(1), "u").alias("h1"), F.xxhash64(F.lit(2), "u").alias("h2"), F.size("u").alias("width"))))
     classes = written(unit.groupBy("key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies")))
     one = written(unit.join(classes.select(F.col("rep").alias("vec_id"), F.col("copies").alias("weight")), "vec_id").dropDuplicates(["vec_id"]).select("vec_id", "u", "weight"))
