@@ -32,12 +32,12 @@ PARAGRAPHS = """paragraphs as (
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One passage per paragraph."""
     p = paragraphs(spark, sf_dir)
-    return p.select((F.col("document_id") * 100_000 + F.col("seq")).alias("chunk_id"), "document_id", F.col("seq").alias("ordinal"), F.col("page").alias("page_start"), F.col("page").alias("page_end"),
+    return p.select((F.col("document_id") * 1_000_000_000 + F.col("seq")).alias("chunk_id"), "document_id", F.col("seq").alias("ordinal"), F.col("page").alias("page_start"), F.col("page").alias("page_end"),
                     "chapter", "text", word_count(F.col("text")).alias("word_count"))
 
 
 CHUNKS = PARAGRAPHS + """,
-chunks as (select document_id * 100000 + seq as chunk_id, document_id, seq as ordinal, page as page_start, page as page_end, chapter, text,
+chunks as (select document_id * 1000000000 + seq as chunk_id, document_id, seq as ordinal, page as page_start, page as page_end, chapter, text,
     len(regexp_extract_all(text, '\\S+'))::bigint as word_count from paragraphs)"""
 
 
@@ -74,11 +74,11 @@ LIBRARY = """library as (
 
 
 def queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query): each benchmark text's first 12 words."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("query"))
+    """(query_id, query): each benchmark text, whole."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))
 
 
-QUERIES_T = "queries_t as (select item_id::bigint as query_id, array_to_string(string_split(text, ' ')[1:12], ' ') as query from benchmark)"
+QUERIES_T = "queries_t as (select item_id::bigint as query_id, text as query from benchmark)"
 
 
 def with_(*parts: str) -> str:

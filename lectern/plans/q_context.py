@@ -81,7 +81,7 @@ def refs(spark, d):
 
 ALL = A.with_(A.LIBRARY, A.CHUNKS, A.PAGES).rstrip()
 RESTORED = """, rs as (select c.document_id as thread_id, 'P' || (ordinal + 1) as passage_id, case when ordinal = 0 then 'chunk' else 'page' end as kind, c.document_id, page_start, page_end,
-  case when ordinal = 0 then c.chapter else (select arg_max(x.chapter, x.page_start * 100000 + x.ordinal) from chunks x where x.document_id = c.document_id and x.page_start <= c.page_start) end as chapter,
+  case when ordinal = 0 then c.chapter else (select arg_max(x.chapter, x.page_start::bigint * 1000000000 + x.ordinal) from chunks x where x.document_id = c.document_id and x.page_start <= c.page_start) end as chapter,
   case when ordinal = 0 then c.text else p.text end as text, l.title, l.author, p.label as label_start, p.label as label_end
   from chunks c join library l on l.document_id = c.document_id left join pages_t p on p.document_id = c.document_id and p.page = c.page_start where ordinal in (0, 7))"""
 
@@ -95,7 +95,7 @@ def _(spark, d):
     return restored(spark, d)
 
 
-@query("i6_page_passages", ALL + """, rq as (select doc_id as request_id, doc_id as document_id, 2 as f, 4 as t from documents), ch as (select request_id, arg_max(chapter, page_start * 100000 + ordinal) as chapter from rq join chunks using (document_id) where page_start <= t group by 1)
+@query("i6_page_passages", ALL + """, rq as (select doc_id as request_id, doc_id as document_id, 2 as f, 4 as t from documents), ch as (select request_id, arg_max(chapter, page_start::bigint * 1000000000 + ordinal) as chapter from rq join chunks using (document_id) where page_start <= t group by 1)
 select request_id, p.page as page_start, ch.chapter, p.text, l.title, p.label as label_start from rq join pages_t p on p.document_id = rq.document_id and p.page between f and t join library l on l.document_id = rq.document_id left join ch using (request_id)""")
 def _(spark, d):
     rq = A.table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.col("doc_id").alias("document_id"), F.lit(2).alias("from_page"), F.lit(4).alias("to_page"))
@@ -133,10 +133,10 @@ def _(spark, d):
     return C.resolve_requests(r, C.build_catalog(A.library(spark, d)), scope)
 
 
-# --- answers: a document's first line cited and quoted, rightly and wrongly; its lines are the thread's passages ---
+# --- answers: one for each document, its first line cited and quoted, rightly and wrongly; all its lines are the thread's passages ---
 
 def passages(spark, d):
-    p = A.paragraphs(spark, d).where("seq < 3")
+    p = A.paragraphs(spark, d)
     return p.select(F.col("document_id").alias("thread_id"), F.concat(F.lit("P"), (F.col("seq") + 1).cast("string")).alias("passage_id"), "text")
 
 
@@ -149,26 +149,22 @@ def answers(spark, d):
 
 
 ANSWERS = A.PARAGRAPHS + r""",
-ps as (select document_id as thread_id, 'P' || (seq + 1) as passage_id, text from paragraphs where seq < 3),
+ps as (select document_id as thread_id, 'P' || (seq + 1) as passage_id, text from paragraphs),
 aw as (select doc_id, regexp_split_to_array(regexp_replace(text, '["“”\[\]<>]', '', 'g'), '\s+') as w from documents where text is not null),
 answers as (select doc_id as answer_id, doc_id as thread_id, 'As said [P1][P7] "' || array_to_string(w[1:5], ' ') || '" and [P2; P9] “' || array_to_string(w[1:3], ' ') || ' ... ' || array_to_string(w[7:9], ' ') || '” <synthesis>on p. 42 and pages 10–12' ||
-  case when doc_id % 2 = 0 then '</synthesis> <outside>never ' end || ' "an invented sentence of no book" ' || case when doc_id % 3 = 0 then '[P3, P2]</outside>' else '<synth' end as text from aw where doc_id % 2 = 0)"""
+  case when doc_id % 2 = 0 then '</synthesis> <outside>never ' else '' end || ' "an invented sentence of no book" ' || case when doc_id % 3 = 0 then '[P3, P2]</outside>' else '<synth' end as text from aw)"""
 CITES = r"""ci as (select answer_id, thread_id, flatten(list_transform(regexp_extract_all(text, '\[((?:P\d+)(?:\s*[,;]\s*P\d+)*)\]', 1), lambda g: regexp_split_to_array(g, '\s*[,;]\s*'))) as ids from answers)"""
 QUOTES = r"""qu as (select answer_id, thread_id, list_filter(list_transform(regexp_extract_all(text, '[“"]([^“”"]{12,}?)[”"]', 1), lambda q: trim(q)), lambda q: len(regexp_split_to_array(q, '\s+')) >= 4) as qs from answers)"""
 
 
-def even_answers(spark, d):
-    return answers(spark, d).where("answer_id % 2 = 0")
-
-
 @query("j1_extract_citations", A.with_(ANSWERS, CITES) + "select answer_id, array_to_string(ids, ',') as ids from ci")
 def _(spark, d):
-    return even_answers(spark, d).select("answer_id", F.array_join(T.extract_citations(F.col("text")), ",").alias("ids"))
+    return answers(spark, d).select("answer_id", F.array_join(T.extract_citations(F.col("text")), ",").alias("ids"))
 
 
 @query("j2_page_mentions", A.with_(ANSWERS) + r"select answer_id, array_to_string(regexp_extract_all(text, '(?i)\b(?:pp?\.|pages?)\s*[\divxlc]+(?:\s*[–-]\s*[\divxlc]+)?\b'), ',') as mentions from answers")
 def _(spark, d):
-    return even_answers(spark, d).select("answer_id", F.array_join(T.page_mentions(F.col("text")), ",").alias("mentions"))
+    return answers(spark, d).select("answer_id", F.array_join(T.page_mentions(F.col("text")), ",").alias("mentions"))
 
 
 CHECKED = ", ce as (select answer_id, thread_id, ids[i] as passage_id, min(i - 1)::int as pos from ci, unnest(range(1, len(ids) + 1)) as r(i) group by 1, 2, 3), cc as (select answer_id, pos, ce.passage_id, p.thread_id is not null as known from ce left join ps p on p.thread_id = ce.thread_id and p.passage_id = ce.passage_id)"
@@ -176,12 +172,12 @@ CHECKED = ", ce as (select answer_id, thread_id, ids[i] as passage_id, min(i - 1
 
 @query("j3_check_citations", A.with_(ANSWERS, CITES).rstrip() + CHECKED + " select * from cc")
 def _(spark, d):
-    return J.check_citations(even_answers(spark, d), passages(spark, d))
+    return J.check_citations(answers(spark, d), passages(spark, d))
 
 
 @query("j4_extract_quotes", A.with_(ANSWERS, QUOTES) + "select answer_id, array_to_string(qs, '|') as quotes from qu")
 def _(spark, d):
-    return even_answers(spark, d).select("answer_id", F.array_join(T.extract_quotes(F.col("text")), "|").alias("quotes"))
+    return answers(spark, d).select("answer_id", F.array_join(T.extract_quotes(F.col("text")), "|").alias("quotes"))
 
 
 VERIFIED = r""", qe as (select answer_id, thread_id, (i - 1)::int as pos, qs[i] as quote from qu, unnest(range(1, len(qs) + 1)) as r(i)),
@@ -192,7 +188,7 @@ fo as (select answer_id, pos, string_agg(distinct passage_id, ',' order by passa
 
 @query("j5_check_quotes", A.with_(ANSWERS, QUOTES).rstrip() + VERIFIED + " select * from qv")
 def _(spark, d):
-    return J.check_quotes(even_answers(spark, d), passages(spark, d))
+    return J.check_quotes(answers(spark, d), passages(spark, d))
 
 
 @query("j6_segment_answer", A.with_(ANSWERS) + r""", p as (select answer_id, string_split(regexp_replace(regexp_replace(text, '(?i)</?[a-z]*$', ''), '<(/?)(synthesis|outside)>', chr(1) || '\1\2' || chr(2), 'g'), chr(1)) as parts from answers),
@@ -200,12 +196,12 @@ e as (select answer_id, i, parts[i] as part from p, unnest(range(1, len(parts) +
 n as (select *, case when lag(kind) over w is not distinct from kind then 0 else 1 end as nw from k where trim(regexp_replace(body, '\s', '', 'g')) <> '' window w as (partition by answer_id order by i)), g as (select *, sum(nw) over (partition by answer_id order by i rows unbounded preceding) - 1 as pos from n)
 select answer_id, pos::bigint as pos, kind, string_agg(body, '' order by i) as body from g group by 1, 2, 3""")
 def _(spark, d):
-    return J.segment_answer(even_answers(spark, d))
+    return J.segment_answer(answers(spark, d))
 
 
 @query("j7_link_citations")
 def _(spark, d):
-    return even_answers(spark, d).select("answer_id", T.link_citations(F.col("text")).alias("linked"))
+    return answers(spark, d).select("answer_id", T.link_citations(F.col("text")).alias("linked"))
 
 
 O["j7_link_citations"] = A.with_(ANSWERS) + r"""select answer_id, replace(replace(replace(replace(replace(text, '[P1]', '[P1](cite:P1)'), '[P7]', '[P7](cite:P7)'), '[P2; P9]', '[P2](cite:P2)[P9](cite:P9)'), '[P3, P2]', '[P3](cite:P3)[P2](cite:P2)'), '', '') as linked from answers"""
@@ -215,7 +211,7 @@ O["j7_link_citations"] = A.with_(ANSWERS) + r"""select answer_id, replace(replac
 select a.answer_id, coalesce(cited, 0) as cited, coalesce(unknown, 0) as unknown, coalesce(verified, 0) as verified, coalesce(quotes, 0) as quotes, coalesce(consulted, 0) as consulted, len(regexp_extract_all(text, '(?i)\b(?:pp?\.|pages?)\s*[\divxlc]+(?:\s*[–-]\s*[\divxlc]+)?\b'))::bigint as mentions, coalesce(consulted, 0) - coalesce(cited, 0) as uncited
 from answers a left join c using (answer_id) left join q using (answer_id) left join n on n.thread_id = a.thread_id""")
 def _(spark, d):
-    return J.audit_summary(even_answers(spark, d), passages(spark, d))
+    return J.audit_summary(answers(spark, d), passages(spark, d))
 
 
 @query("j9_locate_passage")
@@ -224,4 +220,4 @@ def _(spark, d):
     p = A.paragraphs(spark, d).withColumn("page_key", F.struct("document_id", "page"))
     spans = p.select("page_key", F.col("seq").cast("long").alias("idx"), "text")
     after = F.lead("text").over(W.partitionBy("page_key").orderBy("seq"))
-    return J.locate_passage(spans, p.select((F.col("document_id") * 100_000 + F.col("seq")).alias("target_id"), "page_key", F.concat_ws(" ", "text", after).alias("text")))
+    return J.locate_passage(spans, p.select((F.col("document_id") * 1_000_000_000 + F.col("seq")).alias("target_id"), "page_key", F.concat_ws(" ", "text", after).alias("text")))

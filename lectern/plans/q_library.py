@@ -8,7 +8,7 @@ from lectern.functions import text as T
 from lectern.operators import library as L
 from lectern.operators import rank
 from lectern.plans import adapters as A
-from lectern.plans.scratch import scratch_path
+from lectern.sources.scratch import scratch_path
 from lectern.sources import files
 from lectern.streaming import jobs as S
 
@@ -314,7 +314,7 @@ def _(spark, d):
     A.library(spark, d).select("document_id", "title", "sha256").where("sha256 is not null").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("document_id long, title string, sha256 string").parquet(f"{base}/in")
     S.stream_ingest(stream, f"{base}/out", f"{base}/check").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("document_id", "sha256")
+    return S.latest_documents(spark.read.parquet(f"{base}/out")).select("document_id", "sha256")
 
 
 @query("m2_stream_dedupe", LIB + "select sha256 from library where sha256 is not null group by sha256")

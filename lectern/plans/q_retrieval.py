@@ -10,7 +10,7 @@ from lectern.operators import rank as R
 from lectern.operators import vector as V
 from lectern.plans import adapters as A
 from lectern.plans.q_library import NORM
-from lectern.plans.scratch import scratch_path
+from lectern.sources.scratch import scratch_path
 
 Q, O = {}, {}
 
@@ -75,12 +75,12 @@ def _(spark, d):
 
 
 def phrase_queries(spark, d):
-    """The benchmark's third to fifth words as a phrase."""
-    q = A.table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.slice(K.tokens(F.col("text")), 3, 3).alias("w"))
+    """Each benchmark text as one phrase."""
+    q = A.table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), K.tokens(F.col("text")).alias("w"))
     return q.select("query_id", F.concat(F.lit('"'), F.array_join("w", " "), F.lit('"')).alias("query"))
 
 
-@query("f5_phrase_topk", POSTINGS + f""", pq as (select item_id::bigint as query_id, list_filter(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')[3:5], lambda w: w not in ({quoted(K.STOP_WORDS)})) as ws from benchmark),
+@query("f5_phrase_topk", POSTINGS + f""", pq as (select item_id::bigint as query_id, list_filter(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: w not in ({quoted(K.STOP_WORDS)})) as ws from benchmark),
 pw as (select query_id, ws[i] as lexeme, i - 1 as off, len(ws) as n from pq, unnest(range(1, len(ws) + 1)) as r(i)), po as (select query_id, n, chunk_id, pos - off as st, count(distinct off) as m from postings join pw using (lexeme) group by 1, 2, 3, 4),
 ph as (select query_id, chunk_id, count(*) as hits from po where m = n group by 1, 2) select * from (select *, row_number() over (partition by query_id order by hits desc, chunk_id)::int as rank from ph) where rank <= 60""")
 def _(spark, d):
@@ -239,11 +239,38 @@ def index(spark, d):
     return chunks, spark.read.parquet(f"{path}/postings")
 
 
-@query("h6_hybrid_search")
-def _(spark, d):
+def search(spark, d, mode="hybrid", scoped=False):
+    """All benchmark texts sought among all passages; scoped: in the documents of one source for each."""
     chunks, postings = index(spark, d)
     q = V.embed_queries(A.queries_table(spark, d), prefix="")
-    return R.hybrid_search(q, chunks, postings=postings).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
+    scope = None
+    if scoped:
+        lib = A.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "source")
+        scope = lib.join(A.queries_table(spark, d).select("query_id"), F.col("source") == F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))).select("query_id", "document_id")
+    return R.hybrid_search(q, chunks, mode, scope=scope, postings=postings)
+
+
+@query("h6_hybrid_search")
+def _(spark, d):
+    return search(spark, d).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
+
+
+@query("h6_vector_search")
+def _(spark, d):
+    return search(spark, d, "vector").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
+
+
+@query("h6_scoped_search")
+def _(spark, d):
+    return search(spark, d, scoped=True).select("query_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "place")
+
+
+@query("h6_keyword_search", POSTINGS + """, s as (select k.query_id, k.chunk_id, c.document_id, c.ordinal::int as ordinal, (-k.rank)::double as score from ktop k join chunks c using (chunk_id)),
+go as (select query_id, document_id, list(ordinal order by score desc, chunk_id) as os from s group by 1, 2),
+kp as (select query_id, document_id, unnest(list_reduce(list_transform(os, lambda o: [o]), lambda acc, x: case when len(list_filter(acc, lambda k: abs(k - x[1]) <= 1)) > 0 then acc else list_concat(acc, x) end)) as ordinal from go),
+c as (select s.* from s join kp using (query_id, document_id, ordinal))""" + DIVERSE + " select query_id, chunk_id, place from pl")
+def _(spark, d):
+    return search(spark, d, "keyword").select("query_id", "chunk_id", "place")
 
 
 @query("h7_hit_facets", POSTINGS + ", f as (select query_id, document_id, count(*) as hits from ktop join chunks using (chunk_id) group by 1, 2) select *, count(*) over (partition by query_id) as documents from f")
@@ -262,12 +289,14 @@ def _(spark, d):
 
 
 def cases(spark, d):
-    """Each benchmark text is asked for by its beginning; a passage that holds its words four to nine answers."""
-    q = A.table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.array(F.array_join(F.slice(K.tokens(F.col("text")), 4, 6), " ")).alias("needles"))
+    """Each benchmark text is asked for; a passage that holds its longest line answers."""
+    longest = F.array_max(F.transform(F.split("text", "\n"), lambda l, i: F.struct(F.length(l).alias("n"), (-i).alias("i"), l.alias("line"))))["line"]
+    q = A.table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.array(longest).alias("needles"))
     return q.withColumn("book", F.lit(None).cast("long"))
 
 
-EVAL = POSTINGS + f""", nd as (select item_id::bigint as query_id, {NORM.format("array_to_string(list_filter(regexp_split_to_array(lower(text), '[^" + chr(92) + "p{L}" + chr(92) + "p{N}]+'), lambda w: w <> '')[4:9], ' ')")} as needle from benchmark),
+EVAL = POSTINGS + f""", ln as (select item_id::bigint as query_id, i, string_split(text, chr(10))[i] as line from benchmark, unnest(range(1, len(string_split(text, chr(10))) + 1)) as r(i)),
+nd as (select query_id, {NORM.format("arg_max(line, length(line) * 100000 - i)")} as needle from ln group by 1),
 g as (select k.query_id, min(k.rank) as place from ktop k join chunks c using (chunk_id) join nd on nd.query_id = k.query_id where k.rank <= 10 and contains({NORM.format('c.text')}, needle) group by 1),
 rk as (select query_id, place from nd left join g using (query_id))"""
 
@@ -279,6 +308,15 @@ def _(spark, d):
     return E.retrieval_eval(E.answer_ranks(hits, chunks, cases(spark, d))).withColumn("mrr", F.round("mrr", 6))
 
 
+@query("k2_retrieval_variants")
+def _(spark, d):
+    """The same cases under all three modes of the search."""
+    chunks, postings = index(spark, d)
+    q = V.embed_queries(A.queries_table(spark, d), prefix="")
+    hits = [R.hybrid_search(q, chunks, mode, limit=10, postings=postings).select("query_id", "chunk_id", "document_id", "place").withColumn("variant", F.lit(mode)) for mode in ("vector", "keyword", "hybrid")]
+    return E.retrieval_eval(E.answer_ranks(hits[0].unionByName(hits[1]).unionByName(hits[2]), chunks, cases(spark, d))).withColumn("mrr", F.round("mrr", 6))
+
+
 @query("k3_boost_sweep", HITS + """, b as (select unnest([0.0, 0.015, 0.06])::double as boost), sw as (select h.*, b.boost, similarity + boost * coverage as score from h cross join b),
 g as (select boost, query_id, document_id, list(ordinal order by score desc, chunk_id) as os from sw group by 1, 2, 3),
 kp as (select boost, query_id, document_id, unnest(list_reduce(list_transform(os, lambda o: [o]), lambda acc, x: case when len(list_filter(acc, lambda k: abs(k - x[1]) <= 1)) > 0 then acc else list_concat(acc, x) end)) as ordinal from g),

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a local temporary folder where that is unset, as in tests."""
+    """A new path below ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary folder; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
