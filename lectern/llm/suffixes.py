@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,23 +109,55 @@ def multikey_order(columns):
     return order
 
 
-ROW = "t1 long, t2 long, doc long, pos long, n int"
+ROW = "t1 long, t2 long, doc long, pos long, n int, bucket int"
+#: Suffixes of a bucket at most, about; and sampled suffixes for each splitter, which lie in documents that a hash chooses.
+BUCKET_ROWS, PER_SPLITTER = 1_000_000, 100
 #: same_* compare with the neighbour in the global order: t1 alone, or both tokens.
 SORTED = "doc long, pos long, n int, same_before boolean, t1_before boolean, t1_after boolean"
 
 
-def suffix_sort(rows: DataFrame) -> DataFrame:
+def buckets_for(spark: SparkSession, n: int) -> int:
+    """How many buckets ``n`` suffixes need."""
+    return max(shuffle_partitions(spark), -(-n // BUCKET_ROWS))
+
+
+def splitters(emit: Callable[[DataFrame, list], DataFrame], docs: DataFrame, n: int, buckets: int) -> list[tuple]:
+    """The (t1, t2, doc, pos) at which buckets begin, in order, from the suffixes of a hash-chosen part of the documents.
+
+    ``emit`` makes suffixes of documents (doc_id), which have about ``n`` in all. What is collected is PER_SPLITTER short rows a bucket on average; only the
+    sizes of buckets hang on them.
+    """
+    share = min(1.0, PER_SPLITTER * buckets / max(1, n))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    rows = sorted(tuple(r) for r in emit(some, []).select("t1", "t2", "doc", "pos").collect())
+    return [rows[len(rows) * k // buckets] for k in range(1, buckets)] if len(rows) >= buckets else []
+
+
+def bucket_of(cuts: list[tuple], t1, t2, doc: int, pos):
+    """The bucket of each of a document's suffixes: how many of the sorted cuts are not beyond it (numpy)."""
+    import bisect
+
+    import numpy as np
+
+    if not cuts:
+        return np.zeros(len(t1), np.int32)
+    first = np.array([c[0] for c in cuts], np.int64)
+    low, high = np.searchsorted(first, t1, side="left"), np.searchsorted(first, t1, side="right")
+    for i in np.flatnonzero(low < high):  # those that share a cut's first token
+        low[i] = bisect.bisect_right(cuts, (int(t1[i]), int(t2[i]), doc, int(pos[i])))
+    return low.astype(np.int32)
+
+
+def suffix_sort(rows: DataFrame, buckets: int) -> DataFrame:
     """ROW -> SORTED: what each suffix shares with its neighbours in the order (t1, t2, doc, pos).
 
     Sampled splitters range-partition the suffixes by their leading tokens and, where tokens tie, by place: a
     string that a third of all documents share spans as many buckets as its suffixes fill, and none is
-    larger than another. Buckets sort locally; a bucket's outermost suffixes are compared across its
-    boundaries, from two short rows per bucket. Each suffix that equals the one before it also
+    much larger than another. Suffixes come with their bucket, so they are made once. Buckets sort locally; a bucket's outermost
+    suffixes are compared across its boundaries, from two short rows per bucket. Each suffix that equals the one before it also
     starts earlier, in a smaller document or place.
     """
     spark = rows.sparkSession
-    n = shuffle_partitions(spark)
-    keys = ("t1", "t2", "doc", "pos")
 
     def bucket(batches):
         import numpy as np
@@ -148,7 +181,7 @@ def suffix_sort(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*cols, pa.array(np.where(m, t1[keep], 0), mask=~m), pa.array(np.where(m, t2[keep], 0), mask=~m), pa.array(np.full(m.size, len(t1)))],
                                          names=["doc", "pos", "n", "same_before", "t1_before", "t1_after", "t1", "t2", "bucket_rows"])
 
-    out = written(rows.select("t1", "t2", "doc", "pos", "n").repartitionByRange(n, *keys).mapInArrow(bucket, SORTED + ", t1 long, t2 long, bucket_rows long"))
+    out = written(rows.repartitionById(buckets, "bucket").select("t1", "t2", "doc", "pos", "n").mapInArrow(bucket, SORTED + ", t1 long, t2 long, bucket_rows long"))
     ends = sorted(out.where("t1 is not null").select("t1", "t2", "doc", "pos", "n", "same_before", "t1_before", "t1_after").collect(), key=tuple)  # two a bucket
     fixed = []
     for i, e in enumerate(ends):
@@ -160,8 +193,8 @@ def suffix_sort(rows: DataFrame) -> DataFrame:
         spark.createDataFrame(fixed, SORTED))
 
 
-def strings_table(docs: DataFrame) -> DataFrame:
-    """The runs of every document, as ROW."""
+def strings_table(docs: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """The runs of every document, as ROW, with buckets by the cuts."""
 
     def emit(batches):
         import numpy as np
@@ -172,9 +205,10 @@ def strings_table(docs: DataFrame) -> DataFrame:
             for i, text in zip(ids, batch.column(1).to_pylist()):
                 r = runs_of(text.encode("utf-8", "surrogatepass")) if text else None
                 if r:
-                    out.append((r[2].view(np.int64), r[3].view(np.int64), np.full(len(r[0]), i), r[0], r[1].astype(np.int32)))
+                    t1, t2 = r[2].view(np.int64), r[3].view(np.int64)
+                    out.append((t1, t2, np.full(len(r[0]), i), r[0], r[1].astype(np.int32), bucket_of(cuts, t1, t2, i, r[0])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["t1", "t2", "doc", "pos", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["t1", "t2", "doc", "pos", "n", "bucket"])
 
     return docs.select("doc_id", "text").mapInArrow(emit, ROW)
 
@@ -199,8 +233,8 @@ def _unpack(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
-def open_strings(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """ROW of each single string of the given runs (doc, pos, n): fingerprints of its bytes by two bases."""
+def open_strings(texts: DataFrame, runs: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """ROW of each single string of the given runs (doc, pos, n), with buckets by the cuts: fingerprints of its bytes by two bases."""
     lists = runs.groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
 
     def emit(batches):
@@ -214,9 +248,10 @@ def open_strings(texts: DataFrame, runs: DataFrame) -> DataFrame:
                 at = np.concatenate([np.arange(r["pos"], r["pos"] + r["n"]) for r in runs])
                 one = Hashes(data).of(at, at + LENGTH)
                 two = Hashes(data, _SECOND).of(at, at + LENGTH) >> np.uint64(40)
-                out.append((one.view(np.int64), two.view(np.int64), np.full(len(at), i), at, np.ones(len(at), np.int32)))
+                t1, t2 = one.view(np.int64), two.view(np.int64)
+                out.append((t1, t2, np.full(len(at), i), at, np.ones(len(at), np.int32), bucket_of(cuts, t1, t2, i, at)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["t1", "t2", "doc", "pos", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["t1", "t2", "doc", "pos", "n", "bucket"])
 
     return texts.join(lists, texts["doc_id"] == lists["doc"]).select("doc_id", "z", "runs").mapInArrow(emit, ROW)
 
@@ -255,12 +290,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     originals = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     originals = by_ids(one_per_id(originals), copies.select(F.col("doc_id").alias("id")), "doc_id", keep=False)
 
-    runs = suffix_sort(strings_table(originals))
+    spark = docs.sparkSession
+    n_runs = 1 + (base.agg(F.sum("n_bytes").alias("n")).first().n or 0) // ((LENGTH - GRAM) // 2)
+    buckets = buckets_for(spark, n_runs)
+    runs = suffix_sort(strings_table(originals, splitters(strings_table, originals, n_runs, buckets)), buckets)
     whole = runs.where("same_before").select("doc", "pos", "n")
     # the first of equal runs is opened where other runs share its first token
     ambiguous = runs.where(~F.col("same_before") & (F.col("t1_before") | F.col("t1_after"))).select("doc", "pos", "n")
     texts = packed_texts(originals)
-    strings = suffix_sort(open_strings(texts, ambiguous)).where("same_before").select("doc", "pos", "n")
+    n_strings = ambiguous.agg(F.sum("n").alias("n")).first().n or 0
+    buckets = buckets_for(spark, n_strings)
+    opened = lambda some, cuts: open_strings(some, ambiguous, cuts)
+    strings = suffix_sort(opened(texts, splitters(opened, texts, n_strings, buckets)), buckets).where("same_before").select("doc", "pos", "n")
     hits = whole.unionByName(strings).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("hits"))
 
     def cut(batches):
