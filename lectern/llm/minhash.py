@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lectern.llm.common import by_ids, mix64, one_per_id, read_table, words_of, written
+from lectern.llm.common import MAX_BROADCAST_IDS, by_ids, mix64, one_per_id, read_table, words_of, written
 from lectern.llm.components import connected_components
 
 BANDS, ROWS = 40, 6  # two sets at similarity 0.8 share no band with probability (1 - 0.8^6)^40 = 5e-6
-MAX_KEPT = 400_000
+MAX_KEPT = 300_000
+SALTS = 16
 
 
 class _Hashes(dict):
@@ -147,6 +148,17 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
+def by_key(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with what the written ``keys`` (a few dozen bytes each) tell of their band key, wherever it is one of them.
+
+    Few keys are broadcast. More are joined in as many parts as there are SALTS: a bucket of a third of all documents is spread over tasks.
+    """
+    if keys.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        return rows.join(F.broadcast(keys), "key")
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
 def links(sig: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed edges (a, b) that join whatever is similar, between documents of different shingle sets.
 
@@ -162,7 +174,8 @@ def links(sig: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame
     pair = (F.least("d", "hub").alias("a"), F.greatest("d", "hub").alias("b"))
 
     hubs = rows.groupBy("key").agg(F.min(F.struct("d", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    met = written(rows.join(hubs.select("key", F.col("h.d").alias("hub"), F.col("h.n").alias("hub_n"), "c"), "key").where("d <> hub"))
+    hubs = written(hubs.select("key", F.col("h.d").alias("hub"), F.col("h.n").alias("hub_n"), "c"))
+    met = written(by_key(rows, hubs).where("d <> hub"))
     pairs = written(met.where(fits).select(*pair).distinct())
     # texts are read again only for documents that share a bucket with one of their size
     rest = met.where("c > 2")
@@ -171,8 +184,9 @@ def links(sig: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame
     found = written(confirm(pairs, sets, percent))
     ok = found.select("a", "b", F.lit(True).alias("ok"))
     rest = rest.select("key", "d", "n", *pair).join(ok, ["a", "b"], "left")
-    open_ = rest.where("ok is null").select("key").distinct()
-    left = written(rest.join(open_, "key", "left_semi").select("d").distinct())
+    rest = written(rest.select("key", "d", "ok"))
+    open_ = written(rest.where("ok is null").select("key").distinct())
+    left = written(by_key(rest, open_).select("d").distinct())
     if left.limit(1).count() == 0:
         return found
     more = overlapping(left, sets, connected_components(found), percent).join(pairs, ["a", "b"], "left_anti")
