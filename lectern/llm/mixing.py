@@ -83,8 +83,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
             .withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1)))
             .withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col("copy_no").cast("string"))))
             .drop("_mix_source", "_mix_cdf", "_mix_u", "_mix_n"))
-    # keys are uniform hashes, so that equal ranges hold equally many rows whatever the sources
-    return rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")
+    # keys are uniform hashes, so equal ranges of their leading bits hold equally many rows whatever the sources, and need no sample
+    n = shuffle_partitions(docs.sparkSession)
+    leading = F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long")
+    placed = rows.withColumn("_mix_part", F.floor(leading * F.lit(n) / F.lit(float(1 << 32))).cast("int"))
+    return placed.repartitionById(n, "_mix_part").drop("_mix_part").sortWithinPartitions("mix_key")
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
