@@ -10,7 +10,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import read_table, scratch_dir, written
+from lectern.llm.common import MAX_BROADCAST_IDS, read_table, written
+from lectern.sources.scratch import scratch_path
 
 MIN_REVISIT_BYTES = 100
 #: Ranges of one file at most this far apart are read at once, in reads of at most MAX_READ bytes.
@@ -60,7 +61,9 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     small = keyed.where(F.col("n_bytes") >= MIN_REVISIT_BYTES).select("page_id", "digest").join(first.select("digest", "first"), "digest")
     again = small.where("page_id is null or page_id > first").groupBy(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest")).agg(F.min("first").alias("refers_to"))
     same = F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest"))
-    return keyed.join(again, same, "left").drop("again_id", "again_digest")
+    again = written(again)  # about a hundred bytes a row: payloads stay where they are while these are few
+    few = again.limit(MAX_BROADCAST_IDS // 5 + 1).count() <= MAX_BROADCAST_IDS // 5
+    return keyed.join(F.broadcast(again) if few else again, same, "left").drop("again_id", "again_digest")
 
 
 def write_archives(pages: DataFrame, path: str, files: int | None = None) -> DataFrame:
@@ -150,7 +153,7 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     records of their own (a null id names no response, and refers to one when its payload is another's).
     Payloads under 100 bytes never revisit. Extra columns are ignored. No pages, no archives, no rows.
     """
-    index = write_archives(pages, path or scratch_dir(pages.sparkSession))
+    index = write_archives(pages, path or scratch_path(pages.sparkSession))
     return read_records(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
