@@ -19,7 +19,7 @@ LEAST_SHARE, Z = 0.5, 3.0
 #: Entries of the lexicon at most, the surest first; it is sent to every task.
 MAX_LEXICON = 5_000
 PREFIXES = (4, 5, 6)  # beginnings of words that count as terms too: inflections and compounds share them
-MAX_KEPT = 400_000
+MAX_KEPT = 300_000
 NEAR = 5  # words between an insult and a second-person word that stand close
 
 #: Common insults, and words for the person addressed, in the corpus's four languages.
