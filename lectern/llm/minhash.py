@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lectern.llm.common import MAX_BROADCAST_IDS, by_ids, mix64, one_per_id, read_table, words_of, written
+from lectern.llm.common import by_ids, mix64, one_per_id, read_table, words_of, written
 from lectern.llm.components import connected_components
 
 BANDS, ROWS = 40, 6  # two sets at similarity 0.8 share no band with probability (1 - 0.8^6)^40 = 5e-6
 MAX_KEPT = 300_000
-SALTS = 16
+SALTS, MAX_BROADCAST_KEYS = 16, 50_000
 
 
 class _Hashes(dict):
@@ -148,15 +148,15 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
-def by_key(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` with what the written ``keys`` (a few dozen bytes each) tell of their band key, wherever it is one of them.
+def by_key(rows: DataFrame, keys: DataFrame, column: str = "key", spread: str = "d", how: str = "inner") -> DataFrame:
+    """``rows`` with what the written ``keys`` (a few dozen bytes each) tell of their key.
 
-    Few keys are broadcast. More are joined in as many parts as there are SALTS: a bucket of a third of all documents is spread over tasks.
+    Few keys are broadcast. More are joined in as many parts as there are SALTS: a key of a third of all documents is spread over tasks.
     """
-    if keys.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
-        return rows.join(F.broadcast(keys), "key")
+    if keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), column, how)
     salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [column, "salt"], how).drop("salt")
 
 
 def links(sig: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -228,8 +228,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     edges = links(named, docs.where("doc_id is not null"), size, percent)
     component = connected_components(edges)
     least = named.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = least.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(classes, "set_key", "left")
+    classes = written(least.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")))
+    out = by_key(sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), classes, "set_key", "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
