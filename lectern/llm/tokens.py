@@ -15,11 +15,18 @@ MAX_KEPT = 1_000_000
 
 
 def piece_scores(model: str = MODEL) -> dict[str, float]:
-    """Piece -> unigram score of a public vocabulary file; byte, control and unknown pieces are left out."""
+    """Piece -> unigram log-probability (less a constant) of a public vocabulary file; byte, control and unknown pieces are left out.
+
+    The file tells the rank at which a piece was merged (as minus the rank), not how often it occurs. Frequency falls about as
+    one over rank, so a piece's log-probability is minus the rank's logarithm; ranks themselves, summed, would rather
+    cut a common word in pieces of small rank than take it whole. Pieces without a rank (single characters) come last.
+    """
+    import math
+
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    return {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size())
+    return {sp.id_to_piece(i): -math.log(2.0 - min(0.0, sp.get_score(i))) for i in range(sp.get_piece_size())
             if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
 
 
