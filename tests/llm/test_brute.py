@@ -272,7 +272,7 @@ def test_token_counts(texts):
 
     scores = piece_scores()
     unknown, longest = min(scores.values()) - 10, max(map(len, scores))
-    words = {SPACE + w for t in texts.values() for w in t.split()[:60]} | {SPACE, SPACE + "漢字😀", SPACE + "a" * 60}
+    words = {SPACE + w for t in texts.values() for w in t.split()} | {SPACE, SPACE + "漢字😀", SPACE + "a" * 60}
 
     def plain(word):
         best = [(0.0, 0)]
@@ -287,6 +287,28 @@ def test_token_counts(texts):
     assert dict(terminal_counts(words, scores, longest, unknown)) == {w: plain(w) for w in words}
 
 
+def test_common_words_are_whole_and_the_query_counts_whole_texts(spark, texts):
+    from lectern.llm.queries import QUERIES
+    from lectern.llm.tokens import SPACE, piece_scores, terminal_counts
+
+    scores = piece_scores()
+    longest, unknown = max(map(len, scores)), min(scores.values()) - 10.0
+    common = ["the", "of", "house", "information", "running", "because"]
+    assert all(n == 1 for _, n in terminal_counts([SPACE + w for w in common if SPACE + w in scores], scores, longest, unknown))
+    words = {w for t in texts.values() for w in t.split()}
+    counts = {w[1:]: n for w, n in terminal_counts([SPACE + w for w in words], scores, longest, unknown)}
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in QUERIES["op5_token_counts"](spark, DIR).collect()}
+    assert got == {i: (len(t.split()), sum(counts[w] for w in t.split())) for i, t in texts.items()}
+
+
+def test_near_duplicates_by_salted_keys(spark, texts, monkeypatch):
+    from lectern.llm import minhash
+
+    monkeypatch.setattr(minhash, "MAX_BROADCAST_KEYS", 0)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 2).collect()} == classes(texts, 2)
+
+
 def test_packing(spark, duck):
     from lectern.llm.queries import QUERIES
 
