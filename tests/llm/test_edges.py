@@ -112,3 +112,39 @@ def test_warc(spark):
     assert got[3][0].payload_bytes == 0 and got[5][0].record_type == got[6][0].record_type == "response" and got[6][0].payload_bytes == 60
     assert got[7][0].payload_digest == hashlib.sha256(rows[7][2].encode()).hexdigest()
     assert warc.archive(p.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_rows(spark, docs, tmp_path, empty):
+    import corpus_pipeline as cp
+
+    rude = spark.createDataFrame([(11, "you idiot", "en", "a", 9)], SCHEMA).withColumns({c: F.lit("clash") for c in CLASH})
+    table = docs.union(rude)
+    (table.limit(0) if empty else table).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(1, 0, "clash"), (None, 1, "clash"), (2, None, "clash")], "doc_id long, toxic int, text string")
+    (labels.limit(0) if empty else labels).write.parquet(f"{tmp_path}/labels.parquet")
+    got = cp.run(spark, str(tmp_path)).collect()
+    if empty:
+        assert got == []
+        return
+    step, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in cp.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == cp.DOCUMENT_COLUMNS
+        step.write.parquet(f"{tmp_path}/{name}.parquet")
+        step = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        seen[name] = [r.doc_id for r in step.collect()]
+    key = lambda i: (i is None, i or 0)
+    assert sorted(seen["toxicity"], key=key) == sorted((r[0] for r in DOCS), key=key)
+    assert sorted(seen["near_duplicates"], key=key) == [1, 2, 3, 4, 6, 7, None] and sorted(seen["pii"], key=key) == [1, 2, 3, 4, 6, 7, None]
+    words = {r.doc_id: len((r.text or "").split()) for r in spark.read.parquet(f"{tmp_path}/pii.parquet").collect()}
+    for i in words:
+        assert sum(r.n_words for r in got if r.doc_id == i) == words[i] * seen["mixing"].count(i)
+    bins = {}
+    for r in got:
+        assert (r.bin_id is None) == (r.n_words == 0)
+        if r.bin_id is not None:
+            bins.setdefault(r.bin_id, []).append(r)
+    for pieces in bins.values():
+        named = [r.source for r in pieces if r.source is not None]
+        assert sum(r.n_words for r in pieces) <= packing.CAPACITY and len(named) == len(set(named))
