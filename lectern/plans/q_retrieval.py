@@ -94,7 +94,14 @@ def _(spark, d):
     return K.term_coverage(K.keyword_topk(terms, postings), terms, postings).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("f7_highlight")
+@query("f7_highlight", POSTINGS + r""", qw as (select query_id, list(lexeme) as ts from terms group by 1),
+hw as (select query_id, chunk_id, text, ts, regexp_split_to_array(text, '\s+') as ws from ktop join chunks using (chunk_id) join qw using (query_id) where rank <= 10),
+hm as (select *, list_transform(ws, lambda w: list_contains(ts, regexp_replace(lower(w), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))) as hit from hw),
+ha as (select *, list_filter(range(0, len(ws)), lambda i: hit[i + 1]) as places, list_transform(range(1, len(ws) + 1), lambda i: case when hit[i] then chr(1) || ws[i] || chr(2) else ws[i] end) as marked from hm),
+hf as (select *, greatest(coalesce(places[1], 0) - 19, 0) as a from ha),
+hn as (select *, list_filter(places, lambda i: i >= a + 38)[1] as later from hf)
+select query_id, chunk_id, case when len(places) = 0 then case when len(ws) <= 45 then text else array_to_string(ws[1:45], ' ') || ' …' end
+  else array_to_string(marked[a + 1:a + 38], ' ') || case when later is null then '' else ' … ' || array_to_string(marked[greatest(later - 19, a + 38) + 1:greatest(later - 19, a + 38) + 38], ' ') end end as headline from hn""")
 def _(spark, d):
     chunks, postings, _, terms = keyword_parts(spark, d)
     hits = K.keyword_topk(terms, postings, 10).join(chunks.select("chunk_id", "text"), "chunk_id")

@@ -213,7 +213,33 @@ def _(spark, d):
     return P.sentence_units(A.paragraphs(spark, d))
 
 
-@query("d2_d3_pack_chunks")
+#: One passage of every chapter run for each step of the recursion: the rules of packing as searches in lists, each unit's place counted from 0.
+PACKED = A.with_(UNITS).replace("with ", "with recursive ", 1).rstrip() + r""",
+un as (select *, row_number() over (partition by document_id order by seq, idx) as unit, lag(chapter) over (partition by document_id order by seq, idx) as before from units),
+ur as (select *, sum(case when unit > 1 and chapter is not distinct from before then 0 else 1 end) over (partition by document_id order by unit) as run from un),
+uc as (select *, sum(words) over (partition by document_id, run order by unit) as so_far from ur),
+rn as materialized (select document_id, run, count(*)::int as n, any_value(chapter) as chapter, list(words order by unit) as w, list_concat([0], list(so_far order by unit)) as s,
+  list(paragraph_start order by unit) as st, list(heading order by unit) as hd, list(text order by unit) as tx, list(page order by unit) as pg from uc group by 1, 2),
+cut as (
+  select document_id, run, -1 as k, 0::bigint as nf, 0::bigint as nx, 0::bigint as f, 0::bigint as o, 0::bigint as past, -1 as lead, 0::hugeint as size, 0::hugeint as adds, false as tail from rn
+  union all
+  select document_id, run, k + 1, case when past < n and hd[past + 1] and s[past + 1] - s[o + 1] >= 40 then past
+      else least(past, greatest(f, past - 2, coalesce(list_max(list_filter(range(0, past), lambda i: hd[i + 1])) + 1, 0), list_min(list_filter(range(0, past + 1), lambda i: s[i + 1] >= s[past + 1] - 45)))) end,
+    past, f, o, past, case when tail then lead else k + 1 end, case when tail then size + mine else s[past + 1] - s[f + 1] end, case when tail then mine else s[past + 1] - s[f + 1] end, tail
+  from (select *, k >= 0 and mine < 40 and size + mine <= 380 as tail
+        from (select *, s[past + 1] - s[o + 1] as mine
+              from (select c.document_id, c.run, c.k, c.nf as f, c.nx as o, c.lead, c.size, r.n, r.w, r.s, r.hd,
+                      coalesce(list_min(list_filter(range(c.nx + 1, r.n), lambda j: (r.hd[j + 1] and r.s[j + 1] - r.s[c.nx + 1] >= 40) or r.s[j + 1] - r.s[c.nf + 1] + r.w[j + 1] > 340
+                        or (r.st[j + 1] and r.s[j + 1] - r.s[c.nf + 1] >= 250) or r.s[j + 1] - r.s[c.nf + 1] >= 287.5)), r.n) as past
+                    from cut c join rn r on r.document_id = c.document_id and r.run = c.run where c.nx < r.n)))),
+pc as (select c.document_id, c.run, c.lead, c.k, c.adds, r.chapter, list_min(r.pg[c.f + 1:c.past]) as low, list_max(r.pg[c.f + 1:c.past]) as high,
+    trim(array_to_string(list_transform(range(case when c.tail then c.o else c.f end, c.past), lambda i: case when i = case when c.tail then c.o else c.f end then '' when r.st[i + 1] then chr(10) || chr(10) else ' ' end || r.tx[i + 1]), ''), ' ') as text
+  from cut c join rn r on r.document_id = c.document_id and r.run = c.run where c.k >= 0)
+"""
+
+
+@query("d2_d3_pack_chunks", PACKED + """select document_id, (row_number() over (partition by document_id order by run, lead) - 1)::int as ordinal, string_agg(text, ' ' order by k) as text, arg_min(low, k) as page_start, max(high) as page_end,
+arg_min(chapter, k) as chapter, sum(adds)::bigint as word_count from pc group by document_id, run, lead""")
 def _(spark, d):
     return P.pack_chunks(P.sentence_units(A.paragraphs(spark, d))).select("document_id", "ordinal", "text", "page_start", "page_end", "chapter", "word_count")
 
