@@ -98,7 +98,7 @@ def hybrid_candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid
     if mode == "vector":
         c = c.withColumn("coverage", F.lit(0.0))
     c = c.join(chunks.select("chunk_id", "document_id", "ordinal", "embedding"), "chunk_id").join(queries.select("query_id", "qvec"), "query_id")
-    return c.withColumn("similarity", vector.cosine(F.col("qvec"), F.col("embedding"))).drop("qvec", "embedding")
+    return c.withColumn("similarity", F.round(vector.cosine(F.col("qvec"), F.col("embedding")), vector.DECIMALS)).drop("qvec", "embedding")
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", scope: DataFrame | None = None, limit: int = 20, boost: float = BOOST, collapse: bool = True,

@@ -14,6 +14,7 @@ from lectern.operators.keyword import CANDIDATES, top_k
 #: Queries and passages (a few hundred bytes each) that a task of the exact search holds at once.
 QUERY_BLOCK, PART_ROWS = 2_000, 16_384
 BATCH_TEXTS, BATCH_TOKENS, CHARS_PER_TOKEN = 128, 60_000, 4
+DECIMALS = 12
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,14 +33,15 @@ def knn_exact(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, scope:
     compared with all passages by groups of one block of queries and one part of the passages, both of bounded size: a
     task multiplies them as matrices and hands on the best k of each query. Scoped searches join on the document first and
     score only what is in scope. Vectors that are null, empty, zero or hold null or non-finite components are
-    near nothing: such queries have no hits, such passages are none. Widths don't mix.
+    near nothing: such queries have no hits, such passages are none. Widths don't mix. Cosines are rounded to 12 decimals
+    (their noise depends on a row's place in a block), so that equal vectors rank by id.
     """
     q = queries.where(usable(F.col("qvec"))).select("query_id", "qvec")
     c = chunks.where(usable(F.col("embedding")))
     best = (F.desc("similarity"), F.asc("chunk_id"))
     if scope is not None:
         pairs = c.select("chunk_id", "document_id", "embedding").join(scope.select("query_id", "document_id").join(q, "query_id"), "document_id")
-        return top_k(pairs.select("query_id", "chunk_id", cosine(F.col("qvec"), F.col("embedding")).alias("similarity")).where("similarity is not null"), k, *best)
+        return top_k(pairs.select("query_id", "chunk_id", F.round(cosine(F.col("qvec"), F.col("embedding")), DECIMALS).alias("similarity")).where("similarity is not null"), k, *best)
     blocks, parts = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-c.count() // PART_ROWS))
     deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -60,7 +62,7 @@ def knn_exact(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, scope:
         out = []
         qs = unit(asked["qvec"])
         for at in range(0, len(ids), 256):
-            sims = qs[at:at + 256] @ x.T
+            sims = np.round(qs[at:at + 256] @ x.T, DECIMALS)
             first = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # rows are by id, so ties go to the smaller
             out.append(pd.DataFrame({"query_id": np.repeat(ids[at:at + 256], first.shape[1]), "chunk_id": own[first].ravel(), "similarity": np.take_along_axis(sims, first, 1).ravel()}))
         return pd.concat(out, ignore_index=True)
@@ -105,18 +107,21 @@ Embedder = Callable[[list[str]], list[list[float]]]
 
 
 def hashing_embedder(width: int = 256) -> Embedder:
-    """Deterministic vectors of unit length from hashed words; signs and places come from the words alone."""
+    """Deterministic vectors of unit length from hashed words; a word's first four bytes of MD5 give its place (mod width) and its sign (top bit)."""
 
     def embed(texts: list[str]) -> list[list[float]]:
-        import zlib
+        import hashlib
 
         import numpy as np
 
-        out = np.zeros((len(texts), width))
+        out, seen = np.zeros((len(texts), width)), {}  # the words of one batch
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-                out[i, h % width] += 1 if h >> 31 else -1
+                if w not in seen:
+                    h = int.from_bytes(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+                    seen[w] = h % width, 1 if h >> 31 else -1
+                place, sign = seen[w]
+                out[i, place] += sign
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm > 0, norm, 1)).tolist()
 

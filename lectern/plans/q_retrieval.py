@@ -155,14 +155,28 @@ def _(spark, d):
     return r.select("n", (F.col("found") >= 0.9 * F.col("n")).alias("enough"))
 
 
-@query("e1_embed_passages")
+def embedded(name, rows):
+    """The hashing embedder in SQL: name_v (id, place, v) of the rows (id, text), and name_n (id, nn), the squared lengths."""
+    return f"""{name}_h as (select id, ('0x' || substr(md5(w), 1, 8))::bigint as h from (select id, unnest(regexp_split_to_array(lower(text), '\\s+')) as w from ({rows})) where w <> ''),
+{name}_c as (select id, h % 256 as place, sum(case when h >= 2147483648 then 1 else -1 end)::double as n from {name}_h group by 1, 2),
+{name}_v as materialized (select id, place, (n / sqrt(sum(n * n) over (partition by id)))::float::double as v from {name}_c qualify sum(n * n) over (partition by id) > 0),
+{name}_n as (select id, sum(v * v) as nn from {name}_v group by 1)"""
+
+
+def components(df, key, column):
+    """(key, place, value) of the components other than 0."""
+    rows = df.select(key, F.posexplode(column).alias("place", "value")).where("value <> 0")
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 5))
+
+
+@query("e1_embed_passages", A.with_(A.CHUNKS, embedded("p", "select chunk_id as id, text from chunks")) + "select id as chunk_id, place::int as place, round(v, 5) as value from p_v where v <> 0")
 def _(spark, d):
-    return V.embed_passages(A.chunks(spark, d).select("chunk_id", "text")).select("chunk_id", F.size("embedding").alias("width"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
+    return components(V.embed_passages(A.chunks(spark, d).select("chunk_id", "text")), "chunk_id", "embedding")
 
 
-@query("e2_embed_queries")
+@query("e2_embed_queries", A.with_(A.QUERIES_T, embedded("q", "select query_id as id, 'query: ' || query as text from queries_t")) + "select id as query_id, place::int as place, round(v, 5) as value from q_v where v <> 0")
 def _(spark, d):
-    return V.embed_queries(A.queries_table(spark, d)).select("query_id", F.size("qvec").alias("width"))
+    return components(V.embed_queries(A.queries_table(spark, d)), "query_id", "qvec")
 
 
 @query("e3_validate_vectors", "select case when embedding is null then 'null' when len(embedding) <> 64 then 'width' when abs(sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))) - 1) > 1e-3 then 'norm' else 'ok' end as kind, count(*) as n from (select case when vec_id % 9 = 0 then embedding[1:32] else embedding end as embedding from embeddings) group by 1")
@@ -257,19 +271,47 @@ def search(spark, d, mode="hybrid", scoped=False):
     return R.hybrid_search(q, chunks, mode, scope=scope, postings=postings)
 
 
-@query("h6_hybrid_search")
+#: All cosines between queries and passages, and the share of each query's terms that a passage holds.
+COSINES = POSTINGS + ",\n" + embedded("p", "select chunk_id as id, text from chunks") + ",\n" + embedded("q", "select query_id as id, query as text from queries_t") + """,
+dots as (select q.id as query_id, p.id as chunk_id, sum(q.v * p.v) as dot from q_v q join p_v p using (place) group by 1, 2),
+sims as materialized (select q.id as query_id, p.id as chunk_id, round(coalesce(dot, 0) / sqrt(q.nn * p.nn), 12) as similarity from q_n q cross join p_n p left join dots on dots.query_id = q.id and dots.chunk_id = p.id),
+cover as (select query_id, chunk_id, count(distinct lexeme) / any_value(n_terms) as coverage from postings join terms using (lexeme) join (select query_id, count(*) as n_terms from terms group by 1) using (query_id) group by 1, 2),
+scope as (select query_id, chunk_id from queries_t join documents on source = 'src' || (query_id % 20) join chunks on document_id = doc_id)"""
+
+
+def search_sql(mode="hybrid", limit=20, scoped=False):
+    """CTEs from the candidates of the legs to mode_pl, the places of a search."""
+    inside = " semi join scope using (query_id, chunk_id)" if scoped else ""
+    score = "(-keyword_rank)::double" if mode == "keyword" else "coalesce(similarity, 0)" + (" + 0.015 * coalesce(coverage, 0)" if mode == "hybrid" else "")
+    legs = {"vector": "select query_id, chunk_id, null::bigint as keyword_rank from {m}_v", "keyword": "select query_id, chunk_id, rank as keyword_rank from {m}_k",
+            "hybrid": "select query_id, chunk_id, {m}_k.rank as keyword_rank from {m}_v full join {m}_k using (query_id, chunk_id)"}[mode]
+    less = "0" if scoped else f"case when total > {limit} then 0.006 * greatest(n - 2, 0) else 0 end"
+    return (""",
+{m}_v as (select * from (select query_id, chunk_id, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from sims{inside}) where rank <= 60),
+{m}_k as (select * from (select query_id, chunk_id, row_number() over (partition by query_id order by hits desc, chunk_id) as rank from kn{inside}) where rank <= 60),
+{m}_u as (""" + legs + """),
+{m}_s as (select u.query_id, u.chunk_id, c.document_id, c.ordinal::int as ordinal, {score} as score from {m}_u u join chunks c using (chunk_id) left join sims using (query_id, chunk_id) left join cover using (query_id, chunk_id)),
+{m}_g as (select query_id, document_id, list(ordinal order by score desc, chunk_id) as os from {m}_s group by 1, 2),
+{m}_kp as (select query_id, document_id, unnest(list_reduce(list_transform(os, lambda o: [o]), lambda acc, x: case when len(list_filter(acc, lambda k: abs(k - x[1]) <= 1)) > 0 then acc else list_concat(acc, x) end)) as ordinal from {m}_g),
+{m}_c as (select s.* from {m}_s s join {m}_kp using (query_id, document_id, ordinal)),
+{m}_n as (select *, row_number() over (partition by query_id, document_id order by score desc, chunk_id) - 1 as n, count(*) over (partition by query_id) as total from {m}_c),
+{m}_d as (select *, score - {less} as adjusted from {m}_n),
+{m}_pl as (select * from (select *, row_number() over (partition by query_id order by adjusted desc, score desc, chunk_id)::int as place from {m}_d) where place <= {limit})""").format(m=mode, inside=inside, score=score, less=less, limit=limit)
+
+
+@query("h6_hybrid_search", COSINES + search_sql() + " select query_id, chunk_id, round(score, 10) as score, place from hybrid_pl")
 def _(spark, d):
-    return search(spark, d).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
+    return search(spark, d).select("query_id", "chunk_id", F.round("score", 10).alias("score"), "place")
 
 
-@query("h6_vector_search")
+@query("h6_vector_search", COSINES + search_sql("vector") + " select query_id, chunk_id, round(score, 10) as score, place from vector_pl")
 def _(spark, d):
-    return search(spark, d, "vector").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
+    return search(spark, d, "vector").select("query_id", "chunk_id", F.round("score", 10).alias("score"), "place")
 
 
-@query("h6_scoped_search")
+@query("h6_scoped_search", COSINES + search_sql(scoped=True) + " select query_id, chunk_id, document_id, round(score, 10) as score, place from hybrid_pl")
 def _(spark, d):
-    return search(spark, d, scoped=True).select("query_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "place")
+    return search(spark, d, scoped=True).select("query_id", "chunk_id", "document_id", F.round("score", 10).alias("score"), "place")
 
 
 @query("h6_keyword_search", POSTINGS + """, s as (select k.query_id, k.chunk_id, c.document_id, c.ordinal::int as ordinal, (-k.rank)::double as score from ktop k join chunks c using (chunk_id)),
@@ -315,7 +357,16 @@ def _(spark, d):
     return E.retrieval_eval(E.answer_ranks(hits, chunks, cases(spark, d))).withColumn("mrr", F.round("mrr", 6))
 
 
-@query("k2_retrieval_variants")
+VARIANTS = COSINES + "".join(search_sql(m, 10) for m in ("vector", "keyword", "hybrid")) + f""",
+ln as (select item_id::bigint as query_id, i, string_split(text, chr(10))[i] as line from benchmark, unnest(range(1, len(string_split(text, chr(10))) + 1)) as r(i)),
+nd as (select query_id, {NORM.format("arg_max(line, length(line) * 100000 - i)")} as needle from ln group by 1),
+found as (select 'vector' as variant, query_id, chunk_id, place from vector_pl union all select 'keyword', query_id, chunk_id, place from keyword_pl union all select 'hybrid', query_id, chunk_id, place from hybrid_pl),
+g as (select variant, query_id, min(place) as place from found join chunks c using (chunk_id) join nd using (query_id) where contains({NORM.format('c.text')}, needle) group by 1, 2),
+rk as (select v.variant, query_id, place from (select distinct variant from found) v cross join nd left join g using (variant, query_id))
+"""
+
+
+@query("k2_retrieval_variants", VARIANTS + "select variant, count(*) as cases, count_if(place = 1)::bigint as hit1, count_if(place <= 5)::bigint as hit5, round(avg(coalesce(1 / place, 0)), 6) as mrr, coalesce(string_agg(query_id::varchar, ',' order by query_id) filter (place is null or place > 5), '') as misses from rk group by 1")
 def _(spark, d):
     """The same cases under all three modes of the search."""
     chunks, postings = index(spark, d)
