@@ -214,7 +214,17 @@ def _(spark, d):
     return J.audit_summary(answers(spark, d), passages(spark, d))
 
 
-@query("j9_locate_passage")
+#: Each target is part of its page here, so that it covers the place where it stands first; chains of windows have unit tests.
+LOCATED = A.with_(A.PARAGRAPHS).rstrip() + f""",
+sp as (select document_id, page, seq, replace({NORM.format("text")}, ' ', '') as t, replace({NORM.format("text || coalesce(' ' || after, '')")}, ' ', '') as target
+  from (select *, lead(text) over (partition by document_id, page order by seq) as after from paragraphs)),
+ends as (select *, sum(length(t)) over (partition by document_id, page order by seq) as b from sp),
+whole as (select document_id, page, string_agg(t, '' order by seq) as t from sp group by 1, 2),
+pos as (select document_id, page, seq, instr(w.t, target) - 1 as lo, length(target) as n from sp join whole w using (document_id, page) where length(target) >= 8)
+"""
+
+
+@query("j9_locate_passage", LOCATED + "select p.document_id * 1000000000 + p.seq as target_id, e.seq::bigint as idx from pos p join ends e using (document_id, page) where lo >= 0 and b - length(t) < lo + n and lo < b")
 def _(spark, d):
     """A page's lines are spans; each line, together with the one after it on its page if there is one, is sought in its page."""
     p = A.paragraphs(spark, d).withColumn("page_key", F.struct("document_id", "page"))

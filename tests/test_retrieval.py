@@ -56,6 +56,28 @@ def test_exact_search_is_brute_force_and_ann_is_measured(spark, tmp_path):
     assert "CartesianProduct" not in got._jdf.queryExecution().toString()
 
 
+def test_equal_vectors_rank_by_id(spark):
+    import numpy as np
+
+    v = np.random.default_rng(3).normal(size=(3, 256)).astype("float32").tolist()
+    c = spark.createDataFrame([(i, 0, v[i % 2]) for i in range(400)], "chunk_id long, document_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, v[0]), (2, v[2])], "query_id long, qvec array<float>")
+    got = [(r.query_id, r["rank"], r.chunk_id) for r in V.knn_exact(q, c, 50).orderBy("query_id", "rank").collect()]
+    sims = [float(np.dot(v[2], x) / np.linalg.norm(x)) for x in v[:2]]
+    near = 0 if sims[0] > sims[1] else 1
+    assert got == [(1, n + 1, 2 * n) for n in range(50)] + [(2, n + 1, 2 * n + near) for n in range(50)]
+    scope = q.select("query_id", F.lit(0).cast("long").alias("document_id"))
+    assert [(r.query_id, r["rank"], r.chunk_id) for r in V.knn_exact(q, c, 50, scope).orderBy("query_id", "rank").collect()] == got
+
+
+def test_embedder_places_words_by_their_hash():
+    import hashlib
+
+    h = int(hashlib.md5(b"calm").hexdigest()[:8], 16)
+    one, two, none = V.hashing_embedder(256)(["Calm", "calm  CALM", " "])
+    assert one == two and one[h % 256] == (1 if h >> 31 else -1) and sum(map(abs, one)) == 1 and not any(none)
+
+
 def test_hybrid_search_modes(spark):
     c = chunks(spark, ["stoic calm and reason", "stoic anger", "a garden of herbs", "reason alone"]).withColumns({"document_id": F.col("chunk_id") % 2, "ordinal": (F.col("chunk_id") * 5).cast("int")})
     c = V.embed_passages(c)
