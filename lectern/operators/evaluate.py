@@ -40,7 +40,8 @@ def answer_ranks(hits: DataFrame, chunks: DataFrame, cases: DataFrame, most: int
     want = cases.select("query_id", "book", F.transform("needles", normalize_for_match).alias("needles"))
     good = texts.join(want, "query_id").where((F.col("book").isNull() | (F.col("book") == F.col("document_id"))) & F.forall("needles", lambda n: F.col("norm").contains(n)))
     best = good.groupBy("variant", "query_id").agg(F.min("place").alias("place"))
-    return hits.select("variant").distinct().crossJoin(F.broadcast(cases.select("query_id"))).join(best, ["variant", "query_id"], "left")
+    # the variants compared are a handful; the cases are of any number and stay where they are
+    return cases.select("query_id").crossJoin(F.broadcast(hits.select("variant").distinct())).join(best, ["variant", "query_id"], "left")
 
 
 def retrieval_eval(ranks: DataFrame) -> DataFrame:
