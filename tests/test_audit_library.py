@@ -60,7 +60,7 @@ def test_passages_are_located_on_every_page(spark, tmp_path):
     from lectern.plans import q_context as Q
 
     d = documents(spark, tmp_path)
-    lines = {(r.document_id * 100_000 + r.seq): (r.document_id, r.page, r.seq) for r in A.paragraphs(spark, d).collect()}
+    lines = {(r.document_id * 1_000_000_000 + r.seq): (r.document_id, r.page, r.seq) for r in A.paragraphs(spark, d).collect()}
     assert max(page for _, page, _ in lines.values()) > 1
     got = {}
     for r in Q.Q["j9_locate_passage"](spark, d).collect():
