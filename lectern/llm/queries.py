@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern.llm.ann import op2_nearest
+from lectern.llm.codes import CODES_SQL, op12_codes
 from lectern.llm.embedding_dedup import op7_embedding_dedup
 from lectern.llm.minhash import op4_minhash
 from lectern.llm.mixing import MIX_SQL, op10_mix
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_suffix_array": op9_suffix_array,
     "op10_mix": op10_mix,
+    "op12_codes": op12_codes,
 }
 
-ORACLES = {"op8_warc": WARC_SQL, "op10_mix": MIX_SQL}
+ORACLES = {"op8_warc": WARC_SQL, "op10_mix": MIX_SQL, "op12_codes": CODES_SQL}
