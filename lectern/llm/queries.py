@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from lectern.llm.ann import op2_nearest
 from lectern.llm.codes import CODES_SQL, op12_codes
+from lectern.llm.conversations import op11_conversations
 from lectern.llm.embedding_dedup import op7_embedding_dedup
+from lectern.llm.licences import op13_licences
 from lectern.llm.minhash import op4_minhash
 from lectern.llm.mixing import MIX_SQL, op10_mix
 from lectern.llm.packing import op1_best_fit_packing
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_suffix_array": op9_suffix_array,
     "op10_mix": op10_mix,
+    "op11_conversations": op11_conversations,
     "op12_codes": op12_codes,
+    "op13_licences": op13_licences,
 }
 
 ORACLES = {"op8_warc": WARC_SQL, "op10_mix": MIX_SQL, "op12_codes": CODES_SQL}
