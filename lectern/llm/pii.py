@@ -33,8 +33,13 @@ MAYBE = {
 }
 
 #: Bootstrapping: rounds of scoring, the distinct known instances that a pattern needs, the confidence from which it is
-#: trusted, the weight of an instance that is not known (it may be right), and the digits (or, with an at sign or a bracket, characters) that an instance found needs.
+#: trusted, the weight against a pattern of an unknown instance that has a form of the pattern's kind (others, and bare numbers, count fully), and
+#: the digits (or, with an at sign or a bracket, characters) that an instance found needs.
 ROUNDS, SUPPORT, TRUST, UNKNOWN, DIGITS = 3, 5, 0.8, 0.2, 6
+#: Dates and numbers with separated thousands, which are no phones.
+ORDINARY = r"^(?:(?:19|20)[0-9]{2}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2(?:19|20)?[0-9]{2}|[0-9]{1,3}(?:[.\x20][0-9]{3})+)$"
+#: What of a pattern stands before this is its words.
+CLASS = "\u0001"
 #: An instance: groups of digits joined by single signs or spaces, or a run without white space; it holds a digit, an at sign or a bracket between letters.
 INSTANCE = (r"(?<!\S)(?:[+(]*+[0-9][0-9().+/-]*+(?:\x20\(?[0-9][0-9().+/-]*+)*+(?=[\s,;:!?\"'\u201d\u2019\u00bb\]]|$)"
             r"|(?=[^\s0-9@(\[{]*+(?:[0-9@]|(?<=\p{L})[(\[{]\p{L}))\S++)")
@@ -212,9 +217,10 @@ def instances_in(text: Column) -> Column:
 
 
 def known_instances(facts: DataFrame) -> DataFrame:
-    """(doc_id, row_key, start, end, token long, kind, able, patterns): every instance of the texts, once.
+    """(doc_id, row_key, start, end, token long, kind, fits, bare, patterns): every instance of the texts, once.
 
-    kind is that of a base span which overlaps it, else null; ``able`` tells whether it may be found by context.
+    kind is that of a base span which overlaps it, else null; ``fits`` are the kinds as which context may find it,
+    ``bare`` tells a plain run of digits.
     Spans and instances of a text are put in one order, in which windows carry the spans' ends forwards and starts backwards.
     """
     key = ["doc_id", "row_key"]
@@ -230,23 +236,32 @@ def known_instances(facts: DataFrame) -> DataFrame:
     touching = F.when(F.floor(F.col("left") / 8) > F.col("start"), F.col("left")).when(F.floor(F.col("right") / 8) < F.col("end"), F.col("right"))
     kind = F.get(F.array(*map(F.lit, KINDS)), (touching % 8 - 1).cast("int"))
     digits = F.length(F.regexp_replace("token", "[^0-9]", ""))
-    able = (digits >= DIGITS) | (F.col("token").rlike(r"@|\p{L}[(\[{]\p{L}") & (F.length("token") >= DIGITS))
-    return both.select(*key, "start", "end", F.xxhash64(F.lower("token")).alias("token"), kind.alias("kind"), able.alias("able"), patterns_of(digits).alias("patterns"))
+    return both.select(*key, "start", "end", F.xxhash64(F.lower("token")).alias("token"), kind.alias("kind"), fitting(F.col("token"), digits).alias("fits"), F.col("token").rlike("^[0-9]+$").alias("bare"), patterns_of(digits).alias("patterns"))
+
+
+def fitting(token: Column, digits: Column) -> Column:
+    """The kinds that an instance can be by its form: with letters around an at sign or a bracket an email, in four groups of digits (or groups
+    of hexadecimal ones between colons) an ip, else by the number of its digits a card or a phone."""
+    mail = token.rlike(r"@|[\p{L}0-9][(\[{]\p{L}") & (F.length(token) >= DIGITS)
+    ip = token.rlike(r"^[0-9]{1,5}(?:[.:][0-9]{1,5}){3}$|^[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}$") & (digits >= DIGITS)
+    card = token.rlike(r"^[0-9][0-9\x20.-]*$") & digits.between(12, 19)
+    phone = token.rlike(r"^[+(0-9][0-9().+/\x20-]*$") & digits.between(7, 15) & ~ip & ~token.rlike(ORDINARY)
+    return F.array_compact(F.array(*[F.when(ok, kind) for kind, ok in (("email", mail), ("ip", ip), ("card", card), ("phone", phone))]))
 
 
 def patterns_of(digits: Column) -> Column:
     """An instance's lexical patterns: words around it, with its coarse class (signs, and few, some or many digits), its exact shape, or neither.
 
-    The words are the one before, the two before, those on both sides, or the one after; function words are no context by themselves.
+    The words are the one before, the two before, or those on both sides; function words are no context by themselves, nor is a word that follows.
     """
     l2, l1, r1, token = F.col("l2"), F.col("l1"), F.col("r1"), F.col("token")
     size = F.when(digits < DIGITS, "few").when(digits < 20, "some").otherwise("many")
     coarse = F.when(token.contains("@"), "@").when(token.rlike(r"\p{L}"), F.concat(F.lit("a "), size)).otherwise(size)
     shape = F.when(F.length(token) <= REACH, F.regexp_replace(F.regexp_replace(token, "[0-9]", "9"), r"\p{L}+", "a")).otherwise(coarse)
     plain = lambda w: (w != "") & ~w.isin(FUNCTION_WORDS)
-    there = [(plain(l1), F.concat(l1, F.lit(" _ "))), ((l2 != "") & (l1 != "") & (plain(l2) | plain(l1)), F.concat(l2, F.lit(" "), l1, F.lit(" _ "))),
-             ((l1 != "") & (r1 != "") & (plain(l1) | plain(r1)), F.concat(l1, F.lit(" _ "), r1, F.lit(" "))), (plain(r1), F.concat(F.lit("_ "), r1, F.lit(" ")))]
-    return F.array_compact(F.array(*[F.when(ok, F.concat(words, what)) for ok, words in there for what in (coarse, F.concat(F.lit("="), shape), F.lit("*"))]))
+    there = [(plain(l1), F.concat(l1, F.lit(" _"))), ((l2 != "") & (l1 != "") & (plain(l2) | plain(l1)), F.concat(l2, F.lit(" "), l1, F.lit(" _"))),
+             ((l1 != "") & (r1 != "") & (plain(l1) | plain(r1)), F.concat(l1, F.lit(" _ "), r1))]
+    return F.array_compact(F.array(*[F.when(ok, F.concat(words, F.lit(CLASS), what)) for ok, words in there for what in (coarse, F.concat(F.lit("="), shape), F.lit("*"))]))
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -263,38 +278,47 @@ def bootstrap(found: DataFrame) -> DataFrame | None:
     """Trusted patterns (pattern, kind, score), from the graph of patterns and the instances they occur with; None if there are none.
 
     Seeds are instances that the fixed patterns know, at score 1. In each round a pattern's confidence in a kind is
-    its instances' score for the kind over the scores of all its known instances, UNKNOWN for each that is not known,
-    and 1 as a prior; a pattern of SUPPORT known instances and confidence TRUST is trusted. Instances of trusted patterns
-    become known at the best confidence, and lead to further patterns in the next round. Counts are of distinct
+    its instances' score for the kind over the number of all its instances (and 1 as a prior), so one that is not known speaks against it: fully,
+    or as UNKNOWN if it has a form of the kind and is no bare number; a pattern of SUPPORT known instances and confidence TRUST is trusted. Instances of trusted patterns
+    that fit the kind become known at the best confidence, and support further patterns in the next round, but never one of the same
+    words: for that the best of other words counts, so no pattern confirms itself. Counts are of distinct
     instances: copies of a text add nothing. Sums are combined before their shuffles, so that a pattern which a third of all
     instances share costs a row a task.
     """
-    edges = written(found.select("token", "able", F.explode("patterns").alias("pattern")).distinct())
-    sizes = written(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT))
-    edges = written(edges.join(small(sizes.select("pattern")), "pattern", "left_semi"))
-    known = written(found.where("kind is not null").groupBy("token").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)))
-    trusted = None
+    edges = written(found.select("token", "fits", "bare", F.explode("patterns").alias("pattern")).distinct())
+    soft = {kind: ~F.col("bare") & F.array_contains("fits", kind) for kind in KINDS}
+    sizes = written(edges.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count_if(soft[kind]).alias(f"soft_{kind}") for kind in KINDS]).where(F.col("n") >= SUPPORT))
+    edges = written(edges.join(small(sizes.select("pattern")), "pattern", "left_semi").withColumn("words", F.substring_index("pattern", CLASS, 1)))
+    seeds = written(found.where("kind is not null").groupBy("token").agg(F.min("kind").alias("kind")))
+    known = seeds.select("token", F.struct("kind", F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("words")).alias("k1"), F.lit(None).cast("struct<kind: string, score: double, words: string>").alias("k2"))
+    first, trusted = known, None
     for _ in range(ROUNDS):
-        by_kind = edges.join(known, "token").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("known"))
-        best = by_kind.groupBy("pattern").agg(F.sum("sum").alias("all"), F.sum("known").alias("known"), F.max(F.struct("sum", "kind")).alias("best")).join(sizes, "pattern")
-        score = F.col("best.sum") / (F.col("all") + UNKNOWN * (F.col("n") - F.col("known")) + 1)
-        trusted = written(best.where(F.col("known") >= SUPPORT).select("pattern", F.col("best.kind").alias("kind"), score.alias("score")).where(F.col("score") >= TRUST))
+        says = F.when(F.col("k1.words") == F.col("words"), F.col("k2")).otherwise(F.col("k1"))
+        of = lambda kind: F.coalesce(F.sum(F.when(F.col("k.kind") == kind, F.col("k.score"))), F.lit(0.0))
+        sums = edges.join(known, "token").withColumn("k", says).where("k is not null").groupBy("pattern").agg(F.count("*").alias("known"), *[of(kind).alias(kind) for kind in KINDS], *[F.count_if(soft[kind]).alias(f"known_{kind}") for kind in KINDS])
+        sums = sums.where(F.col("known") >= SUPPORT).join(sizes, "pattern")
+        against = lambda kind: F.col("n") + 1 - (1 - UNKNOWN) * (F.col(f"soft_{kind}") - F.col(f"known_{kind}"))
+        best = F.greatest(*[F.struct(F.col(kind).alias("sum"), F.lit(kind).alias("kind"), (F.col(kind) / against(kind)).alias("score")) for kind in KINDS])
+        trusted = written(sums.select("pattern", best.alias("b")).select("pattern", "b.kind", "b.score").where(F.col("score") >= TRUST))
         if not some(trusted):
             return None
-        more = edges.where("able").join(small(trusted), "pattern").groupBy("token").agg(F.max(F.struct("score", "kind")).alias("best"))
-        more = written(more.join(known, "token", "left_anti").select("token", F.col("best.kind").alias("kind"), F.col("best.score").alias("score")))
+        more = edges.join(small(trusted), "pattern").where(F.array_contains("fits", F.col("kind"))).groupBy("token", "words").agg(F.max(F.struct("score", "kind")).alias("best"))
+        more = more.join(seeds.select("token"), "token", "left_anti")
+        place = F.row_number().over(W.partitionBy("token").orderBy(F.desc("best.score"), F.desc("best.kind"), "words"))
+        more = more.withColumn("place", place).where("place <= 2").withColumn("k", F.struct(F.col("best.kind").alias("kind"), F.col("best.score").alias("score"), "words"))
+        more = written(more.groupBy("token").agg(*[F.max(F.when(F.col("place") == i, F.col("k"))).alias(f"k{i}") for i in (1, 2)]))
         if not some(more):
             break
-        known = written(known.unionByName(more))
+        known = first.unionByName(more)
     return trusted
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, base, spans), one row per document, of its whole text.
 
-    base: the fixed patterns' spans. spans: these, and whole instances that overlap none of them and stand in the context of a
-    trusted pattern, under the pattern's kind. An instance holds a digit, an at sign or a bracket between letters; one
-    that is found has six digits or one of these signs, so years, prices and plain words stay. Offsets are code points, ends exclusive; both lists are
+    base: the fixed patterns' spans. spans: these, and whole instances that overlap none of them, stand in the context of a
+    trusted pattern and fit its kind by their form (``fitting``), under this kind. An instance holds a digit, an at sign or a bracket between letters; words
+    of letters alone fit no kind, and years, prices and numbers of fewer than six digits stay. Offsets are code points, ends exclusive; both lists are
     ordered by start, then kind. Null and empty texts have no spans. Null ids and repeated rows are fine: equal
     (id, text) rows get equal results. Of kinds that a pattern serves equally well the last in the alphabet is taken.
     Other columns are ignored. Time is linear in a text's length and matches.
@@ -307,7 +331,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     if trusted is None:
         return facts.select("doc_id", "row_key", "base", F.col("base").alias("spans"))
     # a text's instances stay together, so their rows are joined to the texts once, not each by itself
-    at = found.where("kind is null and able").select("doc_id", "row_key", "start", "end", F.explode("patterns").alias("pattern")).join(small(trusted), "pattern")
+    at = found.where("kind is null and size(fits) > 0").select("doc_id", "row_key", "start", "end", "fits", F.explode("patterns").alias("pattern")).join(small(trusted), "pattern").where(F.array_contains("fits", F.col("kind")))
     at = at.groupBy("doc_id", "row_key", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
     extra = written(at.groupBy(F.col("doc_id").alias("x_id"), F.col("row_key").alias("x_key")).agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("extra")))
     same = F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("row_key") == F.col("x_key"))
