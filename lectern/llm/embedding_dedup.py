@@ -200,7 +200,8 @@ def linked(shards: DataFrame, flat: DataFrame, least: float, n_shards: int) -> D
         import numpy as np
         import pandas as pd
 
-        from lectern.functions.graph import both_ways, medoid, range_search
+        from lectern.functions.graph import medoid
+        from lectern.llm.range_graph import both_ways, range_search
 
         pdf = pdf.sort_values("vec_id").reset_index(drop=True)
         ids = pdf["vec_id"].to_numpy(np.int64)
