@@ -89,92 +89,109 @@ def medoid(x) -> int:
     return int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1)))
 
 
+def connect(x, norms, adj, points, start: int, degree: int = DEGREE, beam: int = BUILD_BEAM):
+    """``adj`` with edges from and to the ``points``: each seeks itself in the graph, and what it meets is pruned to its neighbours, which
+    get edges back; lists that grow over their room are pruned again."""
+    room = adj.shape[1]
+
+    def prune(points, candidates):
+        safe = np.maximum(candidates, 0)
+        d = norms[safe] - 2 * np.einsum("bcd,bd->bc", x[safe], x[points]) + norms[points][:, None]
+        return robust_prune(x, norms, points, np.where(candidates < 0, NONE, candidates), np.maximum(d, 0), degree)
+
+    count = (adj >= 0).sum(axis=1)
+    met, _d = beam_search(x, norms, adj, x[points], np.full((len(points), 1), start), beam)
+    kept = prune(points, np.concatenate([met, adj[points]], axis=1))
+    adj[points] = NONE
+    adj[points, :degree] = kept
+    count[points] = (kept >= 0).sum(axis=1)
+    src, dst = np.repeat(points, degree), kept.ravel()
+    src, dst = src[dst >= 0], dst[dst >= 0]
+    by = np.argsort(dst, kind="stable")
+    src, dst = src[by], dst[by]
+    starts = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if len(dst) else np.empty(0, np.int64)
+    rank = np.arange(len(dst)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(dst)]])))
+    known = (adj[dst] == src[:, None]).any(axis=1)
+    src, dst, rank = src[~known], dst[~known], rank[~known]
+    place = count[dst] + rank
+    fits = place < room
+    adj[dst[fits], place[fits]] = src[fits]
+    over = np.unique(dst[~fits])
+    if len(over):
+        # gaps left by known edges are closed, and lists that are full are pruned with what did not fit
+        extra = np.full((len(over), int(rank.max()) + 1), NONE, np.int64)
+        where = np.searchsorted(over, dst[~fits])
+        extra[where, rank[~fits]] = src[~fits]
+        kept = prune(over, np.concatenate([adj[over], extra], axis=1))
+        adj[over] = NONE
+        adj[over, :degree] = kept
+    order_adj = np.argsort(adj < 0, axis=1, kind="stable")
+    return np.take_along_axis(adj, order_adj, axis=1)
+
+
+def everyone(n: int, room: int):
+    """The adjacency in which each of a few nodes has all others."""
+    adj = np.full((n, room), NONE, np.int64)
+    for i in range(n):
+        adj[i, : n - 1] = np.delete(np.arange(n), i)
+    return adj
+
+
 def build(x, degree: int = DEGREE, beam: int = BUILD_BEAM, seed: int = 7, passes: int = 1):
     """Adjacency (n x 2 degree, NONE where short) of the vectors ``x``, built in one pass or more.
 
-    From a random graph, each batch of points searches the graph so far from the medoid; what it meets is
-    pruned to its neighbours, which get edges back; lists that grow over twice the degree are pruned again.
+    From a random graph, each batch of points is connected by searches of the graph so far from the medoid.
     """
     n = len(x)
     rng = np.random.default_rng(seed)
     norms = np.einsum("ij,ij->i", x, x)
-    room = 2 * degree
-    adj = np.full((n, room), NONE, np.int64)
     if n <= degree + 1:
-        for i in range(n):
-            others = np.delete(np.arange(n), i)
-            adj[i, : len(others)] = others
-        return adj
+        return everyone(n, 2 * degree)
+    adj = np.full((n, 2 * degree), NONE, np.int64)
     adj[:, : degree // 2] = rng.integers(0, n, (n, degree // 2))
-    count = np.full(n, degree // 2)
     start = medoid(x)
-
-    def prune(points, candidates):
-        safe = np.maximum(candidates, 0)
-        d = norms[safe] - 2 * np.einsum("bcd,bd->bc", x[safe], x[points]) + norms[points][:, None]
-        return robust_prune(x, norms, points, np.where(candidates < 0, NONE, candidates), np.maximum(d, 0), degree)
-
     for _ in range(passes):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
-            points = order[at:at + BATCH]
-            met, _d = beam_search(x, norms, adj, x[points], np.full((len(points), 1), start), beam)
-            kept = prune(points, np.concatenate([met, adj[points]], axis=1))
-            adj[points] = NONE
-            adj[points, :degree] = kept
-            count[points] = (kept >= 0).sum(axis=1)
-            src, dst = np.repeat(points, degree), kept.ravel()
-            src, dst = src[dst >= 0], dst[dst >= 0]
-            by = np.argsort(dst, kind="stable")
-            src, dst = src[by], dst[by]
-            starts = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if len(dst) else np.empty(0, np.int64)
-            rank = np.arange(len(dst)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(dst)]])))
-            known = (adj[dst] == src[:, None]).any(axis=1)
-            src, dst, rank = src[~known], dst[~known], rank[~known]
-            place = count[dst] + rank
-            fits = place < room
-            adj[dst[fits], place[fits]] = src[fits]
-            over = np.unique(dst[~fits])
-            np.add.at(count, dst[fits], 1)
-            count = np.minimum((adj >= 0).sum(axis=1), room)
-            if len(over):
-                # gaps left by known edges are closed, and lists that are full are pruned with what did not fit
-                extra = np.full((len(over), int(rank.max()) + 1), NONE, np.int64)
-                where = np.searchsorted(over, dst[~fits])
-                extra[where, rank[~fits]] = src[~fits]
-                kept = prune(over, np.concatenate([adj[over], extra], axis=1))
-                adj[over] = NONE
-                adj[over, :degree] = kept
-            order_adj = np.argsort(adj < 0, axis=1, kind="stable")
-            adj = np.take_along_axis(adj, order_adj, axis=1)
-            count = (adj >= 0).sum(axis=1)
+            adj = connect(x, norms, adj, order[at:at + BATCH], start, degree, beam)
     return adj
 
 
-def both_ways(n: int, of, to):
-    """The edges ``of`` -> ``to`` and back, without repeats, as (begin, ends): node v's neighbours are ends[begin[v]:begin[v + 1]]."""
-    key = np.unique(np.concatenate([of * n + to, to * n + of]))
-    of, ends = key // n, key % n
-    return np.searchsorted(of, np.arange(n + 1)), ends
-
+def extend(x, adj, degree: int = DEGREE, beam: int = BUILD_BEAM):
+    """The adjacency of all of ``x``, whose first rows ``adj`` connects already: the others are inserted batch by batch."""
+    n, old = len(x), len(adj)
+    if n <= degree + 1 or old <= degree + 1:
+        return build(x, degree, beam)
+    norms = np.einsum("ij,ij->i", x, x)
+    start = medoid(x[:old])
+    adj = np.concatenate([adj, np.full((n - old, adj.shape[1]), NONE, np.int64)])
+    for at in range(old, n, BATCH):
+        adj = connect(x, norms, adj, np.arange(at, min(n, at + BATCH)), start, degree, beam)
+    return adj
 
-def range_search(x, begin, ends, queries, entries, least):
-    """(query row, id) pairs of unit vectors with inner product >= ``least`` (one number, or one for each id).
 
-    The queries go together: from all their entries, whatever lies in range of any of them is expanded,
-    and each vector met is compared with every query, as a product of matrices. Edges are as ``both_ways`` gives them.
-    """
-    n, q = len(x), len(queries)
-    least = np.broadcast_to(np.asarray(least), (n,))
-    met, inside = np.zeros(n, bool), np.zeros((q, n), bool)
-    front = np.unique(entries)
-    while len(front):
-        met[front] = True
-        near = queries @ x[front].T >= least[front]
-        inside[:, front] = near
-        go = front[near.any(axis=0)]
-        size = begin[go + 1] - begin[go]
-        around = ends[np.repeat(begin[go] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        around = np.unique(around)
-        front = around[~met[around]]
-    return np.nonzero(inside)
+def without(x, adj, dead, degree: int = DEGREE):
+    """The adjacency without the ``dead`` nodes (boolean), renumbered: who had one as a neighbour gets its neighbours as candidates, pruned."""
+    alive = np.flatnonzero(~dead)
+    if len(alive) <= degree + 1:
+        return everyone(len(alive), adj.shape[1])
+    norms = np.einsum("ij,ij->i", x, x)
+    gone = np.append(dead, True)  # where NONE points
+    for at in range(0, len(alive), BATCH):
+        points = alive[at:at + BATCH]
+        near = adj[points]
+        hurt = ((near >= 0) & gone[near]).any(axis=1)
+        if not hurt.any():
+            continue
+        points, near = points[hurt], near[hurt]
+        through = np.where(((near >= 0) & gone[near])[:, :, None], adj[np.maximum(near, 0)], NONE).reshape(len(points), -1)
+        both = np.concatenate([near, through], axis=1)
+        both = np.where((both >= 0) & ~gone[both], both, NONE)
+        safe = np.maximum(both, 0)
+        d = norms[safe] - 2 * np.einsum("bcd,bd->bc", x[safe], x[points]) + norms[points][:, None]
+        kept = robust_prune(x, norms, points, both, np.maximum(d, 0), degree)
+        adj[points] = NONE
+        adj[points, :degree] = kept
+    number = np.full(len(dead) + 1, NONE, np.int64)
+    number[alive] = np.arange(len(alive))
+    return number[adj[alive]]

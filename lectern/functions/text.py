@@ -17,6 +17,15 @@ CITATION_GROUP = r"\[((?:P\d+)(?:\s*[,;]\s*P\d+)*)\]"
 PAGE_MENTION = r"(?i)\b(?:pp?\.|pages?)\s*[\divxlc]+(?:\s*[–-]\s*[\divxlc]+)?\b"
 QUOTATION = r'[“"]([^“”"]{12,}?)[”"]'
 CRUMB = " › "
+#: Abbreviations that a name, a number or a reference follows.
+ABBREVIATIONS = "Mr Mrs Ms Dr Prof St Rev Hon Gov Sen Gen Col Capt Lt Sgt Mme Mlle Messrs Mt Fr Sr vs cf ca No Nos Vol Vols Ch Fig Figs pp e.g i.e viz".split()
+#: Closing marks after a terminator; a full stop needs white space after it, other terminators of scripts without spaces don't.
+CLOSING = "[\"'”’»)\\]」』）】]*"
+STOP = rf"([.!?؟।]+{CLOSING}\s+|[。！？｡]+{CLOSING}\s*)"
+GOES_ON = r"^[,:;–—，、：；-]"
+LOWER_NEXT = r"^[^\p{L}.!?。！？؟।]*\p{Ll}"
+FULL_STOP = rf"\.{CLOSING}$"
+NAMED_NEXT = r"(?:^|[\s(\"'“‘«\[])(?:\p{Lu}|" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.$"
 
 
 def plain_spaces(c: Column) -> Column:
@@ -130,3 +139,29 @@ def link_citations(c: Column) -> Column:
     marked = F.regexp_replace(c, CITATION_GROUP, "\u0001$1\u0002")
     each = F.transform(F.split(marked, "[\u0001\u0002]"), lambda part, i: F.when(i % 2 == 1, F.regexp_replace(F.regexp_replace(part, r"\s*[,;]\s*", ""), r"(P\d+)", "[$1](cite:$1)")).otherwise(part))
     return F.array_join(each, "")
+
+
+def quote_fragments(quote: Column) -> Column:
+    """The normalised parts of a quotation between ellipses and [edits], those of two words and more."""
+    parts = F.split(F.regexp_replace(quote, r"\[[^\]]*\]", "…"), r"\s*(?:\.\s?\.\s?\.|…)\s*")
+    return F.filter(F.transform(parts, normalize_for_match), lambda f: F.size(F.split(f, " ")) >= 2)
+
+
+def sentences(text: Column) -> Column:
+    """A paragraph's sentences, after Unicode's rules for sentence boundaries (UAX 29), tailored by abbreviations and initials.
+
+    A boundary may be after a run of terminators with its closing marks and white space (none is needed after an ideographic one). It is none where a comma, colon, semicolon
+    or dash follows; nor, after a full stop, where the next letter is lower-case, or after an abbreviation that goes before a name or a single
+    capital. Without white space a full stop ends nothing, so numbers and initials stay whole.
+    """
+    def ends(parts: Column) -> Column:
+        def between(part: Column, i: Column) -> Column:
+            after, bare = F.coalesce(F.get(parts, i + 1), F.lit("")), F.rtrim(F.translate(part, "\t\n\f\r", "    "))
+            goes_on = after.rlike(GOES_ON) | (bare.rlike(FULL_STOP) & (after.rlike(LOWER_NEXT) | bare.rlike(NAMED_NEXT)))
+            return F.concat(part, F.when(goes_on, "").otherwise("\u0001"))
+
+        return F.split(F.array_join(F.transform(parts, between), ""), "\u0001")
+
+    # the array of parts is named once for each of its uses, so it is bound first
+    found = F.get(F.transform(F.array(F.split(F.regexp_replace(text, STOP, "$1\u0002"), "\u0002")), ends), F.lit(0))
+    return F.filter(F.transform(found, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lectern.functions.text import extract_citations, extract_quotes, fold_accents, normalize_for_match, page_mentions
+from lectern.functions.text import extract_citations, extract_quotes, fold_accents, normalize_for_match, page_mentions, quote_fragments
 
 
 def check_citations(answers: DataFrame, passages: DataFrame) -> DataFrame:
@@ -25,9 +25,7 @@ def check_quotes(answers: DataFrame, passages: DataFrame) -> DataFrame:
     Ellipses and [edits] part a quotation; fragments of fewer than two words don't count; with none left it is not verified.
     """
     q = answers.select("answer_id", "thread_id", F.posexplode(extract_quotes(F.col("text"))).alias("pos", "quote"))
-    parts = F.split(F.regexp_replace("quote", r"\[[^\]]*\]", "…"), r"\s*(?:\.\s?\.\s?\.|…)\s*")
-    parts = F.filter(F.transform(parts, normalize_for_match), lambda f: F.size(F.split(f, " ")) >= 2)
-    q = q.withColumn("parts", parts)
+    q = q.withColumn("parts", quote_fragments(F.col("quote")))
     texts = passages.select("thread_id", "passage_id", normalize_for_match(F.col("text")).alias("norm"))
     hits = q.where(F.size("parts") > 0).join(texts, "thread_id").where(F.forall("parts", lambda f: F.col("norm").contains(f)))
     found = hits.groupBy("answer_id", "pos").agg(F.array_join(F.sort_array(F.collect_set("passage_id")), ",").alias("found_in"))

@@ -95,8 +95,11 @@ def page_passages(requests: DataFrame, pages: DataFrame, docs: DataFrame, chunks
     """
     wanted = requests.select("request_id", "document_id", F.explode(F.sequence("from_page", "to_page")).alias("page"))
     rows = wanted.join(pages, ["document_id", "page"]).where(F.trim("text") != "")
-    ends = requests.select("request_id", "document_id", "to_page").join(chunks.select("document_id", "page_start", "ordinal", "chapter"), "document_id").where("page_start <= to_page")
-    chapter = ends.groupBy("request_id").agg(F.max_by(F.struct("chapter"), F.struct("page_start", "ordinal"))["chapter"].alias("chapter"))
+    # a document's last passage of each page, then the running last of these pages, met by the requests at their ends: rows are pages and requests, never pairs of them
+    last = chunks.groupBy("document_id", F.col("page_start").alias("page")).agg(F.max_by(F.struct("chapter"), "ordinal").alias("c"))
+    line = last.select("document_id", "page", F.lit(0).alias("turn"), "c", F.lit(None).cast("long").alias("request_id")).unionByName(requests.select("document_id", F.col("to_page").alias("page"), F.lit(1).alias("turn"), F.lit(None).cast(last.schema["c"].dataType).alias("c"), F.col("request_id").cast("long").alias("request_id")))
+    seen = F.last("c", ignorenulls=True).over(W.partitionBy("document_id").orderBy("page", "turn").rowsBetween(W.unboundedPreceding, 0))
+    chapter = line.withColumn("c", seen).where("turn = 1 and c is not null").select("request_id", F.col("c.chapter").alias("chapter"))
     rows = rows.join(chapter, "request_id", "left").join(docs.select("document_id", "title", "author"), "document_id")
     return rows.select("request_id", "document_id", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "chapter", "text", "title", "author", F.col("label").alias("label_start"), F.col("label").alias("label_end"))
 
@@ -133,14 +136,27 @@ def assemble_context(passages: DataFrame, catalog: DataFrame, questions: DataFra
     return t.select("thread_id", F.concat_ws("\n\n", part("BOOKS", "books"), part("EARLIER PASSAGES", "earlier"), part("PASSAGES", "new"), F.concat(F.lit("QUESTION\n"), "question")).alias("context"))
 
 
+MOST_REFS, MOST_CHARS, LIMITS, USUAL_LIMIT = 50, 500, (1, 12), 8
+
+
 def resolve_requests(requests: DataFrame, catalog: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """(request_id, kind, query, documents, unknown, limit, error) from (request_id, thread_id, kind, query, refs, limit).
+    """(request_id, kind, query, documents, unknown, limit, error) from (request_id, thread_id, kind, query, refs, limit, and for reads start_page, end_page).
 
-    Searches: 1 to 500 characters, at most 50 refs, limit 1 to 12 (8 if absent). Refs are trimmed and upper-cased; unknown ones are
+    A search has 1 to 500 characters, a request at most 50 refs and a limit from 1 to 12 (8 if absent), a read pages from 1 on; whatever breaks a rule is refused with
+    the first rule that it breaks, and has no documents. Refs are trimmed and upper-cased; unknown ones are
     told; if all are unknown that is an error. Without refs the thread's scope (thread_id, documents) holds.
     """
-    r = requests.withColumn("refs", F.slice(F.coalesce("refs", F.array().cast("array<string>")), 1, 50))
-    each = r.select("request_id", F.explode("refs").alias("raw")).select("request_id", F.upper(F.trim("raw")).alias("ref")).distinct()
+    r = requests
+    for c in ("start_page", "end_page"):
+        if c not in r.columns:
+            r = r.withColumn(c, F.lit(1))
+    search = F.col("kind") == "search"
+    limit = F.coalesce("limit", F.lit(USUAL_LIMIT))
+    rules = ((search & ~F.length(F.trim(F.coalesce("query", F.lit("")))).between(1, MOST_CHARS), f"query must have 1 to {MOST_CHARS} characters"),
+             (F.size(F.coalesce("refs", F.array().cast("array<string>"))) > MOST_REFS, f"at most {MOST_REFS} books"), (~limit.between(*LIMITS), f"limit must be {LIMITS[0]} to {LIMITS[1]}"),
+             (~search & ~((F.coalesce("start_page", F.lit(0)) >= 1) & (F.coalesce("end_page", F.lit(0)) >= 1)), "pages begin at 1"))
+    r = r.withColumns({"refs": F.coalesce("refs", F.array().cast("array<string>")), "limit": limit, "broken": F.coalesce(*[F.when(bad, said) for bad, said in rules])})
+    each = r.where("broken is null").select("request_id", F.explode("refs").alias("raw")).select("request_id", F.upper(F.trim("raw")).alias("ref")).distinct()
     met = each.join(catalog.select("ref", "document_id"), "ref", "left")
     listed = lambda c, cond: F.array_join(F.sort_array(F.collect_list(F.when(cond, c))), ",")
     known = met.groupBy("request_id").agg(listed(F.col("document_id").cast("string"), F.col("document_id").isNotNull()).alias("documents"), listed(F.col("ref"), F.col("document_id").isNull()).alias("unknown"))
@@ -149,7 +165,6 @@ def resolve_requests(requests: DataFrame, catalog: DataFrame, scope: DataFrame |
         out = out.join(scope.select("thread_id", F.col("documents").alias("_inherited")), "thread_id", "left")
     else:
         out = out.withColumn("_inherited", F.lit(None).cast("string"))
-    bad_query = (F.col("kind") == "search") & ~F.length(F.trim(F.coalesce("query", F.lit("")))).between(1, 500)
-    nothing = (F.size("refs") > 0) & (F.coalesce("documents", F.lit("")) == "")
-    return out.select("request_id", "kind", "query", F.when(F.size("refs") > 0, F.col("documents")).otherwise(F.coalesce("_inherited", F.lit(""))).alias("documents"), F.coalesce("unknown", F.lit("")).alias("unknown"),
-                      F.greatest(F.lit(1), F.least(F.lit(12), F.coalesce("limit", F.lit(8)))).alias("limit"), F.when(bad_query, "query must have 1 to 500 characters").when(nothing, "no such books").alias("error"))
+    own = F.coalesce(F.when(F.size("refs") > 0, F.col("documents")).otherwise(F.col("_inherited")), F.lit(""))
+    nothing = F.col("broken").isNull() & (F.size("refs") > 0) & (F.coalesce("documents", F.lit("")) == "")
+    return out.select("request_id", "kind", "query", F.when(F.col("broken").isNull(), own).otherwise("").alias("documents"), F.coalesce("unknown", F.lit("")).alias("unknown"), "limit", F.when(nothing, "no such books").otherwise(F.col("broken")).alias("error"))

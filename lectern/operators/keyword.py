@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from lectern.functions.stemming import porter_stem
 from lectern.functions.text import lead_excerpt
+from lectern.operators.joins import few, written
 
 CANDIDATES = 60
 MAX_TERM_SHARE, LEAST_CAP = 0.04, 25
@@ -93,24 +94,99 @@ def phrase_parts(queries: DataFrame) -> DataFrame:
     return rows.select("query_id", "alt", F.col("i").alias("part"), (F.col("item").startswith("-") | F.coalesce(lead == "-", F.lit(False))).alias("negated"), words.alias("words")).where(F.size("words") > 0)
 
 
+def phrase_places(parts: DataFrame, postings: DataFrame, scope: DataFrame | None = None, owners: DataFrame | None = None) -> DataFrame:
+    """(query_id, alt, part, negated, chunk_id, start, size): the places where all words of a part stand in order and adjacent.
+
+    A part is entered at its rarest word, whose places are few; the second rarest word is probed at these places, the others
+    at those that are left, and postings of frequent words are met at wanted places only. Frequencies are those of the postings.
+    ``scope`` is (query_id, chunk_id), or (query_id, document_id) with the ``owners`` (chunk_id, document_id).
+    """
+    key = ["query_id", "alt", "part"]
+    words = written(parts.select(*key, "negated", F.size("words").alias("size"), F.posexplode("words").alias("off", "lexeme")))
+    counts = written(postings.join(few(written(words.select("lexeme").distinct())), "lexeme", "left_semi").groupBy("lexeme").agg(F.count("*").alias("n")))
+    # a part with a word that is nowhere has no place
+    ranked = words.join(few(counts), "lexeme", "left").withColumns({"turn": F.row_number().over(W.partitionBy(*key).orderBy("n", "off")), "least": F.min(F.coalesce("n", F.lit(0))).over(W.partitionBy(*key))}).where("least > 0")
+    ranked = written(ranked.drop("n", "least"))
+    met = postings.join(few(written(ranked.where("turn = 1").drop("turn"))), "lexeme").select(*key, "negated", "size", "chunk_id", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    if scope is not None:
+        within = "chunk_id" if owners is None else "document_id"
+        met = met if owners is None else met.join(owners.select("chunk_id", "document_id"), "chunk_id")
+        met = met.join(scope.select("query_id", within), ["query_id", within], "left_semi").select(*key, "negated", "size", "chunk_id", "start")
+    for turns in ("turn = 2", "turn > 2"):
+        rest = ranked.where(turns).select(*key, "off", "lexeme")
+        met = written(met)
+        wanted = written(met.join(few(written(rest)), key).select(*key, "chunk_id", "start", "lexeme", (F.col("start") + F.col("off")).alias("pos")))
+        if wanted.limit(1).count() == 0:
+            continue
+        there = postings.join(few(wanted), ["chunk_id", "lexeme", "pos"]).groupBy(*key, "chunk_id", "start").agg(F.count("*").alias("have"))
+        need = rest.groupBy(*key).agg(F.count("*").alias("need"))
+        met = met.join(few(written(need)), key, "left").join(few(written(there)), [*key, "chunk_id", "start"], "left").where(F.coalesce("have", F.lit(0)) >= F.coalesce("need", F.lit(0))).drop("have", "need")
+    return met
+
+
+def matching_places(keywords: DataFrame, postings: DataFrame, scope: DataFrame | None, owners: DataFrame | None = None) -> DataFrame:
+    """(query_id, alt, chunk_id, part, start, size) of the passages that hold every part of an alternative and no negated one."""
+    parts = written(phrase_parts(keywords))
+    at = written(phrase_places(parts, postings, scope, owners))
+    need = parts.where("not negated").groupBy("query_id", "alt").agg(F.count("*").alias("need"))
+    by = ["query_id", "alt", "chunk_id"]
+    have = at.where("not negated").select(*by, "part").distinct().groupBy(*by).agg(F.count("*").alias("have"))
+    good = have.join(few(written(need)), ["query_id", "alt"]).where("have = need").select(*by)
+    good = written(good.join(at.where("negated").select(*by), by, "left_anti"))
+    return at.where("not negated").join(few(good), by, "left_semi").select(*by, "part", "start", "size")
+
+
 def phrase_topk(keywords: DataFrame, postings: DataFrame, k: int = CANDIDATES, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, hits, rank): every phrase in order and adjacent, every word, none of the negated ones; alternatives by ``or``.
 
-    Of the passages in scope (query_id, chunk_id), if there is one.
+    Of the passages in scope (query_id, chunk_id), if there is one. Passages with most places of an alternative's parts come first.
+    """
+    n = matching_places(keywords, postings, scope).groupBy("query_id", "alt", "chunk_id").agg(F.count("*").alias("hits"))
+    return top_k(n.groupBy("query_id", "chunk_id").agg(F.max("hits").alias("hits")), k, F.desc("hits"), F.asc("chunk_id"))
+
+
+def covers(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(begin, end, noise) of the minimal covers of places (start, part, size), sorted: stretches that hold each part and no shorter one that does.
 
-    A positional join: places that agree on pos - offset for all of a phrase's words are its occurrences.
+    One sweep over the points where places start: each may end a cover, which begins at the least of the parts' latest starts; of covers with one beginning the first
+    counts. noise is the number of words in the cover that its own places don't take.
     """
-    parts = phrase_parts(keywords)
-    words = parts.select("query_id", "alt", "part", "negated", F.size("words").alias("n"), F.posexplode("words").alias("off", "lexeme"))
-    at = postings.join(words, "lexeme").select("query_id", "alt", "part", "negated", "n", "chunk_id", (F.col("pos") - F.col("off")).alias("start"), "off")
-    if scope is not None:
-        at = at.join(scope.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
-    found = at.groupBy("query_id", "alt", "part", "negated", "n", "chunk_id", "start").agg(F.countDistinct("off").alias("m")).where("m = n")
-    per_part = found.groupBy("query_id", "alt", "part", "negated", "chunk_id").agg(F.count("*").alias("hits"))
-    need = parts.where("not negated").groupBy("query_id", "alt").agg(F.count("*").alias("need"))
-    good = per_part.where("not negated").groupBy("query_id", "alt", "chunk_id").agg(F.count("*").alias("have"), F.sum("hits").alias("hits")).join(need, ["query_id", "alt"]).where("have = need")
-    good = good.join(per_part.where("negated").select("query_id", "alt", "chunk_id"), ["query_id", "alt", "chunk_id"], "left_anti")
-    return top_k(good.groupBy("query_id", "chunk_id").agg(F.max("hits").alias("hits")), k, F.desc("hits"), F.asc("chunk_id"))
+    n = len({part for _, part, _ in places})
+    latest: dict[int, tuple[int, int]] = {}
+    out: list[tuple[int, int, int]] = []
+    for i, (start, part, size) in enumerate(places):
+        latest[part] = start, size
+        if len(latest) == n and (i + 1 == len(places) or places[i + 1][0] > start):
+            begin = min(latest.values())[0]
+            if not out or begin > out[-1][0]:
+                end = max(s + z for s, z in latest.values())
+                out.append((begin, end, max(0, end - begin - sum(z for _, z in latest.values()))))
+    return out
+
+
+def cover_topk(keywords: DataFrame, postings: DataFrame, k: int = CANDIDATES, scope: DataFrame | None = None, owners: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, covers, score, rank): as phrase_topk, ranked by cover density.
+
+    A minimal cover of an alternative's phrases and words counts 1 / (1 + its words that are no match), so tight ones count most; a passage's
+    density is the sum over the covers of its best alternative, and score is density / (1 + density). For a query of one
+    part each place is a cover of its own. Places of a passage are swept together: a passage is bounded, a query's passages are not.
+    """
+    by = ["query_id", "alt", "chunk_id"]
+    rows = matching_places(keywords, postings, scope, owners).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("start", "part", "size"))).alias("places"))
+
+    def sweep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [covers([(p["start"], p["part"], p["size"]) for p in places]) for places in batch.column("places").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("chunk_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([sum(1 / (1 + noise) for _, _, noise in x) for x in found], pa.float64())],
+                                             names=["query_id", "chunk_id", "covers", "density"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    swept = rows.mapInArrow(sweep, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, covers long, density double")
+    # sums of fractions come in the order of the places, so equal passages have equal densities; noise of the last digits must not rank
+    best = swept.groupBy("query_id", "chunk_id").agg(F.max(F.struct(F.round("density", 9).alias("density"), "covers")).alias("b"))
+    return top_k(best.select("query_id", "chunk_id", "b.covers", (F.col("b.density") / (1 + F.col("b.density"))).alias("score")), k, F.desc("score"), F.asc("chunk_id"))
 
 
 def term_coverage(candidates: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:

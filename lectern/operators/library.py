@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lectern.functions.text import JUNK_AUTHOR, JUNK_TITLE, metadata_from_file_name
+from lectern.operators.joins import few, written
 
 
 def dedupe_by_hash(incoming: DataFrame, existing: DataFrame, id_col: str = "document_id", hash_col: str = "sha256") -> DataFrame:
@@ -40,9 +41,11 @@ def surname_key(author: Column) -> Column:
 
 
 def library_order(key: str) -> list[Column]:
-    by = {"recent": [F.desc("created_at")], "title": [F.asc(F.collate("title", "UNICODE"))],
-          "author": [F.asc(F.collate(surname_key(F.col("author")), "UNICODE")), F.asc(F.collate("title", "UNICODE"))], "length": [F.desc(F.coalesce("page_count", F.lit(0)))]}
-    return [*by[key], F.asc("document_id")]
+    """Ascending keys of one of the orders recent, title, author and length; names compare as a reader expects (accents and case last), ties go by id."""
+    last = F.lit((1 << 63) - 1)
+    by = {"recent": [F.coalesce(-F.unix_micros(F.col("created_at").cast("timestamp")), last)], "title": [F.collate("title", "UNICODE")],
+          "author": [F.collate(surname_key(F.col("author")), "UNICODE"), F.collate("title", "UNICODE")], "length": [-F.coalesce("page_count", F.lit(0))]}
+    return [*by[key], F.col("document_id")]
 
 
 def sort_library(docs: DataFrame, key: str = "recent") -> DataFrame:
@@ -142,27 +145,49 @@ def claim_oldest(jobs: DataFrame, now: Column, limit: int = 100) -> DataFrame:
     return classify_jobs(jobs, now).where("claimable").orderBy("created_at", "job_id").limit(limit)
 
 
+#: States in which work on a document is over; the last two have been processed.
+FAILED, FINISHED = "failed", ("ready", "needs_ocr")
+
+
+def settled(state: DataFrame) -> DataFrame:
+    """What a status makes of the other fields: failed and finished documents have no stage, finished ones all of their progress, which else is clamped to 0..1."""
+    over = F.col("status").isin(FAILED, *FINISHED)
+    progress = F.when(F.col("status").isin(*FINISHED), 1.0).when(F.col("progress").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "progress")))
+    return state.select("document_id", "status", F.when(~over, F.col("stage")).alias("stage"), progress.alias("progress"), "detail", "updated_at")
+
+
 def document_status(events: DataFrame) -> DataFrame:
     """Latest state of each document from lifecycle events (document_id, ts, seq, status, stage, progress, detail).
 
-    The last event tells status and stage; progress is clamped to 0..1; a null detail leaves the one before.
+    The last event tells status, stage and progress, as ``settled`` reads them; a null detail leaves the one before.
     """
     at = F.struct("ts", "seq")
     seen = F.struct(F.when(F.col("detail").isNotNull(), at).alias("at"), "detail")
-    return events.groupBy("document_id").agg(
-        F.max_by("status", at).alias("status"), F.max_by("stage", at).alias("stage"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.max_by("progress", at))).alias("progress"),
-        F.max(F.when(F.col("detail").isNotNull(), seen))["detail"].alias("detail"), F.max("ts").alias("updated_at"))
+    latest = [F.max_by(c, at).alias(c) for c in ("status", "stage", "progress")]
+    return settled(events.groupBy("document_id").agg(*latest, F.max(F.when(F.col("detail").isNotNull(), seen))["detail"].alias("detail"), F.max("ts").alias("updated_at")))
 
 
 def stalled(docs: DataFrame, now: Column, after: str = "45 seconds") -> DataFrame:
     return docs.where(F.col("status").isin("queued", "processing") & (F.col("updated_at") < now - F.expr(f"interval {after}")))
 
 
-def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """Each table without the documents' rows."""
-    gone = ids.select("document_id").distinct()
-    return {name: t.join(gone, "document_id", "left_anti") for name, t in tables.items()}
+def delete_documents(tables: dict[str, DataFrame], ids: DataFrame, links: dict[str, tuple[str, str]] | None = None) -> dict[str, DataFrame]:
+    """Each table without the rows that belong to the documents ``ids(document_id)``, directly or through other tables.
+
+    ``links`` tells for each dependent table its parent and the column that both share; tables that it does not name hang on document_id.
+    The keys that go are found table by table from the documents down (only keys of rows that go are joined), and a table
+    is then cut by an anti join on its own link; null keys belong to nothing and stay.
+    """
+    links = {name: (None, "document_id") for name in tables} | (links or {})
+    gone: dict[tuple[str | None, str], DataFrame] = {(None, "document_id"): written(ids.select("document_id").where("document_id is not null").distinct())}
+
+    def keys(parent: str | None, column: str) -> DataFrame:
+        if (parent, column) not in gone:
+            rows = tables[parent].join(few(keys(*links[parent])), links[parent][1], "left_semi")
+            gone[parent, column] = written(rows.select(column).where(F.col(column).isNotNull()).distinct())
+        return gone[parent, column]
+
+    return {name: t.join(few(keys(*links[name])), links[name][1], "left_anti") for name, t in tables.items()}
 
 
 def reprocess(docs: DataFrame, jobs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,20 +200,26 @@ def reprocess(docs: DataFrame, jobs: DataFrame, ids: DataFrame) -> tuple[DataFra
     return out, enqueue(jobs, ids.select("document_id", F.lit("ingest").alias("kind")))
 
 
+UNEXPECTED = "ended unexpectedly"
+
+
 def fold_turns(events: DataFrame) -> DataFrame:
     """Answer events -> one row per turn: its searches and reads, notes, answer, checks and error.
 
-    Text before a later round is a note, text of the last round the answer. A turn with neither done nor error ended unexpectedly.
+    Text before a later round is a note, text of the last round the answer, unless the done event brings the whole answer. Of the final checks (cited and unknown sources,
+    quotations verified, tokens used) those are given that the events have columns for; they are the done event's. A turn with neither done nor error ended unexpectedly.
     """
     before = W.partitionBy("turn_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     e = events.withColumn("round_no", F.sum(F.when(F.col("type") == "turn", 1).otherwise(0)).over(before))
     last = F.max("round_no").over(W.partitionBy("turn_id"))
     e = e.withColumn("last_round", last)
     ordered = lambda cond, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("seq", value.alias("v"))))), lambda x: x["v"]), "")
-    text = F.col("type") == "text"
+    text, done = F.col("type") == "text", F.col("type") == "done"
     trail = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("type").isin("search", "read"), F.struct("seq", F.concat_ws(":", "type", "query").alias("v"))))), lambda x: x["v"]), "|")
     ended = F.max(F.col("type").isin("done", "error"))
+    final = lambda c: F.max_by(c, F.when(done, F.col("seq")))
+    checks = [final(c).alias(c) for c in ("cited", "unknown", "verified", "input_tokens", "output_tokens") if c in events.columns]
     return e.groupBy("turn_id").agg(
         F.count_if(F.col("type") == "search").alias("searches"), F.count_if(F.col("type") == "read").alias("reads"), trail.alias("trail"),
-        ordered(text & (F.col("round_no") < F.col("last_round")), F.col("text")).alias("notes"), ordered(text & (F.col("round_no") == F.col("last_round")), F.col("text")).alias("answer"),
-        F.coalesce(F.max(F.when(F.col("type") == "error", F.coalesce("error", F.lit("error")))), F.when(~ended, "ended unexpectedly")).alias("error"))
+        ordered(text & (F.col("round_no") < F.col("last_round")), F.col("text")).alias("notes"), F.coalesce(final("text"), ordered(text & (F.col("round_no") == F.col("last_round")), F.col("text"))).alias("answer"),
+        F.coalesce(F.max(F.when(F.col("type") == "error", F.coalesce("error", F.lit("error")))), F.when(~ended, UNEXPECTED)).alias("error"), *checks)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lectern.operators import keyword, vector
+from lectern.operators.joins import few, written
 
 BOOST, PENALTY, FREE_HITS = 0.015, 0.006, 2
 BANDS = (0.50, 0.57, 0.63, 0.69, 0.75)
@@ -80,23 +81,27 @@ def hybrid_candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid
     kw = keyword.keyword_queries(queries)
     none = "query_id long, chunk_id long, rank int"
     spark = queries.sparkSession
+    owners = chunks.select("chunk_id", "document_id")
     found = spark.createDataFrame([], none) if mode == "keyword" else vector.knn_ann(queries.select("query_id", "qvec"), index) if index is not None and scope is None else vector.knn_exact(queries.select("query_id", "qvec"), chunks, scope=scope)
-    terms = keyword.informative_terms(keyword.query_terms(kw, analyzer), postings, chunks.agg(F.count("*").alias("n")))
-    inside = None if scope is None else scope.join(chunks.select("chunk_id", "document_id"), "document_id").select("query_id", "chunk_id")
     if mode == "vector":
-        words = spark.createDataFrame([], none)
+        c = union_candidates(found, spark.createDataFrame([], none)).withColumn("coverage", F.lit(0.0))
     else:
-        phrases = keyword.phrase_topk(kw, postings, keyword.CANDIDATES, inside)
-        words = keyword.keyword_topk(terms, postings, scope=inside).select("query_id", "chunk_id", "rank").unionByName(phrases.select("query_id", "chunk_id", "rank"))
-    c = union_candidates(found, words)
-    # coverage comes from the terms' own matches, so that the candidates are made once
-    total = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    have = postings.join(terms.select("query_id", "lexeme"), "lexeme").groupBy("query_id", "chunk_id").agg(F.countDistinct("lexeme").alias("have"))
-    share = have.join(total, "query_id").select("query_id", "chunk_id", (F.col("have") / F.col("n_terms")).alias("coverage"))
-    web = kw.where("mode = 'web'").select("query_id", F.lit(True).alias("web"))
-    c = c.join(share, ["query_id", "chunk_id"], "left").join(web, "query_id", "left").withColumn("coverage", F.when(F.col("web"), F.col("keyword_rank").isNotNull().cast("double")).otherwise(F.coalesce("coverage", F.lit(0.0)))).drop("web")
-    if mode == "vector":
-        c = c.withColumn("coverage", F.lit(0.0))
+        # postings are met once, at the queries' words; frequencies, hits and coverage come from these matches
+        asked = written(keyword.query_terms(kw, analyzer))
+        matches = written(postings.join(few(written(asked.select("lexeme").distinct())), "lexeme", "left_semi").groupBy("chunk_id", "lexeme").agg(F.count("*").alias("n")))
+        terms = written(keyword.informative_terms(asked, matches, chunks.agg(F.count("*").alias("n"))))
+        hits = matches.join(few(terms), "lexeme").groupBy("query_id", "chunk_id").agg(F.sum("n").alias("hits"), F.count("*").alias("have"))
+        if scope is not None:
+            hits = hits.join(owners, "chunk_id").join(scope.select("query_id", "document_id"), ["query_id", "document_id"], "left_semi").drop("document_id")
+        hits = written(hits)
+        words = keyword.top_k(hits, keyword.CANDIDATES, F.desc("hits"), F.asc("chunk_id")).select("query_id", "chunk_id", "rank")
+        if kw.where("mode = 'web'").limit(1).count():
+            words = words.unionByName(keyword.cover_topk(kw, postings, keyword.CANDIDATES, scope, owners).select("query_id", "chunk_id", "rank"))
+        total = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+        share = hits.join(total, "query_id").select("query_id", "chunk_id", (F.col("have") / F.col("n_terms")).alias("coverage"))
+        web = kw.where("mode = 'web'").select("query_id", F.lit(True).alias("web"))
+        c = union_candidates(found, words).join(share, ["query_id", "chunk_id"], "left").join(web, "query_id", "left")
+        c = c.withColumn("coverage", F.when(F.col("web"), F.col("keyword_rank").isNotNull().cast("double")).otherwise(F.coalesce("coverage", F.lit(0.0)))).drop("web")
     c = c.join(chunks.select("chunk_id", "document_id", "ordinal", "embedding"), "chunk_id").join(queries.select("query_id", "qvec"), "query_id")
     return c.withColumn("similarity", F.round(vector.cosine(F.col("qvec"), F.col("embedding")), vector.DECIMALS)).drop("qvec", "embedding")
 

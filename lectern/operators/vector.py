@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.operators.graph_index import GRAPH, build_graphs, search_graphs, usable
+from lectern.operators.graph_index import build_graphs, search_graphs, store_graphs, update_graphs, usable
 from lectern.operators.keyword import CANDIDATES, top_k
 
 #: Queries and passages (a few hundred bytes each) that a task of the exact search holds at once.
 QUERY_BLOCK, PART_ROWS = 2_000, 16_384
+#: Numbers in queries' vectors (of 8 bytes) up to which all queries are sent to all tasks.
+QUERY_NUMBERS = 1_000_000
 BATCH_TEXTS, BATCH_TOKENS, CHARS_PER_TOKEN = 128, 60_000, 4
 DECIMALS = 12
 
@@ -29,9 +31,9 @@ def cosine(a: Column, b: Column) -> Column:
 def knn_exact(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): all passages (of the scoped documents) by cosine, the first k.
 
-    queries (query_id, qvec), chunks (chunk_id, document_id, embedding), scope (query_id, document_id). The query set is
-    compared with all passages by groups of one block of queries and one part of the passages, both of bounded size: a
-    task multiplies them as matrices and hands on the best k of each query. Scoped searches join on the document first and
+    queries (query_id, qvec), chunks (chunk_id, document_id, embedding), scope (query_id, document_id). Up to QUERY_NUMBERS
+    numbers of queries go to where the passages lie, and a task hands on the best k of each query among its passages. More queries
+    are compared with all passages by groups of one block of queries and one part of the passages, both of bounded size, as products of matrices. Scoped searches join on the document first and
     score only what is in scope. Vectors that are null, empty, zero or hold null or non-finite components are
     near nothing: such queries have no hits, such passages are none. Widths don't mix. Cosines are rounded to 12 decimals
     (their noise depends on a row's place in a block), so that equal vectors rank by id.
@@ -42,7 +44,10 @@ def knn_exact(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, scope:
     if scope is not None:
         pairs = c.select("chunk_id", "document_id", "embedding").join(scope.select("query_id", "document_id").join(q, "query_id"), "document_id")
         return top_k(pairs.select("query_id", "chunk_id", F.round(cosine(F.col("qvec"), F.col("embedding")), DECIMALS).alias("similarity")).where("similarity is not null"), k, *best)
-    blocks, parts = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-c.count() // PART_ROWS))
+    numbers = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("qvec")), F.lit(0)).alias("numbers")).first()
+    if numbers.numbers <= QUERY_NUMBERS:
+        return top_k(best_in_place(q, c, k), k, *best)
+    blocks, parts = max(1, -(-numbers.n // QUERY_BLOCK)), max(1, -(-c.count() // PART_ROWS))
     deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     by = ["block", "part", "width"]
@@ -71,14 +76,73 @@ def knn_exact(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, scope:
     return top_k(pairs.applyInPandas(score, "query_id long, chunk_id long, similarity double"), k, *best)
 
 
+def best_in_place(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, similarity): of each task's passages the best k of each of the few queries; ties to the smaller id.
+
+    A task keeps k hits a query; of each batch of passages only those are sorted that reach the k-th.
+    """
+    from collections import defaultdict
+
+    by_width = defaultdict(list)
+    for r in q.collect():  # bounded by QUERY_NUMBERS
+        by_width[len(r.qvec)].append((r.query_id, r.qvec))
+
+    def scan(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        unit = lambda x: (lambda y: y / np.linalg.norm(y, axis=1, keepdims=True))(x / np.abs(x).max(axis=1, keepdims=True))
+        asked = {w: unit(np.array([v for _, v in rows], np.float64)) for w, rows in by_width.items()}
+        hits = {w: [np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)] for w in asked}  # query, similarity, passage
+        least = {w: np.full(len(x), -np.inf) for w, x in asked.items()}
+        for batch in batches:
+            lists, ids = batch.column("embedding"), batch.column("chunk_id").to_numpy()
+            sizes = lists.value_lengths().to_numpy()
+            for w in np.unique(sizes):
+                if w not in asked:
+                    continue
+                rows = np.flatnonzero(sizes == w)
+                x = unit(lists.take(pa.array(rows)).flatten().to_numpy().astype(np.float64).reshape(len(rows), w))
+                for at in range(0, len(rows), 1024):
+                    sims = np.round(asked[w] @ x[at:at + 1024].T, DECIMALS)
+                    if sims.shape[1] > k:
+                        least[w] = np.maximum(least[w], -np.partition(-sims, k - 1, axis=1)[:, k - 1])
+                    i, j = np.nonzero(sims >= least[w][:, None])
+                    found = [np.concatenate(x) for x in zip(hits[w], (i, sims[i, j], ids[rows[at:at + 1024]][j]))]
+                    order = np.lexsort((found[2], -found[1], found[0]))
+                    found = [f[order] for f in found]
+                    begin = np.searchsorted(found[0], np.arange(len(asked[w])))
+                    place = np.arange(len(order)) - begin[found[0]]
+                    hits[w] = [f[place < k] for f in found]
+                    full = found[0][place == k - 1]
+                    least[w][full] = np.maximum(least[w][full], found[1][place == k - 1])
+        for w, (i, sims, ids) in hits.items():
+            names = np.array([n for n, _ in by_width[w]], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(ids, pa.int64()), pa.array(sims)], names=["query_id", "chunk_id", "similarity"])
+
+    return c.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(scan, "query_id long, chunk_id long, similarity double")
+
+
 def graph_index(chunks: DataFrame, path: str) -> DataFrame:
-    """The passages' vectors (chunk_id, embedding) as pruned graphs, written to ``path`` once and searched any number of times by ``knn_ann``.
+    """The passages' vectors (chunk_id, embedding) as pruned graphs, written to ``path`` once, searched any number of times by ``knn_ann`` and kept up to date by ``update_index``.
 
     Vectors are of unit length in it; those that are null, empty, zero or not finite are left out.
     """
-    good = chunks.where(usable(F.col("embedding"))).select(F.col("chunk_id").alias("key"), unit_vector(F.col("embedding")).alias("v"))
-    build_graphs(good, good.count()).write.parquet(path)
-    return chunks.sparkSession.read.schema(GRAPH).parquet(path)
+    good = indexed(chunks).where("v is not null")
+    return store_graphs(build_graphs(good, good.count()), path)
+
+
+def indexed(chunks: DataFrame) -> DataFrame:
+    """(key, v): passages as an index has them; v is null for vectors that are near nothing."""
+    return chunks.select(F.col("chunk_id").alias("key"), F.when(usable(F.col("embedding")), unit_vector(F.col("embedding"))).alias("v"))
+
+
+def update_index(path: str, chunks: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """The index at ``path`` with the vectors of new and changed passages, and without those of ``gone(chunk_id)``."""
+    changes = indexed(chunks)
+    if gone is not None:
+        changes = changes.unionByName(gone.select(F.col("chunk_id").alias("key"), F.lit(None).cast("array<double>").alias("v")).join(changes.select("key"), "key", "left_anti"))
+    return update_graphs(path, changes)
 
 
 def unit_vector(v: Column) -> Column:
@@ -106,8 +170,11 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
-def hashing_embedder(width: int = 256) -> Embedder:
-    """Deterministic vectors of unit length from hashed words; a word's first four bytes of MD5 give its place (mod width) and its sign (top bit)."""
+def hashing_embedder(width: int = 256, weights=None) -> Embedder:
+    """Deterministic vectors of unit length from hashed words; a word's first four bytes of MD5 give its place (mod width) and its sign (top bit).
+
+    ``weights`` (a numpy array): what a word counts, by the same four bytes modulo its length; else 1.
+    """
 
     def embed(texts: list[str]) -> list[list[float]]:
         import hashlib
@@ -119,7 +186,7 @@ def hashing_embedder(width: int = 256) -> Embedder:
             for w in t.lower().split():
                 if w not in seen:
                     h = int.from_bytes(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()[:4], "big")
-                    seen[w] = h % width, 1 if h >> 31 else -1
+                    seen[w] = h % width, (1 if h >> 31 else -1) * (1 if weights is None else int(weights[h % len(weights)]))
                 place, sign = seen[w]
                 out[i, place] += sign
         norm = np.linalg.norm(out, axis=1, keepdims=True)
@@ -128,6 +195,41 @@ def hashing_embedder(width: int = 256) -> Embedder:
     return embed
 
 
+#: Places of hashed words that document frequencies are kept for (8 bytes each), whatever the vocabulary.
+FREQUENCY_PLACES = 1 << 18
+
+
+def word_place(word: Column, places: int = FREQUENCY_PLACES) -> Column:
+    """A word's place by the first four bytes of its MD5, as the hashing embedder takes it."""
+    return F.pmod(F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(places))
+
+
+def fit_frequencies(passages: DataFrame, path: str, places: int = FREQUENCY_PLACES) -> DataFrame:
+    """(place, df): in how many passages (text) each place of the hashed vocabulary occurs, and under place -1 how many passages there are.
+
+    Fitted on all passages once, written to ``path``, and read again for every embedding of passages and of queries.
+    """
+    words = F.array_distinct(F.transform(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != ""), lambda w: word_place(w, places)))
+    counts = passages.select(F.explode(F.array_append(words, F.lit(-1).cast("long"))).alias("place")).groupBy("place").agg(F.count("*").alias("df"))
+    counts.write.mode("overwrite").parquet(path)
+    return passages.sparkSession.read.schema("place long, df long").parquet(path)
+
+
+def weighted_embedder(frequencies: DataFrame, width: int = 256, places: int = FREQUENCY_PLACES) -> Embedder:
+    """The hashing embedder with each word weighed by its rarity among the fitted passages: whole eighths of a bit of log2((passages + 1) / (df + 1)).
+
+    Weights are whole numbers, so sums are exact in every order. The frequencies are ``places`` numbers at most, and go to every task.
+    """
+    import numpy as np
+
+    known = {r.place: r.df for r in frequencies.collect()}  # at most ``places`` numbers
+    n = known.pop(-1, 0)
+    df = np.zeros(places, np.int64)
+    df[list(known)] = list(known.values())
+    weights = np.round(8 * np.log2((n + 1) / (df + 1))).astype(np.int32)
+    return hashing_embedder(width, weights)
+
+
 def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Bounds of batches: at most 128 texts and an estimated 60,000 tokens each (a longer text is alone)."""
     start = tokens = 0
@@ -164,9 +266,16 @@ def embed_queries(df: DataFrame, embedder: Embedder | None = None, prefix: str =
     return embed_passages(asked, embedder, "_text", "qvec").drop("_text")
 
 
-def validate_vectors(df: DataFrame, width: int, column: str = "embedding") -> DataFrame:
-    """One row per kind of vector: ok, null, wrong width, not finite, not of unit length; with the count of each."""
+def validate_vectors(df: DataFrame, width: int, column: str = "embedding", asked: int | None = None) -> DataFrame:
+    """One row per kind of vector: ok, null, wrong width, not finite (null, NaN or infinite components), not of unit length; with the count of each.
+
+    ``asked`` is the number of texts that were to be embedded: a difference to the rows is a kind of its own, missing or surplus.
+    """
     v = F.col(column)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     kind = F.when(v.isNull(), "null").when(F.size(v) != width, "width").when(bad, "not finite").when(F.abs(F.sqrt(dot(v, v)) - 1) > 1e-3, "norm").otherwise("ok")
-    return df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    kinds = df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    if asked is None:
+        return kinds
+    rows = df.agg((F.count("*") - F.lit(asked)).alias("d")).where("d <> 0")
+    return kinds.unionByName(rows.select(F.when(F.col("d") < 0, "missing").otherwise("surplus").alias("kind"), F.abs("d").alias("n")))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from lectern.functions import text as T
 from lectern.operators import audit as J
 from lectern.operators import context as C
+from lectern.operators import quotes as G
 from lectern.plans import adapters as A
 from lectern.plans.q_library import NORM
 
@@ -32,14 +33,26 @@ def _(spark, d):
     return C.build_catalog(A.library(spark, d))
 
 
+@query("i1_scoped_catalog", A.with_(A.LIBRARY, A.PARAGRAPHS) + """, sc as (select document_id from library where coalesce(chunk_count, 0) > 0 order by document_id limit 3),
+ol as (select document_id, string_agg(chr(10) || repeat('  ', least((seq // 20 % 4)::int, 2) + 1) || text || ' (p. ' || page || ')', '' order by seq) as contents from (select *, row_number() over (partition by document_id order by seq) as n from paragraphs where heading) where n <= 80 group by 1),
+cat as (select l.*, row_number() over (order by coalesce(author, ''), title, document_id) as n from library l semi join sc using (document_id))
+select document_id, 'B' || n as ref, title, author, '[B' || n || '] ' || title || coalesce(' — ' || nullif(author, ''), '') || coalesce(' (' || page_count || ' pages)', '') || coalesce(contents, '') as listing from cat left join ol using (document_id)""")
+def _(spark, d):
+    """Three documents in scope, with their contents: the headings of their lines."""
+    lib, p = A.library(spark, d), A.paragraphs(spark, d).where("heading")
+    outline = p.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text", "page"))), lambda x: F.struct(x["text"].alias("title"), x["page"].alias("page"), (F.floor(x["seq"] / 20) % 4).cast("int").alias("level"))).alias("outline"))
+    scope = lib.where("coalesce(chunk_count, 0) > 0").select("document_id").orderBy("document_id").limit(3)
+    return C.build_catalog(lib.join(outline, "document_id", "left"), scope, "outline")
+
+
 def turns(spark, d):
     """A user's row and the answer after it are a turn."""
     c = A.table(spark, d, "conversations")
-    q = c.where("role = 'user'").select(F.col("conv_id").alias("thread_id"), F.col("turn").cast("int").alias("turn"), F.concat_ws(" ", F.slice(F.split("text", " "), 1, F.lit(4) + (F.col("turn") % 3).cast("int") * 6)).alias("question"))
+    q = c.where("role = 'user'").select(F.col("conv_id").alias("thread_id"), F.col("turn").cast("int").alias("turn"), F.col("text").alias("question"))
     return q
 
 
-TURNS = "turns as (select conv_id as thread_id, turn::int as turn, array_to_string(string_split(text, ' ')[1:4 + (turn % 3) * 6], ' ') as question from conversations where role = 'user')"
+TURNS = "turns as (select conv_id as thread_id, turn::int as turn, text as question from conversations where role = 'user')"
 
 
 @query("i2_contextual_query", A.with_(TURNS) + r", l as (select *, lag(question) over (partition by thread_id order by turn) as p from turns) select thread_id, turn, case when p is not null and len(regexp_extract_all(question, '\S+')) < 12 then p || chr(10) || question else question end as search_query from l")
@@ -116,19 +129,23 @@ def _(spark, d):
     return C.assemble_context(p, C.build_catalog(lib), q)
 
 
-REQ = "rq as (select conv_id * 100 + turn as request_id, conv_id as thread_id, case when role = 'user' then 'search' else 'read' end as kind, case when turn % 5 = 4 then '' else substr(text, 1, 30) end as query, case turn % 4 when 0 then [' b' || (conv_id + 1), 'B99999999'] when 1 then ['X9'] when 2 then []::varchar[] end as refs, case when turn % 3 = 0 then (turn + 11)::int end as lim from conversations)"
+REQ = """rq as (select conv_id * 1000 + turn as request_id, conv_id as thread_id, case when role = 'user' then 'search' else 'read' end as kind, case when turn % 5 = 4 then '' else text end as query,
+  case when turn % 8 = 7 then list_transform(range(1, 52), lambda i: 'B' || i) when turn % 4 = 0 then [' b' || (conv_id + 1), 'B99999999'] when turn % 4 = 1 then ['X9'] when turn % 4 = 2 then []::varchar[] end as refs, case when turn % 3 = 0 then (turn + 7)::int end as lim, turn - 1 as first from conversations)"""
 
 
-@query("i8_resolve_requests", A.with_(CAT, REQ) + """, e as (select distinct request_id, upper(trim(unnest(refs))) as ref from rq), m as (select e.*, c.document_id from e left join catalog c using (ref)),
+@query("i8_resolve_requests", A.with_(CAT, REQ) + """, br as (select *, case when kind = 'search' and length(trim(query)) not between 1 and 500 then 'query must have 1 to 500 characters' when len(refs) > 50 then 'at most 50 books'
+  when coalesce(lim, 8) not between 1 and 12 then 'limit must be 1 to 12' when kind = 'read' and first < 1 then 'pages begin at 1' end as broken from rq),
+e as (select distinct request_id, upper(trim(unnest(refs))) as ref from br where broken is null), m as (select e.*, c.document_id from e left join catalog c using (ref)),
 k as (select request_id, coalesce(string_agg(document_id::varchar, ',' order by document_id::varchar) filter (document_id is not null), '') as documents, coalesce(string_agg(ref, ',' order by ref) filter (document_id is null), '') as unknown from m group by 1)
-select request_id, kind, query, case when len(refs) > 0 then documents else thread_id::varchar end as documents, coalesce(unknown, '') as unknown, greatest(1, least(12, coalesce(lim, 8))) as "limit",
-case when kind = 'search' and length(trim(query)) not between 1 and 500 then 'query must have 1 to 500 characters' when len(refs) > 0 and documents = '' then 'no such books' end as error from rq left join k using (request_id)""")
+select request_id, kind, query, case when broken is not null then '' when len(refs) > 0 then documents else thread_id::varchar end as documents, coalesce(unknown, '') as unknown, coalesce(lim, 8) as "limit",
+coalesce(broken, case when len(refs) > 0 and documents = '' then 'no such books' end) as error from br left join k using (request_id)""")
 def _(spark, d):
     c = A.table(spark, d, "conversations")
     none = F.expr("cast(array() as array<string>)")
-    refs_ = F.when(F.col("turn") % 4 == 0, F.array(F.concat(F.lit(" b"), (F.col("conv_id") + 1).cast("string")), F.lit("B99999999"))).when(F.col("turn") % 4 == 1, F.array(F.lit("X9"))).when(F.col("turn") % 4 == 2, none)
-    r = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("request_id"), F.col("conv_id").alias("thread_id"), F.when(F.col("role") == "user", "search").otherwise("read").alias("kind"),
-                 F.when(F.col("turn") % 5 == 4, "").otherwise(F.substring("text", 1, 30)).alias("query"), refs_.alias("refs"), F.when(F.col("turn") % 3 == 0, (F.col("turn") + 11).cast("int")).alias("limit"))
+    t = F.col("turn")
+    refs_ = F.when(t % 8 == 7, F.transform(F.sequence(F.lit(1), F.lit(51)), lambda i: F.concat(F.lit("B"), i.cast("string")))).when(t % 4 == 0, F.array(F.concat(F.lit(" b"), (F.col("conv_id") + 1).cast("string")), F.lit("B99999999"))).when(t % 4 == 1, F.array(F.lit("X9"))).when(t % 4 == 2, none)
+    r = c.select((F.col("conv_id") * 1000 + t).alias("request_id"), F.col("conv_id").alias("thread_id"), F.when(F.col("role") == "user", "search").otherwise("read").alias("kind"),
+                 F.when(t % 5 == 4, "").otherwise(F.col("text")).alias("query"), refs_.alias("refs"), F.when(t % 3 == 0, (t + 7).cast("int")).alias("limit"), (t - 1).alias("start_page"), (t + 1).alias("end_page"))
     scope = c.select(F.col("conv_id").alias("thread_id"), F.col("conv_id").cast("string").alias("documents")).distinct()
     return C.resolve_requests(r, C.build_catalog(A.library(spark, d)), scope)
 
@@ -191,6 +208,15 @@ def _(spark, d):
     return J.check_quotes(answers(spark, d), passages(spark, d))
 
 
+@query("j5_library_quotes", A.with_(ANSWERS, A.CHUNKS.removeprefix(A.PARAGRAPHS + ",\n"), QUOTES).rstrip() + VERIFIED.split(",\nhit as")[0] + r""",
+nm as materialized (select chunk_id, """ + NORM.format("text") + r""" as n from chunks), df as (select distinct fs from qf where len(fs) > 0),
+lf as (select fs, count(*) as passages, min(chunk_id) as first_passage from df join nm on contains(n, fs[1]) and len(list_filter(fs, lambda f: not contains(n, f))) = 0 group by 1)
+select answer_id, pos, quote, passages is not null as verified, coalesce(passages, 0) as passages, first_passage from qf left join lf using (fs)""")
+def _(spark, d):
+    """The same quotations in all documents."""
+    return G.check_library_quotes(answers(spark, d), A.chunks(spark, d).select(F.col("chunk_id").alias("passage_id"), "text"))
+
+
 @query("j6_segment_answer", A.with_(ANSWERS) + r""", p as (select answer_id, string_split(regexp_replace(regexp_replace(text, '(?i)</?[a-z]*$', ''), '<(/?)(synthesis|outside)>', chr(1) || '\1\2' || chr(2), 'g'), chr(1)) as parts from answers),
 e as (select answer_id, i, parts[i] as part from p, unnest(range(1, len(parts) + 1)) as r(i)), k as (select answer_id, i, case when not contains(part, chr(2)) or part like '/%' then 'text' else string_split(part, chr(2))[1] end as kind, case when contains(part, chr(2)) then substr(part, instr(part, chr(2)) + 1) else part end as body from e),
 n as (select *, case when lag(kind) over w is not distinct from kind then 0 else 1 end as nw from k where trim(regexp_replace(body, '\s', '', 'g')) <> '' window w as (partition by answer_id order by i)), g as (select *, sum(nw) over (partition by answer_id order by i rows unbounded preceding) - 1 as pos from n)

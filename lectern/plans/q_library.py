@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import keyword as K
 from lectern.operators import library as L
 from lectern.operators import rank
 from lectern.plans import adapters as A
 from lectern.sources.scratch import scratch_path
-from lectern.sources import files
+from lectern.sources import buckets, files
 from lectern.streaming import jobs as S
+from lectern.streaming import stateful
 
 Q, O = {}, {}
 
@@ -53,10 +58,20 @@ def _(spark, d):
     return L.replace_documents(lib.withColumn("version", F.lit("old")), new)
 
 
-@query("a4_read_cases", "select array_to_string(string_split(text, ' ')[1:12], ' ') as query, null::varchar as book, text as needle from benchmark")
+@query("a3_replace_on_disk", O["a3_replace_documents"])
+def _(spark, d):
+    path = scratch_path(spark)
+    lib = A.library(spark, d).select("document_id", "title")
+    buckets.replace_in_buckets(lib.withColumn("version", F.lit("old")), path)
+    new = lib.where("document_id % 3 = 0").select("document_id", F.reverse("title").alias("title"), F.lit("new").alias("version"))
+    buckets.replace_in_buckets(new, path)
+    return buckets.read_buckets(spark, path, new.schema)
+
+
+@query("a4_read_cases", "select text as query, null::varchar as book, text as needle from benchmark")
 def _(spark, d):
     path = scratch_path(spark)
-    rows = A.table(spark, d, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("query"), F.lit(None).cast("string").alias("book"), F.array("text").alias("needles"))
+    rows = A.table(spark, d, "benchmark").select(F.col("text").alias("query"), F.lit(None).cast("string").alias("book"), F.array("text").alias("needles"))
     # one JSON array per file, of the cases of one bucket
     arrays = rows.groupBy(F.pmod(F.xxhash64("query"), F.lit(16)).alias("bucket")).agg(F.to_json(F.collect_list(F.struct("query", "book", "needles"))).alias("value"))
     arrays.write.partitionBy("bucket").text(path)
@@ -64,16 +79,26 @@ def _(spark, d):
 
 
 def answer_events(spark, d):
+    """A conversation is a turn: a user's rows are searches, the others text or the end of a round. Four of five end with their checks, one in seven with the whole answer."""
     c = A.table(spark, d, "conversations")
     kind = F.when(F.col("role") == "user", "search").otherwise(F.when(F.col("turn") % 4 == 1, "turn").otherwise("text"))
-    base = c.select(F.col("conv_id").alias("turn_id"), F.col("turn").cast("long").alias("seq"), kind.alias("type"), F.when(kind == "text", F.col("text")).alias("text"), F.when(kind == "search", F.substring("text", 1, 40)).alias("query"), F.lit(None).cast("string").alias("error"))
-    done = c.groupBy(F.col("conv_id").alias("turn_id")).agg((F.max("turn") + 1).cast("long").alias("seq")).where("turn_id % 5 <> 0").select("turn_id", "seq", F.lit("done").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("query"), F.lit(None).cast("string").alias("error"))
-    return base.unionByName(done)
+    at = lambda seq: F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn_id") * 60 + seq)
+    none = {"cited": "array<string>", "unknown": "array<string>", "verified": "array<boolean>", "input_tokens": "long", "output_tokens": "long"}
+    base = c.select(F.col("conv_id").alias("turn_id"), F.col("turn").cast("long").alias("seq"), kind.alias("type"), F.when(kind == "text", F.col("text")).alias("text"), F.when(kind == "search", F.col("text")).alias("query"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    k = F.col("turn_id")
+    done = c.groupBy(F.col("conv_id").alias("turn_id")).agg((F.max("turn") + 1).cast("long").alias("seq")).where("turn_id % 5 <> 0").select(
+        "turn_id", "seq", F.lit("done").alias("type"), F.when(k % 7 == 1, F.concat(F.lit("In short: "), k.cast("string"))).alias("text"), F.lit(None).cast("string").alias("query"),
+        F.when(k % 3 == 0, F.array(F.lit("P1"), F.lit("P2"))).otherwise(F.array(F.lit("P3"))).alias("cited"), F.when(k % 4 == 1, F.array(F.lit("P99"))).otherwise(F.array().cast("array<string>")).alias("unknown"),
+        F.array(F.lit(True), k % 2 == 0).alias("verified"), (k * 10 + 7).alias("input_tokens"), F.col("seq").alias("output_tokens"))
+    return base.unionByName(done).withColumns({"error": F.lit(None).cast("string"), "at": at(F.col("seq"))})
 
 
 EVENTS = """with ev as (select conv_id as turn_id, turn::bigint as seq, case when role = 'user' then 'search' when turn % 4 = 1 then 'turn' else 'text' end as type, text as raw from conversations),
-done as (select conv_id as turn_id, (max(turn) + 1)::bigint as seq, 'done' as type, null::varchar as raw from conversations where conv_id % 5 <> 0 group by conv_id),
-events_t as (select turn_id, seq, type, case when type = 'text' then raw end as text, case when type = 'search' then substr(raw, 1, 40) end as query, null::varchar as error from (select * from ev union all select * from done))
+done as (select conv_id as turn_id, (max(turn) + 1)::bigint as seq, 'done' as type, case when conv_id % 7 = 1 then 'In short: ' || conv_id end as raw from conversations where conv_id % 5 <> 0 group by conv_id),
+events_t as (select turn_id, seq, type, case when type in ('text', 'done') then raw end as text, case when type = 'search' then raw end as query, null::varchar as error,
+  case when type = 'done' then case when turn_id % 3 = 0 then 'P1,P2' else 'P3' end end as cited, case when type = 'done' then case when turn_id % 4 = 1 then 'P99' else '' end end as unknown,
+  case when type = 'done' then 'true,' || (turn_id % 2 = 0)::varchar end as verified, case when type = 'done' then turn_id * 10 + 7 end as input_tokens, case when type = 'done' then seq end as output_tokens,
+  turn_id * 60 + seq as at_s from (select * from ev union all select * from done))
 """
 
 
@@ -101,6 +126,16 @@ O["b2_sort_library"] = LIB + """select document_id, row_number() over (order by
   lower(case when contains(author, ' ') and not contains(author, ',') then string_split(author, ' ')[-1] || ' ' || author else author end) end, title, document_id) as place from library"""
 
 
+@query("b2_sort_orders", LIB + "select document_id, row_number() over (order by created_at desc, document_id) as recent, row_number() over (order by coalesce(page_count, 0) desc, document_id) as length from library")
+def _(spark, d):
+    """Places in the orders that every engine agrees on; the two by names have unit tests."""
+    from lectern.operators.context import numbered
+
+    lib = A.library(spark, d)
+    recent, length = (numbered(lib, *L.library_order(key)).select("document_id", F.col("n").alias(key)) for key in ("recent", "length"))
+    return recent.join(length, "document_id")
+
+
 @query("b3_list_documents", LIB + "select document_id, title, author, status, epoch(created_at)::bigint as created from library where document_id % 2 = 0")
 def _(spark, d):
     lib = A.library(spark, d)
@@ -246,9 +281,13 @@ JOBS = """jobs_t as (select event_id as job_id, user_id as document_id, 'ingest'
   case when event_id % 4 = 1 then ts + interval 1 minute end as started_at from events)"""
 
 
-@query("m3_enqueue", A.with_(JOBS) + "select distinct document_id, kind, 'pending' as status, 0 as attempts from jobs_t where (document_id, kind) not in (select document_id, kind from jobs_t where status = 'pending')")
+@query("m3_enqueue", A.with_(JOBS) + """, p as (select distinct document_id, kind from jobs_t where status = 'pending' and document_id % 3 > 0), r as (select distinct document_id, case when job_id % 5 = 0 then 'refresh' else kind end as kind from jobs_t)
+select document_id, kind, 'pending' as status, 0 as attempts from r where (document_id, kind) not in (select document_id, kind from p)""")
 def _(spark, d):
-    return L.enqueue(jobs(spark, d), jobs(spark, d)).select("document_id", "kind", "status", "attempts")
+    """Requests of two kinds; two documents of three have a pending job of one of them."""
+    j = jobs(spark, d)
+    requests = j.select("document_id", F.when(F.col("job_id") % 5 == 0, "refresh").otherwise(F.col("kind")).alias("kind"))
+    return L.enqueue(j.where("document_id % 3 > 0"), requests).select("document_id", "kind", "status", "attempts")
 
 
 @query("m4_classify_jobs", A.with_(JOBS) + f"""select job_id, status = 'pending' or (status = 'running' and started_at < {NOW} - interval 15 minute and attempts < 3) as claimable,
@@ -260,13 +299,14 @@ def _(spark, d):
 def lifecycle(spark, d):
     e = A.table(spark, d, "events")
     k = F.col("event_id")
-    return e.select(F.col("user_id").alias("document_id"), "ts", k.alias("seq"), F.when(k % 3 == 0, "queued").when(k % 3 == 1, "processing").otherwise("ready").alias("status"), F.col("event_type").alias("stage"),
+    status = F.when(k % 3 == 0, "queued").when(k % 3 == 1, "processing").when(k % 2 == 0, "failed").otherwise("ready")
+    return e.select(F.col("user_id").alias("document_id"), F.col("ts").cast("timestamp").alias("ts"), k.alias("seq"), status.alias("status"), F.col("event_type").alias("stage"),
                     (F.col("value") / 100 - 0.2).alias("progress"), F.when(k % 4 == 0, F.concat(F.lit("detail "), k.cast("string"))).alias("detail"))
 
 
-LIFE = """life as (select user_id as document_id, ts, event_id as seq, case event_id % 3 when 0 then 'queued' when 1 then 'processing' else 'ready' end as status, event_type as stage, value / 100 - 0.2 as progress, case when event_id % 4 = 0 then 'detail ' || event_id end as detail from events),
+LIFE = """life as (select user_id as document_id, ts, event_id as seq, case when event_id % 3 = 0 then 'queued' when event_id % 3 = 1 then 'processing' when event_id % 2 = 0 then 'failed' else 'ready' end as status, event_type as stage, value / 100 - 0.2 as progress, case when event_id % 4 = 0 then 'detail ' || event_id end as detail from events),
 last as (select *, row_number() over (partition by document_id order by ts desc, seq desc) as n from life), det as (select document_id, detail, row_number() over (partition by document_id order by ts desc, seq desc) as n from life where detail is not null),
-state as (select l.document_id, l.status, l.stage, greatest(0.0, least(1.0, l.progress)) as progress, det.detail, l.ts as updated_at from last l left join det on det.document_id = l.document_id and det.n = 1 where l.n = 1)"""
+state as (select l.document_id, l.status, case when l.status in ('queued', 'processing') then l.stage end as stage, case when l.status = 'ready' then 1.0 else greatest(0.0, least(1.0, l.progress)) end as progress, det.detail, l.ts as updated_at from last l left join det on det.document_id = l.document_id and det.n = 1 where l.n = 1)"""
 STATE = "document_id, status, stage, round(progress, 6) as progress, detail, epoch_us(updated_at) as updated"
 
 
@@ -286,11 +326,29 @@ def _(spark, d):
     return state_columns(L.stalled(state.join(F.broadcast(now)), F.col("now")))
 
 
-@query("m7_delete_documents", A.with_(A.LIBRARY, A.CHUNKS) + "select 'documents' as kind, document_id from library where document_id % 3 <> 0 union all select 'chunks', document_id from chunks where document_id % 3 <> 0")
+@query("m6_stalled_stream", O["m6_stalled"])
 def _(spark, d):
-    lib = A.library(spark, d)
-    left = L.delete_documents({"documents": lib.select("document_id"), "chunks": A.chunks(spark, d).select("document_id")}, lib.where("document_id % 3 = 0"))
-    return left["documents"].select(F.lit("documents").alias("kind"), "document_id").unionByName(left["chunks"].select(F.lit("chunks").alias("kind"), "document_id"))
+    base = scratch_path(spark)
+    lifecycle(spark, d).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("document_id long, ts timestamp, seq long, status string, stage string, progress double, detail string").parquet(f"{base}/in")
+    out = stateful.stalled_stream(stream)
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    return state_columns(spark.read.schema(stateful.STALLED).parquet(f"{base}/out"))
+
+
+@query("m7_delete_documents", A.with_(A.LIBRARY, A.CHUNKS, A.PAGES, JOBS) + """, left_c as (select * from chunks where document_id % 3 <> 0), lj as (select * from jobs_t where document_id % 3 <> 0)
+select 'documents' as kind, document_id as key, 1::bigint as n from library where document_id % 3 <> 0 union all select 'chunks', chunk_id, 1 from left_c union all select 'pages', document_id, count(*) from pages_t where document_id % 3 <> 0 group by 2
+union all select 'postings', chunk_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '' and w not in (""" + ", ".join(f"'{w}'" for w in K.STOP_WORDS) + """)))::bigint as n from left_c where n > 0
+union all select 'jobs', job_id, 1 from lj union all select 'attempts', job_id, attempts from lj where attempts > 0""")
+def _(spark, d):
+    """Documents with their pages, passages, postings and jobs, and what hangs on the jobs."""
+    lib, c, j = A.library(spark, d), A.chunks(spark, d), jobs(spark, d)
+    attempts = j.where("attempts > 0").select("job_id", F.explode(F.sequence(F.lit(1), "attempts")).alias("attempt"))
+    tables = {"documents": lib.select("document_id"), "chunks": c.select("chunk_id", "document_id"), "pages": A.pages(spark, d).select("document_id", "page"), "postings": K.build_postings(c), "jobs": j.select("job_id", "document_id"), "attempts": attempts}
+    left = L.delete_documents(tables, lib.where("document_id % 3 = 0"), {"postings": ("chunks", "chunk_id"), "attempts": ("jobs", "job_id")})
+    keys = {"documents": "document_id", "chunks": "chunk_id", "pages": "document_id", "postings": "chunk_id", "jobs": "job_id", "attempts": "job_id"}
+    parts = [left[name].groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "key", "n") for name, key in keys.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("m8_reprocess", A.with_(LIFE, JOBS) + """select document_id, case when document_id % 2 = 0 then 'queued' else status end as status, case when document_id % 2 = 0 then 'queued' else stage end as stage, round(case when document_id % 2 = 0 then 0 else progress end, 6)::double as progress, case when document_id % 2 <> 0 then detail end as detail,
@@ -303,9 +361,14 @@ def _(spark, d):
 
 @query("m9_fold_turns", EVENTS + """, r as (select *, sum(case when type = 'turn' then 1 else 0 end) over (partition by turn_id order by seq) as rn from events_t), l as (select *, max(rn) over (partition by turn_id) as lr from r)
 select turn_id, count_if(type = 'search')::bigint as searches, count_if(type = 'read')::bigint as reads, coalesce(string_agg(type || ':' || query, '|' order by seq) filter (type in ('search', 'read')), '') as trail,
-coalesce(string_agg(text, '' order by seq) filter (type = 'text' and rn < lr), '') as notes, coalesce(string_agg(text, '' order by seq) filter (type = 'text' and rn = lr), '') as answer, case when not bool_or(type in ('done', 'error')) then 'ended unexpectedly' end as error from l group by turn_id""")
+coalesce(string_agg(text, '' order by seq) filter (type = 'text' and rn < lr), '') as notes, coalesce(max(text) filter (type = 'done'), string_agg(text, '' order by seq) filter (type = 'text' and rn = lr), '') as answer, case when not bool_or(type in ('done', 'error')) then 'ended unexpectedly' end as error, max(cited) as cited, max(unknown) as unknown, max(verified) as verified, max(input_tokens) as input_tokens, max(output_tokens) as output_tokens from l group by turn_id""")
 def _(spark, d):
-    return L.fold_turns(answer_events(spark, d))
+    return folded_columns(L.fold_turns(answer_events(spark, d)))
+
+
+def folded_columns(turns):
+    lists = {c: F.when(F.col(c).isNotNull(), F.array_join(F.col(c).cast("array<string>"), ",")) for c in ("cited", "unknown", "verified")}
+    return turns.withColumns(lists)
 
 
 @query("m1_stream_ingest", LIB + "select min(document_id) as document_id, sha256 from library where sha256 is not null group by sha256")
@@ -314,7 +377,32 @@ def _(spark, d):
     A.library(spark, d).select("document_id", "title", "sha256").where("sha256 is not null").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("document_id long, title string, sha256 string").parquet(f"{base}/in")
     S.stream_ingest(stream, f"{base}/out", f"{base}/check").awaitTermination()
-    return S.latest_documents(spark.read.parquet(f"{base}/out")).select("document_id", "sha256")
+    return S.latest_documents(spark.read.parquet(f"{base}/out/rows")).select("document_id", "sha256")
+
+
+#: Two deliveries of files: those of all documents, of which every tenth is no file of the kind wanted; then some changed and some again.
+FILES = """with f as (select doc_id, case when doc_id % 10 > 0 then '%PDF-' else '' end || text || chr(10) as body from documents where text is not null),
+g as (select doc_id, '%PDF-' || reverse(text) || chr(10) as body from documents where text is not null and doc_id % 7 = 0 and doc_id % 10 > 0 union all select doc_id, body from f where doc_id % 7 <> 0 and doc_id % 5 = 1 and doc_id % 10 > 0),
+a as (select doc_id as document_id, sha256(body) as sha256 from f where doc_id % 10 > 0), own as (select sha256, min(document_id) as owner from a group by 1),
+b as (select doc_id as document_id, sha256(body) as sha256 from g), free as (select own.* from own left join b on b.document_id = owner where b.sha256 is null or b.sha256 = own.sha256),
+win as (select sha256, coalesce(max(owner), min(document_id)) as winner from b left join free using (sha256) group by 1)
+"""
+
+
+@query("m1_ingest_files", FILES + """select owner as document_id, sha256, 'document' as kind from own where owner not in (select document_id from b) union all select document_id, sha256, 'document' from b join win using (sha256) where winner = document_id
+union all select doc_id, sha256(body), 'reject' from f where doc_id % 10 = 0""")
+def _(spark, d):
+    base, k = scratch_path(spark), F.col("document_id")
+    t = A.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("document_id"), "text")
+    first = t.select("document_id", F.concat(F.when(k % 10 > 0, "%PDF-").otherwise(""), "text").alias("body"))
+    changed = t.where((k % 7 == 0) & (k % 10 > 0)).select("document_id", F.concat(F.lit("%PDF-"), F.reverse("text")).alias("body"))
+    again = first.where((k % 7 != 0) & (k % 5 == 1) & (k % 10 > 0))
+    document = F.regexp_extract("path", "document_id=([0-9]+)", 1).cast("long")
+    for n, files_ in enumerate((first, changed.unionByName(again))):
+        files_.write.partitionBy("document_id").text(f"{base}/inbox/delivery={n}")
+        S.ingest_files(spark, f"{base}/inbox", f"{base}/out", f"{base}/check", document, glob="*.txt").awaitTermination()
+    rejects = spark.read.schema("document_id long, sha256 string").parquet(f"{base}/out/rejects").withColumn("kind", F.lit("reject"))
+    return S.latest_documents(spark.read.parquet(f"{base}/out/rows")).select("document_id", "sha256", F.lit("document").alias("kind")).unionByName(rejects.select("document_id", "sha256", "kind"))
 
 
 @query("m2_stream_dedupe", LIB + "select sha256 from library where sha256 is not null group by sha256")
@@ -326,6 +414,20 @@ def _(spark, d):
     return spark.read.parquet(f"{base}/out").select("sha256")
 
 
+@query("m2_first_documents", LIB + "select sha256, min(document_id) as document_id from library where sha256 is not null group by sha256")
+def _(spark, d):
+    """Three deliveries, one batch each; contents of the first are remembered in the last."""
+    base = scratch_path(spark)
+    lib = A.library(spark, d).select("document_id", "sha256")
+    of = F.floor(F.col("document_id") / F.col("third"))
+    cut = lib.join(F.broadcast(lib.agg(F.floor(F.max("document_id") / 3 + 1).alias("third"))))
+    for n in range(3):
+        cut.where(of == n).select("document_id", "sha256").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("document_id long, sha256 string").parquet(f"{base}/in")
+        S.first_documents(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("sha256 string, document_id long").parquet(f"{base}/out")
+
+
 @query("m5_document_status_stream", A.with_(LIFE) + f"select {STATE} from state")
 def _(spark, d):
     base = scratch_path(spark)
@@ -341,10 +443,12 @@ def _(spark, d):
     return state_columns(out.join(newest, ["document_id", "batch"], "left_semi"))
 
 
-@query("m9_fold_turns_stream", O["m9_fold_turns"])
+@query("m9_fold_turns_stream", O["m9_fold_turns"] + " having bool_or(type in ('done', 'error')) or max(at_s) + 600 < (select max(at_s) from events_t)")
 def _(spark, d):
+    """Of the turns that have not been ended those are told that have been silent for ten minutes when the events end."""
     base = scratch_path(spark)
     answer_events(spark, d).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("turn_id long, seq long, type string, text string, query string, error string").parquet(f"{base}/in")
-    S.fold_turns_stream(stream, f"{base}/out", f"{base}/check").awaitTermination()
-    return S.latest_turns(spark.read.parquet(f"{base}/out/turns").drop("n"))
+    stream = spark.readStream.schema(files.EVENTS).parquet(f"{base}/in")
+    out = stateful.fold_turns_stream(stream)
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    return folded_columns(spark.read.schema(stateful.TURN).parquet(f"{base}/out"))

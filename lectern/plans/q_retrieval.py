@@ -8,6 +8,7 @@ from lectern.operators import evaluate as E
 from lectern.operators import keyword as K
 from lectern.operators import rank as R
 from lectern.operators import vector as V
+from lectern.operators.joins import written
 from lectern.plans import adapters as A
 from lectern.plans.q_library import NORM
 from lectern.sources.scratch import scratch_path
@@ -84,7 +85,40 @@ def phrase_queries(spark, d):
 pw as (select query_id, ws[i] as lexeme, i - 1 as off, len(ws) as n from pq, unnest(range(1, len(ws) + 1)) as r(i)), po as (select query_id, n, chunk_id, pos - off as st, count(distinct off) as m from postings join pw using (lexeme) group by 1, 2, 3, 4),
 ph as (select query_id, chunk_id, count(*) as hits from po where m = n group by 1, 2) select * from (select *, row_number() over (partition by query_id order by hits desc, chunk_id)::int as rank from ph) where rank <= 60""")
 def _(spark, d):
-    return K.phrase_topk(K.keyword_queries(phrase_queries(spark, d)), K.build_postings(A.chunks(spark, d)))
+    return K.phrase_topk(K.keyword_queries(phrase_queries(spark, d)), stored_postings(spark, d))
+
+
+def cover_queries(spark, d):
+    """All of each benchmark text, by fives of its words: a phrase of two and two more words, but not the fifth."""
+    q = A.table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.filter(K.tokens(F.col("text")), lambda w: w != "or").alias("w"))
+    five = lambda i: F.format_string('"%s %s" %s %s -%s', *[F.get("w", 5 * i + j) for j in range(5)])
+    fives = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 5).cast("int") - 1), five)
+    return q.where("size(w) >= 5").select("query_id", F.array_join(fives, " or ").alias("query"))
+
+
+@query("f5_cover_topk", POSTINGS + f""", bw as (select item_id::bigint as query_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w not in ('', 'or')) as w from benchmark),
+fv as (select query_id, i as alt, w[5 * i + 1:5 * i + 5] as v from bw, unnest(range(0, len(w) // 5)) as r(i)),
+pt as (select query_id, alt, 1 as part, false as negated, list_filter(v[1:2], lambda x: x not in ({quoted(K.STOP_WORDS)})) as ws from fv union all
+  select query_id, alt, j - 1, j = 5, list_filter([v[j]], lambda x: x not in ({quoted(K.STOP_WORDS)})) from fv, unnest([3, 4, 5]) as r(j)),
+pn as (select * from pt where len(ws) > 0), p1 as (select query_id, alt, part, negated, len(ws) as size, ws[i] as lexeme, i - 1 as off from pn, unnest(range(1, len(ws) + 1)) as r(i)),
+pl as materialized (select query_id, alt, part, negated, size, chunk_id, pos - off as start from postings join p1 using (lexeme) group by all having count(distinct off) = size),
+nd as (select query_id, alt, count(*) as need from pn where not negated group by 1, 2),
+ok as (select query_id, alt, chunk_id from (select query_id, alt, chunk_id, count(distinct part) as have from pl where not negated group by 1, 2, 3) join nd using (query_id, alt) where have = need and (query_id, alt, chunk_id) not in (select query_id, alt, chunk_id from pl where negated)),
+x as materialized (select query_id, alt, chunk_id, part, start, size from pl semi join ok using (query_id, alt, chunk_id) where not negated),
+pt_ as (select distinct query_id, alt, chunk_id, start from x),
+lt as (select x.query_id, x.alt, x.chunk_id, x.start, y.part as other, max(struct_pack(s := y.start, z := y.size)) as l from pt_ x join x y on x.query_id = y.query_id and x.alt = y.alt and x.chunk_id = y.chunk_id and y.start <= x.start group by all),
+cv as (select query_id, alt, chunk_id, start, min(l.s) as b, max(l.s + l.z) as e, sum(l.z) as z from lt join nd using (query_id, alt) group by query_id, alt, chunk_id, start, need having count(*) = need),
+fc as (select * from cv qualify row_number() over (partition by query_id, alt, chunk_id, b order by start) = 1),
+ds as (select query_id, alt, chunk_id, count(*) as covers, round(sum(1 / (1 + greatest(0, e - b - z))), 9) as density from fc group by 1, 2, 3),
+bs as (select query_id, chunk_id, max(struct_pack(density, covers)) as m from ds group by 1, 2)
+select query_id, chunk_id, m.covers as covers, round(m.density / (1 + m.density), 6)::double as score, rank from (select *, row_number() over (partition by query_id order by m.density desc, chunk_id)::int as rank from bs) where rank <= 60""")
+def _(spark, d):
+    return K.cover_topk(K.keyword_queries(cover_queries(spark, d)), stored_postings(spark, d)).withColumn("score", F.round("score", 6))
+
+
+def stored_postings(spark, d):
+    """Postings written once, as an index is: phrases look them up several times."""
+    return written(K.build_postings(A.chunks(spark, d)))
 
 
 @query("f6_term_coverage", POSTINGS + """, nt as (select query_id, count(*) as n_terms from terms group by 1), hv as (select k.query_id, k.chunk_id, count(distinct p.lexeme) as have from ktop k join postings p using (chunk_id) join terms t on t.query_id = k.query_id and t.lexeme = p.lexeme group by 1, 2)
@@ -155,8 +189,16 @@ def _(spark, d):
     return r.select("n", (F.col("found") >= 0.9 * F.col("n")).alias("enough"))
 
 
-def embedded(name, rows):
-    """The hashing embedder in SQL: name_v (id, place, v) of the rows (id, text), and name_n (id, nn), the squared lengths."""
+#: The fitted embedder's weights: (pl, wt) of the places that passages have, and what all others weigh.
+WEIGHTS = """fw as materialized (select h % 262144 as pl, count(distinct id) as df from p_h group by 1), fn as (select count(*) as n from chunks),
+wt as materialized (select pl, round(8 * log2((n + 1) / (df + 1)))::bigint as weight from fw, fn), w0 as (select round(8 * log2(n + 1))::bigint as most from fn)"""
+
+
+def embedded(name, rows, weighted=False):
+    """The hashing embedder in SQL: name_v (id, place, v) of the rows (id, text), and name_n (id, nn), the squared lengths. Weighted: by WEIGHTS, which name p follows."""
+    if weighted:
+        return embedded(name, rows).replace("sum(case when h >= 2147483648 then 1 else -1 end)::double as n from {0}_h".format(name), "sum(case when h >= 2147483648 then 1 else -1 end * coalesce(weight, most))::double as n from {0}_h left join wt on pl = h % 262144, w0".format(name)).replace(
+            f"{name}_c as (", (WEIGHTS + ",\n" if name == "p" else "") + f"{name}_c as (", 1)
     return f"""{name}_h as (select id, ('0x' || substr(md5(w), 1, 8))::bigint as h from (select id, unnest(regexp_split_to_array(lower(text), '\\s+')) as w from ({rows})) where w <> ''),
 {name}_c as (select id, h % 256 as place, sum(case when h >= 2147483648 then 1 else -1 end)::double as n from {name}_h group by 1, 2),
 {name}_v as materialized (select id, place, (n / sqrt(sum(n * n) over (partition by id)))::float::double as v from {name}_c qualify sum(n * n) over (partition by id) > 0),
@@ -271,14 +313,18 @@ def search(spark, d, mode="hybrid", scoped=False):
     return R.hybrid_search(q, chunks, mode, scope=scope, postings=postings)
 
 
-#: All cosines between queries and passages, and the share of each query's terms that a passage holds.
-COSINES = POSTINGS + ",\n" + embedded("p", "select chunk_id as id, text from chunks") + ",\n" + embedded("q", "select query_id as id, query as text from queries_t") + """,
+def cosines(weighted=False):
+    """All cosines between queries and passages, and the share of each query's terms that a passage holds."""
+    return POSTINGS + ",\n" + embedded("p", "select chunk_id as id, text from chunks", weighted) + ",\n" + embedded("q", "select query_id as id, query as text from queries_t", weighted) + """,
 dots as (select q.id as query_id, p.id as chunk_id, sum(q.v * p.v) as dot from q_v q join p_v p using (place) group by 1, 2),
 sims as materialized (select q.id as query_id, p.id as chunk_id, round(coalesce(dot, 0) / sqrt(q.nn * p.nn), 12) as similarity from q_n q cross join p_n p left join dots on dots.query_id = q.id and dots.chunk_id = p.id),
 cover as (select query_id, chunk_id, count(distinct lexeme) / any_value(n_terms) as coverage from postings join terms using (lexeme) join (select query_id, count(*) as n_terms from terms group by 1) using (query_id) group by 1, 2),
 scope as (select query_id, chunk_id from queries_t join documents on source = 'src' || (query_id % 20) join chunks on document_id = doc_id)"""
 
 
+COSINES = cosines()
+
+
 def search_sql(mode="hybrid", limit=20, scoped=False):
     """CTEs from the candidates of the legs to mode_pl, the places of a search."""
     inside = " semi join scope using (query_id, chunk_id)" if scoped else ""
@@ -350,14 +396,15 @@ g as (select k.query_id, min(k.rank) as place from ktop k join chunks c using (c
 rk as (select query_id, place from nd left join g using (query_id))"""
 
 
-@query("k2_retrieval_eval", EVAL + " select 'keyword' as variant, count(*) as cases, count_if(place = 1)::bigint as hit1, count_if(place <= 5)::bigint as hit5, round(avg(coalesce(1 / place, 0)), 6) as mrr, coalesce(string_agg(query_id::varchar, ',' order by query_id) filter (place is null or place > 5), '') as misses from rk")
+@query("k2_retrieval_eval", EVAL + " select 'keyword' as variant, count(*) as cases, count_if(place = 1)::bigint as hit1, count_if(place <= 5)::bigint as hit5, round(avg(coalesce(1 / place, 0)), 6) as mrr  from rk")
 def _(spark, d):
     chunks, postings, _, terms = keyword_parts(spark, d)
     hits = K.keyword_topk(terms, postings).withColumn("place", F.col("rank")).withColumn("variant", F.lit("keyword")).join(chunks.select("chunk_id", "document_id"), "chunk_id")
     return E.retrieval_eval(E.answer_ranks(hits, chunks, cases(spark, d))).withColumn("mrr", F.round("mrr", 6))
 
 
-VARIANTS = COSINES + "".join(search_sql(m, 10) for m in ("vector", "keyword", "hybrid")) + f""",
+def variants_sql(weighted=False):
+    return cosines(weighted) + "".join(search_sql(m, 10) for m in ("vector", "keyword", "hybrid")) + f""",
 ln as (select item_id::bigint as query_id, i, string_split(text, chr(10))[i] as line from benchmark, unnest(range(1, len(string_split(text, chr(10))) + 1)) as r(i)),
 nd as (select query_id, {NORM.format("arg_max(line, length(line) * 100000 - i)")} as needle from ln group by 1),
 found as (select 'vector' as variant, query_id, chunk_id, place from vector_pl union all select 'keyword', query_id, chunk_id, place from keyword_pl union all select 'hybrid', query_id, chunk_id, place from hybrid_pl),
@@ -366,13 +413,69 @@ rk as (select v.variant, query_id, place from (select distinct variant from foun
 """
 
 
-@query("k2_retrieval_variants", VARIANTS + "select variant, count(*) as cases, count_if(place = 1)::bigint as hit1, count_if(place <= 5)::bigint as hit5, round(avg(coalesce(1 / place, 0)), 6) as mrr, coalesce(string_agg(query_id::varchar, ',' order by query_id) filter (place is null or place > 5), '') as misses from rk group by 1")
-def _(spark, d):
+RANKED = " select variant, count(*) as cases, count_if(place = 1)::bigint as hit1, count_if(place <= 5)::bigint as hit5, round(avg(coalesce(1 / place, 0)), 6) as mrr from rk group by 1"
+
+
+def variant_ranks(spark, d, embedder=None):
     """The same cases under all three modes of the search."""
+    path = scratch_path(spark)
+    V.embed_passages(A.chunks(spark, d).select("chunk_id", "document_id", "ordinal", "text"), embedder).write.parquet(f"{path}/chunks")
+    chunks, postings = spark.read.parquet(f"{path}/chunks"), stored_postings(spark, d)
+    q = V.embed_queries(A.queries_table(spark, d), embedder, prefix="")
+    hits = [R.hybrid_search(q, chunks, mode, limit=10, postings=postings).select("query_id", "chunk_id", "document_id", "place").withColumn("variant", F.lit(mode)) for mode in ("vector", "keyword", "hybrid")]
+    return E.answer_ranks(hits[0].unionByName(hits[1]).unionByName(hits[2]), chunks, cases(spark, d))
+
+
+def fitted(spark, d):
+    """The embedder whose weights are fitted on all passages."""
+    return V.weighted_embedder(V.fit_frequencies(A.chunks(spark, d), f"{scratch_path(spark)}/frequencies"))
+
+
+@query("k2_retrieval_variants", variants_sql() + RANKED)
+def _(spark, d):
+    return E.retrieval_eval(variant_ranks(spark, d)).withColumn("mrr", F.round("mrr", 6))
+
+
+@query("k2_fitted_variants", variants_sql(True) + RANKED)
+def _(spark, d):
+    return E.retrieval_eval(variant_ranks(spark, d, fitted(spark, d))).withColumn("mrr", F.round("mrr", 6))
+
+
+@query("k2_misses", variants_sql() + " select variant, query_id, place from rk where place is null or place > 5")
+def _(spark, d):
+    return E.retrieval_misses(variant_ranks(spark, d))
+
+
+@query("e1_fit_frequencies", A.with_(A.CHUNKS, embedded("p", "select chunk_id as id, text from chunks", True)) + "select pl as place, df from fw union all select -1, n from fn")
+def _(spark, d):
+    return V.fit_frequencies(A.chunks(spark, d), f"{scratch_path(spark)}/frequencies")
+
+
+@query("e1_fitted_embedder", A.with_(A.CHUNKS, embedded("p", "select chunk_id as id, text from chunks", True)) + "select id as chunk_id, place::int as place, round(v, 5) as value from p_v where v <> 0")
+def _(spark, d):
+    return components(V.embed_passages(A.chunks(spark, d).select("chunk_id", "text"), fitted(spark, d)), "chunk_id", "embedding")
+
+
+@query("g3_updated_index", f"select count(*) as n, true as enough from (select q.vec_id, row_number() over (partition by q.vec_id order by {COS} desc, c.vec_id) as rank from embeddings q cross join embeddings c where q.vec_id % 50 = 0 and q.vec_id % 3 <> 1 and c.vec_id % 3 <> 1) where rank <= 10")
+def _(spark, d):
+    """An index without every third vector, to which a third is added while another third goes: exact neighbours there are, and whether nine tenths are found."""
+    v, path = vectors(spark, d), f"{scratch_path(spark)}/graphs"
+    V.graph_index(v.where("chunk_id % 3 <> 2"), path)
+    index = V.update_index(path, v.where("chunk_id % 3 = 2"), v.where("chunk_id % 3 = 1").select("chunk_id"))
+    q, left = vector_queries(spark, d).where("query_id % 3 <> 1"), v.where("chunk_id % 3 <> 1")
+    r = V.recall(V.knn_ann(q, index, 10), V.knn_exact(q, left, 10))
+    return r.select("n", (F.col("found") >= 0.9 * F.col("n")).alias("enough"))
+
+
+@query("h6_index_search", COSINES + search_sql() + " select count(*) as n, true as enough from hybrid_pl")
+def _(spark, d):
+    """The hybrid search through the graph index: how many hits the exact one has, and whether nine tenths of them are found."""
     chunks, postings = index(spark, d)
     q = V.embed_queries(A.queries_table(spark, d), prefix="")
-    hits = [R.hybrid_search(q, chunks, mode, limit=10, postings=postings).select("query_id", "chunk_id", "document_id", "place").withColumn("variant", F.lit(mode)) for mode in ("vector", "keyword", "hybrid")]
-    return E.retrieval_eval(E.answer_ranks(hits[0].unionByName(hits[1]).unionByName(hits[2]), chunks, cases(spark, d))).withColumn("mrr", F.round("mrr", 6))
+    graphs = V.graph_index(chunks, f"{scratch_path(spark)}/graphs")
+    found = R.hybrid_search(q, chunks, index=graphs, postings=postings)
+    r = V.recall(found, R.hybrid_search(q, chunks, postings=postings))
+    return r.select("n", (F.col("found") >= 0.9 * F.col("n")).alias("enough"))
 
 
 @query("k3_boost_sweep", HITS + """, b as (select unnest([0.0, 0.015, 0.06])::double as boost), sw as (select h.*, b.boost, similarity + boost * coverage as score from h cross join b),

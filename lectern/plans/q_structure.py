@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.functions.text import tidy_title
 from lectern.operators import library as L
 from lectern.operators import passages as P
@@ -202,8 +205,16 @@ def _(spark, d):
     return L.classify_text_coverage(p)
 
 
-UNITS = A.PARAGRAPHS + r""",
-su as (select *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]+["''”’)\]]*)\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') as ss from paragraphs),
+def sentences_sql(text, rows, name="ss"):
+    """The sentences of ``text`` of ``rows`` as the list ``name``: the parts between possible ends, put together again where there is none."""
+    q = lambda pattern: pattern.replace("'", "''")
+    bare = "rtrim(translate(x, chr(9) || chr(10) || chr(12) || chr(13), '    '))"
+    goes_on = f"regexp_matches(coalesce(ps[i + 1], ''), '{q(T.GOES_ON)}') or (regexp_matches({bare}, '{q(T.FULL_STOP)}') and (regexp_matches(coalesce(ps[i + 1], ''), '{q(T.LOWER_NEXT)}') or regexp_matches({bare}, '{q(T.NAMED_NEXT)}')))"
+    return f"""select *, list_filter(list_transform(string_split(array_to_string(list_transform(ps, lambda x, i: x || case when {goes_on} then '' else chr(1) end), ''), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') as {name}
+  from (select *, string_split(regexp_replace({text}, '{q(T.STOP)}', '\\1' || chr(2), 'g'), chr(2)) as ps from {rows})"""
+
+
+UNITS = A.PARAGRAPHS + ",\nsu as (" + sentences_sql("text", "paragraphs") + r"""),
 sv as (select *, case when heading then [text] else flatten(list_transform(ss, lambda s: case when len(regexp_split_to_array(s, '\s+')) <= 340 then [s] else list_transform(range(0, len(regexp_split_to_array(s, '\s+')), 340), lambda i: array_to_string(regexp_split_to_array(s, '\s+')[i + 1:i + 340], ' ')) end)) end as us from su),
 units as (select document_id, seq, (i - 1)::int as idx, us[i] as text, len(regexp_extract_all(us[i], '\S+'))::bigint as words, page, chapter, heading or i = 1 as paragraph_start, heading, false as glue from sv, unnest(range(1, len(us) + 1)) as r(i))"""
 
@@ -213,6 +224,20 @@ def _(spark, d):
     return P.sentence_units(A.paragraphs(spark, d))
 
 
+#: What d1_hard_sentences puts after words, by their number: ends of sentences, and what only looks like one.
+HARD = {7: "Dr.", 11: "J.", 13: "5 p.m. in", 17: "St.", 19: "3.4", 23: "e.g.", 29: "etc., and", 31: "they said... so", 37: "end?” He", 41: "“No!” Ünder", 43: "終わり。次は！ Und", 47: "Well... Then", 53: "U.S.A. law", 59: "wait — why? no"}
+
+
+@query("d1_hard_sentences", "with w as (select item_id, regexp_split_to_array(text, '\\s+') as w from benchmark), t as (select item_id, array_to_string(list_transform(w, lambda x, i: x || case i % 61 "
+       + " ".join(f"when {n} then ' {words}'" for n, words in HARD.items()) + " else '' end), ' ') as text from w), s as (" + sentences_sql("text", "t") + ") select item_id, (i - 1)::int as idx, ss[i] as sentence from s, unnest(range(1, len(ss) + 1)) as r(i)")
+def _(spark, d):
+    """Benchmark texts with abbreviations, initials, numbers, ellipses, closing quotes and ideographic stops among their words."""
+    put = lambda n: functools.reduce(lambda rest, x: F.when(n == x[0], F.lit(" " + x[1])).otherwise(rest), HARD.items(), F.lit(""))
+    words = F.transform(F.split("text", r"\s+"), lambda x, i: F.concat(x, put((i + 1) % 61)))
+    b = A.table(spark, d, "benchmark").select("item_id", F.array_join(words, " ").alias("text"))
+    return b.select("item_id", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
+
+
 #: One passage of every chapter run for each step of the recursion: the rules of packing as searches in lists, each unit's place counted from 0.
 PACKED = A.with_(UNITS).replace("with ", "with recursive ", 1).rstrip() + r""",
 un as (select *, row_number() over (partition by document_id order by seq, idx) as unit, lag(chapter) over (partition by document_id order by seq, idx) as before from units),
