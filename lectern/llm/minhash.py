@@ -14,6 +14,7 @@ from lectern.llm.components import connected_components
 BANDS, ROWS = 40, 6  # two sets at similarity 0.8 share no band with probability (1 - 0.8^6)^40 = 5e-6
 MAX_KEPT = 300_000
 SALTS, MAX_BROADCAST_KEYS = 16, 50_000
+CLASSES_MET = 2_048  # classes in a block of those that a shingle brings together
 
 
 class _Hashes(dict):
@@ -207,11 +208,30 @@ def overlapping(ids: DataFrame, sets: DataFrame, component: DataFrame, percent:
     place = F.row_number().over(w) + F.col("n") - F.count("*").over(W.partitionBy("d"))  # shingles of its own come first
     early = shared.withColumn("p", place).where(100 * (F.col("p") - 1) <= (100 - percent) * F.col("n")).select("d", "n", "s", "p")
     early = written(early.join(component.withColumnRenamed("id", "d"), "d", "left").select("d", "n", "s", "p", F.coalesce("component", "d").alias("c")))
-    other = early.select(F.col("d").alias("d2"), F.col("n").alias("n2"), "s", F.col("p").alias("p2"), F.col("c").alias("c2"))
+    x, y = early.select("s", "c", "d", "n", "p"), early.select("s", F.col("c").alias("c2"), F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
     most = 1 + F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2"))
-    can = (100 + percent) * most >= percent * (F.col("n") + F.col("n2"))
-    met = early.join(other, "s").where((F.col("d") < F.col("d2")) & (F.col("c") != F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & can)
-    return met.select(F.col("d").alias("a"), F.col("d2").alias("b")).distinct()
+    can = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))
+    met = classes_met(early, percent).join(x, ["s", "c"]).where((100 * F.col("n") >= percent * F.col("lo2")) & (percent * F.col("n") <= 100 * F.col("hi2")) & ((100 + percent) * (1 + F.col("n") - F.col("p")) >= percent * (F.col("n") + F.col("lo2"))))
+    return met.join(y, ["s", "c2"]).where(can).select(F.least("d", "d2").alias("a"), F.greatest("d", "d2").alias("b")).distinct()
+
+
+def classes_met(early: DataFrame, percent: int) -> DataFrame:
+    """(s, c, c2, lo2, hi2): pairs c < c2 of classes that can hold similar documents by the shingle s of ``early`` (d, n, s, p, c), with the sizes of c2.
+
+    Documents of one class never meet. Of two similar ones the smaller has s within the shorter prefix (``fit``) that twice its own size
+    allows, so a shingle that nobody has as early pairs nobody. A shingle of many classes is dealt by pairs of blocks of CLASSES_MET of them.
+    """
+    fit = (100 + percent) * (1 + F.col("n") - F.col("p")) >= 2 * percent * F.col("n")
+    own = early.groupBy("s", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("p")).alias("tail"), F.max(fit).alias("fit"))
+    own = written(own)
+    busy = own.groupBy("s").agg(F.count("*").alias("m"), F.max("fit").alias("some")).where("m > 1 and some")
+    own = own.join(busy.select("s", F.ceil(F.col("m") / CLASSES_MET).cast("int").alias("parts")), "s")
+    block, others = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    mine = own.select("s", "c", "lo", "hi", "tail", "fit", block.alias("i"), others.alias("j"))
+    theirs = own.select("s", *[F.col(k).alias(f"{k}2") for k in ("c", "lo", "hi", "tail", "fit")], block.alias("j"), others.alias("i"))
+    sizes = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
+    room = (100 + percent) * (1 + F.least("tail", "tail2")) >= percent * (F.col("lo") + F.col("lo2"))
+    return mine.join(theirs, ["s", "i", "j"]).where((F.col("c") < F.col("c2")) & (F.col("fit") | F.col("fit2")) & sizes & room).select("s", "c", "c2", "lo2", "hi2")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

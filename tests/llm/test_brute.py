@@ -365,6 +365,30 @@ def test_near_duplicates_by_salted_keys(spark, texts, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 2).collect()} == classes(texts, 2)
 
 
+@pytest.mark.parametrize("block", [2_048, 3])
+def test_passages_that_classes_share(spark, monkeypatch, block):
+    """Texts that share most of their words, in classes of one and of many: all similar pairs of different classes meet, and none of one class."""
+    from lectern.llm import minhash
+    from lectern.llm.common import written
+
+    monkeypatch.setattr(minhash, "CLASSES_MET", block)
+    rng = np.random.default_rng(8)
+    shared, rows = [f"w{i}" for i in range(120)], {}
+    for i in range(120):
+        own = [f"o{i if i % 4 else i // 8}x{j}" for j in range(rng.integers(4, 30))]
+        rows[i] = " ".join(own + shared[rng.integers(0, 12):120 - rng.integers(0, 12)])
+    sets = {i: shingles(t, 2) for i, t in rows.items()}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    table, ids = written(minhash.shingle_table(docs, 2)), docs.selectExpr("doc_id as d")
+    similar = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert 20 < len(similar) < 4_000
+    for of in (lambda i: i, lambda i: 0 if i < 40 else i):
+        component = spark.createDataFrame([(i, of(i)) for i in rows if of(i) != i], "id long, component long")
+        got = [tuple(r) for r in minhash.overlapping(ids, table, component, 80).collect()]
+        assert {p for p in similar if of(p[0]) != of(p[1])} <= set(got) and len(set(got)) == len(got)
+        assert all(a < b and of(a) != of(b) for a, b in got)
+
+
 def test_packing(spark, duck):
     from lectern.llm.queries import QUERIES
 
