@@ -411,3 +411,34 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = out.join(part, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
     numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+#: The same in DuckDB's SQL: a recursion from each conversation's last row to its first.
+CONVERSATIONS_SQL = """with recursive said as (
+  select conv_id, turn, coalesce(role::varchar, ' ') as role, coalesce(text::varchar, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+-- crc32, bit by bit
+faults as (select * exclude (key), xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(key, ''), lambda ch: ascii(ch)::bigint)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295::bigint) % 20 as fault from said),
+after_damage as (select conv_id, turn, case when fault = 4 then 'user' else role end as role, case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when fault = 3 then 2 else 1 end)) as copy from faults where fault <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare, left(role, 1) as initial from after_damage),
+judged as (select *, case when bare = '' then 'blank' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as kind,
+    lag(initial) over (partition by conv_id order by n) as before from placed),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count_if(kind = 'blank')::bigint as blank, count_if(kind = 'duplicate')::bigint as duplicate,
+    count_if(kind = 'truncated')::bigint as truncated, count_if(before || initial not in ('su', 'ua', 'au'))::bigint as illegal, max(n) as last from judged group by conv_id),
+-- the cheapest way (cost, edits, lines) from each row to the end, by what has been written: nothing, s, an open u, a closed pair
+ways(conv_id, n, v) as (
+  select conv_id, last + 1, [{'c': 0::bigint, 'a': '', 'l': []::varchar[]}, {'c': 10::bigint, 'a': 'II', 'l': ['user:', 'assistant:']}, {'c': 5::bigint, 'a': 'I', 'l': ['assistant:']}, {'c': 0::bigint, 'a': '', 'l': []::varchar[]}] from counts
+  union all
+  select conv_id, n, list_transform(range(4), lambda q: list_min([own[q + 1],
+      {'c': 5 + own[[3, 3, 4, 3][q + 1]].c, 'a': 'I' || own[[3, 3, 4, 3][q + 1]].a, 'l': list_prepend(name[q + 1] || ':', own[[3, 3, 4, 3][q + 1]].l)},
+      {'c': 10 + own[[4, 4, 3, 4][q + 1]].c, 'a': 'II' || own[[4, 4, 3, 4][q + 1]].a, 'l': list_prepend(name[q + 1] || ':', list_prepend(name[[3, 3, 4, 3][q + 1]] || ':', own[[4, 4, 3, 4][q + 1]].l))}]))
+  from (select j.conv_id, j.n, ['user', 'user', 'assistant', 'user'] as name, list_transform(range(4), lambda q: list_min([{'c': 2 + v[q + 1].c, 'a': 'D' || v[q + 1].a, 'l': v[q + 1].l},
+        case when kind not in ('blank', 'duplicate') and initial = 's' and q = 0 then {'c': cut + v[2].c, 'a': 'K' || v[2].a, 'l': list_prepend(role || ':' || text, v[2].l)}
+             when kind not in ('blank', 'duplicate') and initial = ['u', 'u', 'a', 'u'][q + 1] then {'c': cut + v[[3, 3, 4, 3][q + 1]].c, 'a': 'K' || v[[3, 3, 4, 3][q + 1]].a, 'l': list_prepend(role || ':' || text, v[[3, 3, 4, 3][q + 1]].l)} end,
+        case when kind not in ('blank', 'duplicate') then {'c': 1 + cut + v[[3, 3, 4, 3][q + 1]].c, 'a': 'R' || v[[3, 3, 4, 3][q + 1]].a, 'l': list_prepend(['user', 'user', 'assistant', 'user'][q + 1] || ':' || text, v[[3, 3, 4, 3][q + 1]].l)} end])) as own
+      from ways join (select *, case when kind = 'truncated' then 5 else 0 end as cut from judged) j on j.conv_id is not distinct from ways.conv_id and j.n = ways.n - 1)),
+best as (select conv_id, v[1] as w from ways where n = 1)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(w.c, 0) as cost,
+  coalesce(w.a, '') as audit, sha256(coalesce(array_to_string(w.l, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts on counts.conv_id is not distinct from o.conv_id left join best on best.conv_id is not distinct from o.conv_id"""

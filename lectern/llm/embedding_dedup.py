@@ -378,3 +378,14 @@ def links_of(one: DataFrame, least: float) -> DataFrame:
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+#: The same in DuckDB's SQL, by all pairs.
+VECTORS_SQL = """with recursive vectors as (
+  select vec_id, embedding::double[] as v from embeddings where len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.9),
+reached(vec_id, other) as (select vec_id, vec_id from vectors union select vec_id, b from reached join links on a = other),
+component as (select vec_id, min(other) as least from reached group by vec_id),
+counts as (select a as vec_id, count(distinct b) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(least, vec_id) as component_id, coalesce(least, vec_id) = vec_id as kept
+from embeddings left join component using (vec_id) left join counts using (vec_id)"""

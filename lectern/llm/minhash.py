@@ -263,3 +263,20 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), size=2)
+
+
+#: The same in DuckDB's SQL, by exact prefix filtering of distinct sets.
+MINHASH_SQL = r"""with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (select doc_id, case when len(w) < 2 then w else list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) end as s from words),
+classes as (select s, len(s) as n, min(doc_id) as rep from sets where len(s) > 0 group by s),
+shingles as (select rep, n, t, row_number() over (partition by rep order by df, t) as place from (select rep, n, t, count(*) over (partition by t) as df from (select rep, n, unnest(s) as t from classes))),
+-- sets at 0.8 share a shingle among each one's rarest fifth
+early as (select rep, n, t from shingles where place <= n - (4 * n + 4) // 5 + 1),
+pairs as (select distinct a.rep as a, b.rep as b from early a join early b on a.t = b.t and a.rep < b.rep and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+met as (select a, b, x.n + y.n as total, len(list_intersect(x.s, y.s)) as shared from pairs join classes x on x.rep = a join classes y on y.rep = b),
+links as (select a, b from met where 100 * shared >= 80 * (total - shared) union all select b, a from met where 100 * shared >= 80 * (total - shared)),
+reached(rep, other) as (select rep, rep from classes union select rep, b from reached join links on a = other),
+component as (select rep, min(other) as least from reached group by rep)
+select doc_id, len(sets.s)::bigint as n_shingles, coalesce(least, doc_id) as component_id, coalesce(least, doc_id) = doc_id as kept
+from sets left join classes on classes.s = sets.s left join component using (rep)"""

@@ -294,3 +294,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: The same in DuckDB's SQL: every 100-byte string is a row.
+STRINGS_SQL = """with bytes as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents),
+strings as (select doc_id, p, b[p:p + 99] as string from (select doc_id, unnest(range(1, n - 98)) as p, b from bytes where n >= 100)),
+again as (select doc_id, p from (select doc_id, p, row_number() over (partition by string order by doc_id, p) as k from strings) where k > 1),
+-- strings that touch or overlap are one run
+marked as (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 100 then 0 else 1 end as fresh from again),
+runs as (select doc_id, min(p) as first, max(p) + 99 as last from (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as run from marked) group by doc_id, run),
+kept as (select doc_id, first, last, coalesce(lag(last) over (partition by doc_id order by first), 0) + 1 as since from runs),
+cut as (select doc_id, sum(last - first + 1)::bigint as n_removed, count(*) as n_spans, max(last) as last, list({'since': since, 'upto': first - 1} order by first) as pieces from kept group by doc_id)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(case when n_removed is null then b else unhex(array_to_string(list_transform(list_append(pieces, {'since': last + 1, 'upto': n}), lambda x: case when x.upto >= x.since then hex(b[x.since:x.upto]) else '' end), '')) end) as kept_sha256
+from bytes left join cut using (doc_id)"""

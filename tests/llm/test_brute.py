@@ -579,7 +579,7 @@ def test_tight_cluster_over_many_blocks(spark, monkeypatch):
     assert got == {i: int(near[i].sum()) - 1 for i in range(260)}
 
 
-@pytest.mark.parametrize("name", ["op8_warc", "op10_mix"])
+@pytest.mark.parametrize("name", ["op4_minhash", "op7_embedding_dedup", "op8_warc", "op9_suffix_array", "op10_mix", "op11_conversations", "op12_codes"])
 def test_against_sql(spark, duck, name):
     from lectern.llm.queries import ORACLES, QUERIES
 
