@@ -108,14 +108,17 @@ def multikey_order(columns):
     return order
 
 
+#: Suffixes that a task sorts: about 36 bytes each, and as many again while they are put in order.
+BUCKET_ROWS = 4_000_000
 ROW = "t1 long, t2 long, doc long, pos long, n int"
 #: same_* compare with the neighbour in the global order: t1 alone, or both tokens.
 SORTED = "doc long, pos long, n int, same_before boolean, t1_before boolean, t1_after boolean"
 
 
-def suffix_sort(rows: DataFrame) -> DataFrame:
+def suffix_sort(rows: DataFrame, expected: int = 0) -> DataFrame:
     """ROW -> SORTED: what each suffix shares with its neighbours in the order (t1, t2, doc, pos).
 
+    ``expected`` tells about how many suffixes there are; there are as many buckets as it takes to keep one at about BUCKET_ROWS.
     Sampled splitters range-partition the suffixes by their leading tokens and, where tokens tie, by place: a
     string that a third of all documents share spans as many buckets as its suffixes fill, and none is
     larger than another. Buckets sort locally; a bucket's outermost suffixes are compared across its
@@ -123,7 +126,7 @@ def suffix_sort(rows: DataFrame) -> DataFrame:
     starts earlier, in a smaller document or place.
     """
     spark = rows.sparkSession
-    n = shuffle_partitions(spark)
+    n = max(shuffle_partitions(spark), -(-expected // BUCKET_ROWS))
     keys = ("t1", "t2", "doc", "pos")
 
     def bucket(batches):
@@ -255,12 +258,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     originals = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     originals = by_ids(one_per_id(originals), copies.select(F.col("doc_id").alias("id")), "doc_id", keep=False)
 
-    runs = suffix_sort(strings_table(originals))
+    # a run begins at every (LENGTH - GRAM + 2) / 2 bytes on average; the strings to be opened are counted
+    n_bytes = base.where("is_first is not null").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    runs = suffix_sort(strings_table(originals), 2 * n_bytes // (LENGTH - GRAM + 2))
     whole = runs.where("same_before").select("doc", "pos", "n")
     # the first of equal runs is opened where other runs share its first token
     ambiguous = runs.where(~F.col("same_before") & (F.col("t1_before") | F.col("t1_after"))).select("doc", "pos", "n")
     texts = packed_texts(originals)
-    strings = suffix_sort(open_strings(texts, ambiguous)).where("same_before").select("doc", "pos", "n")
+    n_strings = ambiguous.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    strings = suffix_sort(open_strings(texts, ambiguous), n_strings).where("same_before").select("doc", "pos", "n")
     hits = whole.unionByName(strings).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("hits"))
 
     def cut(batches):

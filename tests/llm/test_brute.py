@@ -85,9 +85,12 @@ def test_variants_of_one_text(spark):
     assert got == classes(rows, 2)
 
 
-def test_repeated_strings(spark, texts):
+@pytest.mark.parametrize("bucket", [4_000_000, 500])
+def test_repeated_strings(spark, texts, monkeypatch, bucket):
+    from lectern.llm import suffixes
     from lectern.llm.queries import QUERIES
 
+    monkeypatch.setattr(suffixes, "BUCKET_ROWS", bucket)
     seen, want = set(), {}
     for i in sorted(texts):
         b = texts[i].encode()
