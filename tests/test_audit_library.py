@@ -100,6 +100,22 @@ def test_numbering_over_ranges(spark):
     assert all(r.n == r.k + 1 for r in got)
 
 
+def test_numbering_of_wide_rows(spark):
+    """Ranges of wide rows and of their keys alone are joined by adaptive execution into different ones."""
+    small = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        wide = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.md5((F.col("id") * 100 + i).cast("string"))), "")
+        df = spark.range(4000).select("id", ((F.col("id") * 7919) % 4000).alias("k"), wide.alias("text"))
+        got = C.numbered(df, F.col("k")).where(F.length("text") > 0).select("k", "n").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.n, r.k) for r in got) == [(i + 1, i) for i in range(4000)]
+
+
 def test_replacing_twice_changes_nothing(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "document_id long, v string")
     n = spark.createDataFrame([(2, "c"), (3, "d")], "document_id long, v string")
