@@ -44,3 +44,21 @@ def test_normalising_and_excerpts(spark):
 def test_embedding_text(spark):
     assert one(spark, T.embedding_text, "T", None, "A › B", "x") == "T — B\n\nx"
     assert one(spark, T.embedding_text, "T", "W", None, "x") == "W, T\n\nx"
+
+
+def test_capital_of_sharp_s_in_sql(spark, tmp_path):
+    """A capital ß is SS, as in the reference; the SQL says so too."""
+    import duckdb
+
+    from lectern.plans import catalog
+
+    con = duckdb.connect()
+    tables = {"documents": ("doc_id long, text string, lang string, source string, n_chars long", [(i, f"ß{'a' * i}b straße | und so\nzwei", "de", "src1", 30) for i in range(1, 13)]),
+              "labels": ("doc_id long, quality int, toxic int", [(1, 1, 0)])}
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("b8_metadata_from_file_name", "b9_choose_metadata", "b11_reference_labels"):
+        got, want = catalog.QUERIES[name](spark, str(tmp_path)), con.execute(catalog.ORACLES[name])
+        columns = [c[0] for c in want.description]
+        assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in got.select(columns).collect()), name
