@@ -140,3 +140,10 @@ def test_batches():
 def test_stems():
     for word, want in {"caresses": "caress", "ponies": "poni", "hopping": "hop", "relational": "relat", "happy": "happi", "generalization": "gener", "adjustment": "adjust", "sky": "sky", "feed": "feed", "agreed": "agre"}.items():
         assert stem(word) == want
+
+
+def test_misses_are_told(spark):
+    from lectern.operators import evaluate as E
+
+    ranks = spark.createDataFrame([("a", 1, 1), ("a", 10, None), ("a", 9, 6), ("a", 3, 5), ("b", 1, 2)], "variant string, query_id long, place int")
+    assert {r.variant: (r.cases, r.hit1, r.hit5, r.misses) for r in E.retrieval_eval(ranks).collect()} == {"a": (4, 1, 2, "9,10"), "b": (1, 0, 1, "")}
