@@ -264,6 +264,17 @@ def test_quotes_in_the_library(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
 
 
+def test_quotes_of_three_words_are_sought_by_all_of_them(spark, monkeypatch):
+    """A fragment's frequent inner word alone leads to no passage, and of the other keys nearly none are shuffled."""
+    passages = spark.range(300).select(F.col("id").alias("passage_id"), F.format_string("w%d the x%d and more the words", "id", "id").alias("text"))
+    answers = spark.range(300).select(F.col("id").alias("answer_id"), F.format_string('"w%d the x%d ... and more the words"', "id", "id").alias("text"))
+    most, plain = [], quotes.written
+    monkeypatch.setattr(quotes, "written", lambda df: most.append((df.columns, (w := plain(df)).count())) or w)
+    got = quotes.check_library_quotes(answers, passages).collect()
+    assert {(r.answer_id, r.passages, r.first_passage) for r in got} == {(i, 1, i) for i in range(300)}
+    assert max(n for columns, n in most if "of" in columns) <= 3000 < 300 * 300
+
+
 def plain_covers(places):
     """(begin, end) by trying: the shortest stretch of places from each start that holds all parts, if none of the stretches inside it does."""
     parts, out = {p for _, p, _ in places}, []
