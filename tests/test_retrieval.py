@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions.stemming import stem
@@ -147,3 +148,40 @@ def test_misses_are_told(spark):
 
     ranks = spark.createDataFrame([("a", 1, 1), ("a", 10, None), ("a", 9, 6), ("a", 3, 5), ("b", 1, 2)], "variant string, query_id long, place int")
     assert {r.variant: (r.cases, r.hit1, r.hit5, r.misses) for r in E.retrieval_eval(ranks).collect()} == {"a": (4, 1, 2, "9,10"), "b": (1, 0, 1, "")}
+
+
+def test_scoped_search_by_sets_of_queries(spark, monkeypatch):
+    """Scopes that share sets of queries, overlap, or name unknown documents: in place as by pairs, and without a row a pair."""
+    rng = np.random.default_rng(5)
+    c = spark.createDataFrame([(i, i % 9, [float(x) for x in rng.normal(size=8)]) for i in range(900)], "chunk_id long, document_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(12)], "query_id long, qvec array<double>")
+    scope = spark.createDataFrame([(i, j) for i in range(12) for j in range(12) if (i + j) % 3 == 0 or i == 5], "query_id long, document_id long")
+    found = {}
+    for most in (V.QUERY_NUMBERS, 0):
+        monkeypatch.setattr(V, "QUERY_NUMBERS", most)
+        df = V.knn_exact(q, c, 7, scope)
+        found[most] = sorted((r.query_id, r.rank, r.chunk_id, round(r.similarity, 9)) for r in df.collect())
+        assert ("MapInArrow" in df._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+    assert len(found[0]) == 84 and len(set(map(str, found.values()))) == 1
+
+
+def test_modes_share_candidates(spark):
+    words = "red fox runs past many trees and sees a river under old stone walls".split()
+    c = V.embed_passages(spark.createDataFrame([(i, i // 4, i % 4, " ".join(words[(i * j) % 13] for j in range(1, 7))) for i in range(60)], "chunk_id long, document_id long, ordinal int, text string"))
+    q = V.embed_queries(spark.createDataFrame([(1, "red fox river"), (2, "stone walls"), (3, "unheard"), (4, " ")], "query_id long, query string"), prefix="")
+    columns = ["query_id", "chunk_id", "document_id", "place", "score"]
+    got = R.search_modes(q, c, limit=10).select("variant", *columns).collect()
+    for mode in ("vector", "keyword", "hybrid"):
+        want = sorted(tuple(r) for r in R.hybrid_search(q, c, mode, limit=10).select(*columns).collect())
+        assert want and sorted(tuple(r)[1:] for r in got if r.variant == mode) == want, mode
+
+
+def test_second_leg_reads_each_vector_once(spark, monkeypatch):
+    """Not a row for each pair of a query and a passage of its label."""
+    from lectern.plans import q_retrieval
+
+    seen, plain = [], K.top_k
+    monkeypatch.setattr(q_retrieval.K, "top_k", lambda rows, k, *order: seen.append(rows.count()) or plain(rows, k, *order))
+    d = "/root/testdata/sf0.01"
+    q_retrieval.second_leg(spark, d)
+    assert seen == [q_retrieval.vectors(spark, d).count()]
