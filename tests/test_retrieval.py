@@ -185,3 +185,21 @@ def test_second_leg_reads_each_vector_once(spark, monkeypatch):
     d = "/root/testdata/sf0.01"
     q_retrieval.second_leg(spark, d)
     assert seen == [q_retrieval.vectors(spark, d).count()]
+
+
+def test_places_of_a_frequent_word_are_not_written_where_its_alternative_is_not(spark, monkeypatch):
+    """300 passages hold the frequent word, two the rare one, and one of these the negated one: what is written is about the query, not about the 300."""
+    rows = [(i, "common " * 5 + ("rare " if i < 2 else "") + ("unwanted" if i == 1 else "")) for i in range(300)]
+    postings = K.build_postings(spark.createDataFrame(rows, "chunk_id long, text string"))
+    sizes = []
+
+    def written(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    plain = K.written
+    monkeypatch.setattr(K, "written", written)
+    kw = K.keyword_queries(spark.createDataFrame([(1, '"common common" rare -unwanted')], "query_id long, query string"))
+    assert [(r.chunk_id, r.covers) for r in K.cover_topk(kw, postings).collect()] == [(0, 1)]
+    assert max(sizes) <= 10
