@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lectern.functions import text as T
 from lectern.functions.text import tidy_title
@@ -71,13 +74,20 @@ def paras(spark, d):
     return S.build_paragraphs(body_lines(spark, d))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def starts(lengths: pd.Series) -> pd.Series:
+    """Where each of a line's words begins, from their lengths."""
+    return lengths.map(lambda n: np.cumsum(n + 1) - n - 1)
+
+
 @query("c1_assemble_lines")
 def _(spark, d):
     p = A.paragraphs(spark, d)
-    words = p.select("document_id", "page", F.col("seq").alias("line"), "y", "heading", F.posexplode(F.split("text", " ")).alias("i", "str"), F.split("text", " ").alias("ws"))
-    before = F.aggregate(F.slice("ws", 1, F.col("i")), F.lit(0), lambda a, w: a + F.length(w) + 1)
+    words = p.select("document_id", "page", F.col("seq").alias("line"), "y", "heading", F.split("text", " ").alias("ws"))
+    words = words.withColumn("before", starts(F.transform("ws", F.length)))
+    words = words.select("document_id", "page", "line", "y", "heading", F.size("ws").alias("n"), F.posexplode(F.arrays_zip(F.col("ws").alias("str"), F.col("before"))).alias("i", "w")).select("*", "w.str", "w.before").drop("w")
     size = F.when(F.col("heading"), 16.0).otherwise(10.0)
-    items = words.select("document_id", "page", (F.col("line") * 100_000 + F.col("i")).alias("seq"), "str", (F.lit(72.0) + 5.0 * before).alias("x"), "y", size.alias("size"), (5.0 * F.length("str")).alias("width"), (F.col("i") == F.size("ws") - 1).alias("eol"))
+    items = words.select("document_id", "page", (F.col("line") * 100_000 + F.col("i")).alias("seq"), "str", (F.lit(72.0) + 5.0 * F.col("before")).alias("x"), "y", size.alias("size"), (5.0 * F.length("str")).alias("width"), (F.col("i") == F.col("n") - 1).alias("eol"))
     return S.assemble_lines(items)
 
 
