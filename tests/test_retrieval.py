@@ -203,3 +203,26 @@ def test_places_of_a_frequent_word_are_not_written_where_its_alternative_is_not(
     kw = K.keyword_queries(spark.createDataFrame([(1, '"common common" rare -unwanted')], "query_id long, query string"))
     assert [(r.chunk_id, r.covers) for r in K.cover_topk(kw, postings).collect()] == [(0, 1)]
     assert max(sizes) <= 10
+
+
+def test_pairs_of_queries_and_passages_are_not_written(spark, monkeypatch):
+    """Ten queries of 40 words, each in ten of 400 passages: 4,000 pairs, of which the candidates alone are kept; matches stand for postings."""
+    texts = [(i, 1, i, f"word{i % 40} filler") for i in range(400)]
+    passages = V.embed_passages(spark.createDataFrame(texts, "chunk_id long, document_id long, ordinal long, text string"))
+    queries = V.embed_queries(spark.createDataFrame([(q, " ".join(f"word{w}" for w in range(40))) for q in range(10)], "query_id long, query string"), prefix="")
+    sizes = []
+
+    def written(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    plain = R.written
+    monkeypatch.setattr(R, "written", written)
+    got = R.hybrid_candidates(queries, passages, "keyword").collect()
+    assert len(got) == 600 and {r.coverage for r in got} == {1 / 40} and max(sizes) <= 800
+    terms, postings = K.query_terms(K.keyword_queries(queries), "simple"), K.build_postings(passages)
+    matches = K.matches_of(terms, postings)
+    n = passages.agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, K.informative_terms(terms, matches, n).collect())) == sorted(map(tuple, K.informative_terms(terms, postings, n).collect()))
+    assert sorted(map(tuple, K.keyword_topk(terms, matches).collect())) == sorted(map(tuple, K.keyword_topk(terms, postings).collect()))
