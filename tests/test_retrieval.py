@@ -226,3 +226,16 @@ def test_pairs_of_queries_and_passages_are_not_written(spark, monkeypatch):
     n = passages.agg(F.count("*").alias("n"))
     assert sorted(map(tuple, K.informative_terms(terms, matches, n).collect())) == sorted(map(tuple, K.informative_terms(terms, postings, n).collect()))
     assert sorted(map(tuple, K.keyword_topk(terms, matches).collect())) == sorted(map(tuple, K.keyword_topk(terms, postings).collect()))
+
+
+def test_cosines_of_groups_are_those_of_single_pairs(spark, monkeypatch):
+    """Blocks of two queries and parts of three passages, with vectors that are null, zero, of another width, not finite, or out of range."""
+    monkeypatch.setattr(V, "PAIR_BLOCK", 2)
+    monkeypatch.setattr(V, "PAIR_PART", 3)
+    odd = [None, [0.0, 0.0], [1.0], [float("nan"), 1.0], [1e200, 1.0], [None, 1.0]]
+    rows = [(i, i % 2, [float(i % 5 + 1), float(i % 3)]) for i in range(20)] + [(20 + i, i % 2, v) for i, v in enumerate(odd)]
+    v = spark.createDataFrame(rows, "chunk_id long, label long, embedding array<double>")
+    q = v.where("chunk_id % 2 = 0 or chunk_id % 5 = 1").select(F.col("chunk_id").alias("query_id"), "label", F.col("embedding").alias("qvec"))
+    want = q.join(v, "label").select("query_id", "chunk_id", V.cosine(F.col("qvec"), F.col("embedding")).alias("similarity"))
+    told = lambda rows: sorted((r.query_id, r.chunk_id, str(None if r.similarity is None else round(r.similarity, 12))) for r in rows.collect())
+    assert told(V.cosines(q, v, "label")) == told(want)
