@@ -239,3 +239,14 @@ def test_cosines_of_groups_are_those_of_single_pairs(spark, monkeypatch):
     want = q.join(v, "label").select("query_id", "chunk_id", V.cosine(F.col("qvec"), F.col("embedding")).alias("similarity"))
     told = lambda rows: sorted((r.query_id, r.chunk_id, str(None if r.similarity is None else round(r.similarity, 12))) for r in rows.collect())
     assert told(V.cosines(q, v, "label")) == told(want)
+
+
+def test_page_texts_are_put_together_once_for_all_passages_of_a_page(spark):
+    from lectern.operators import evaluate as E
+
+    c = spark.createDataFrame([(i, 1, 1, 1, f"line {i}") for i in range(20)] + [(20, 1, 1, 1, "nowhere"), (21, 1, 2, 2, "line 3")], "chunk_id long, document_id long, page_start int, page_end int, text string")
+    p = spark.createDataFrame([(1, 1, "\n".join(f"line {i}" for i in range(20))), (1, 2, "end")], "document_id long, page int, text string")
+    checks = E.page_accuracy(c, p)
+    assert {r.chunk_id: r.reason for r in checks.collect()} == {i: "ok" for i in range(20)} | {20: "missing", 21: "starts elsewhere"}
+    gathered = [x for x in checks._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in x]
+    assert gathered and not any("chunk_id" in x for x in gathered)
