@@ -176,18 +176,19 @@ def delete_documents(tables: dict[str, DataFrame], ids: DataFrame, links: dict[s
 
     ``links`` tells for each dependent table its parent and the column that both share; tables that it does not name hang on document_id.
     The keys that go are found table by table from the documents down (only keys of rows that go are joined), and a table
-    is then cut by an anti join on its own link; null keys belong to nothing and stay.
+    is then cut by an anti join on its own link; null keys belong to nothing and stay. Keys too many to broadcast are
+    hashed by partition, so that a task holds keys that go and never sorts the rows of a table.
     """
     links = {name: (None, "document_id") for name in tables} | (links or {})
     gone: dict[tuple[str | None, str], DataFrame] = {(None, "document_id"): written(ids.select("document_id").where("document_id is not null").distinct())}
 
     def keys(parent: str | None, column: str) -> DataFrame:
         if (parent, column) not in gone:
-            rows = tables[parent].join(few(keys(*links[parent])), links[parent][1], "left_semi")
+            rows = tables[parent].join(keys(*links[parent]), links[parent][1], "left_semi")
             gone[parent, column] = written(rows.select(column).where(F.col(column).isNotNull()).distinct())
-        return gone[parent, column]
+        return few(gone[parent, column], many="shuffle_hash")
 
-    return {name: t.join(few(keys(*links[name])), links[name][1], "left_anti") for name, t in tables.items()}
+    return {name: t.join(keys(*links[name]), links[name][1], "left_anti") for name, t in tables.items()}
 
 
 def reprocess(docs: DataFrame, jobs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import audit, context, keyword, library, quotes, vector
+from lectern.operators import audit, context, joins, keyword, library, quotes, vector
 from lectern.sources import buckets, files
 from lectern.streaming import jobs, stateful
 
@@ -184,6 +184,16 @@ def test_cascade(spark):
     assert got == {"documents": [(2,)], "chunks": [(20, 2), (30, None)], "postings": [(20, "b"), (20, "c")], "jobs": [(8, 2)], "attempts": [(8, 1)], "notes": []}
 
 
+def test_many_keys_that_go_are_hashed_and_rows_are_not_sorted(spark):
+    n = joins.MAX_BROADCAST_ROWS + 1
+    tables = {"chunks": spark.range(n + 3).select((F.col("id") * 10).alias("chunk_id"), F.col("id").alias("document_id")), "postings": spark.range(2 * n + 6).select((F.floor(F.col("id") / 2) * 10).alias("chunk_id"))}
+    left = library.delete_documents(tables, spark.range(n).withColumnRenamed("id", "document_id"), {"postings": ("chunks", "chunk_id")})
+    for name, rows in (("chunks", 3), ("postings", 6)):
+        plan = left[name]._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+        assert left[name].count() == rows and left[name].where(F.col("chunk_id") < 10 * n).count() == 0
+
+
 # --- an index that changes ---
 
 
