@@ -89,6 +89,27 @@ def test_ingest_from_files(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[1], r.reason) for r in rejects] == [("c.pdf", "wrong magic bytes")]
 
 
+def test_files_lie_in_few_folders_and_a_batch_is_met_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FOLDER_FILES", 3)
+    rows = spark.createDataFrame([(f"id={i}.txt", f"{'%PDF-' if i % 2 else ''}é{i}\n".encode()) for i in range(10)], "name string, body binary").coalesce(1)
+    assert files.write_files(rows, f"{tmp_path}/inbox") == 10
+    made = sorted(tmp_path.glob("inbox/*/*"), key=lambda f: int(f.stem[3:]))
+    assert [f.read_bytes() for f in made] == [f"{'%PDF-' if i % 2 else ''}é{i}\n".encode() for i in range(10)]
+    assert sorted(len(list(d.glob("*"))) for d in tmp_path.glob("inbox/*")) == [1, 3, 3, 3]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def digest(v):
+        seen.add(1)
+        return v
+
+    rows.select("name").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("name string").parquet(f"{tmp_path}/in").select(F.substring("name", 4, 1).cast("long").alias("document_id"), digest("name").alias("sha256"))
+    jobs.stream_ingest(stream, f"{tmp_path}/out", f"{tmp_path}/check", lambda b: b.where("sha256 < 'id=5'"), rejects=lambda b: b.where("sha256 >= 'id=5'")).awaitTermination()
+    assert seen.value == 10
+    assert spark.read.parquet(f"{tmp_path}/out/rows").count() == spark.read.parquet(f"{tmp_path}/out/rejects").count() == 5
+
+
 def run(stream, path, schema):
     stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(schema).parquet(f"{path}/out")
