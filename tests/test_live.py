@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import audit, context, joins, keyword, library, quotes, vector
+from lectern.operators import audit, context, graph_index, joins, keyword, library, quotes, vector
 from lectern.sources import buckets, files
 from lectern.streaming import jobs, stateful
 
@@ -218,6 +218,19 @@ def test_many_keys_that_go_are_hashed_and_rows_are_not_sorted(spark):
 # --- an index that changes ---
 
 
+def test_graphs_are_built_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def built(shard):
+        seen.add(1)
+        return shard
+
+    rows = [(s, 2, [2 * s, 2 * s + 1], [1.0, 0.0, 0.0, 1.0], [1, -1, 0, -1], 2) for s in range(3)]
+    index = graph_index.store_graphs(spark.createDataFrame(rows, graph_index.GRAPH).withColumn("shard", built("shard")), f"{tmp_path}/index")
+    assert seen.value == 3 and sorted(k for r in index.collect() for k in r["keys"]) == list(range(6))
+
+
 def test_index_after_a_third_is_replaced(spark, tmp_path):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(1800, 24)).round(4)
