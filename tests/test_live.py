@@ -231,6 +231,22 @@ def test_graphs_are_built_once(spark, tmp_path):
     assert seen.value == 3 and sorted(k for r in index.collect() for k in r["keys"]) == list(range(6))
 
 
+def test_clearing_a_shard_holds_candidates_only():
+    import tracemalloc
+
+    from lectern.functions import graph
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 32))
+    adj, dead = graph.build(x), rng.random(1500) < 0.3
+    tracemalloc.start()
+    after = graph.without(x, adj.copy(), dead)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # 256 points with 64 x 65 places for candidates of 32 numbers are 273 MB
+    assert len(after) == (~dead).sum() and after.max() < len(after) and ((after >= 0).sum(axis=1) > 0).all()
+
+
 def test_index_after_a_third_is_replaced(spark, tmp_path):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(1800, 24)).round(4)
