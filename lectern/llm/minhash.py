@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -166,7 +166,7 @@ def links(sig: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame
     A bucket's documents are compared with one of them, its hub, and not with each other: edges are a
     star. A document that its hub does not confirm may still be like another one: the documents of buckets whose hub
     did not confirm all others are then compared across components by exact prefix filtering, so no link is lost to
-    the stars.
+    the stars: first with one document for each early shingle, and then, across the components that this leaves, with all.
     """
     least = sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     unique = sig.join(least.select("id"), sig["doc_id"] == F.col("id"), "left_semi")
@@ -190,48 +190,87 @@ def links(sig: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame
     left = written(by_key(rest, open_).select("d").distinct())
     if left.limit(1).count() == 0:
         return found
-    more = overlapping(left, sets, connected_components(found), percent).join(pairs, ["a", "b"], "left_anti")
-    return written(found.union(confirm(written(more), sets, percent)))
+    early = written(early_shingles(left, sets, connected_components(found), percent))
+    stars = written(hubs_met(early, percent).join(pairs, ["a", "b"], "left_anti"))
+    near = written(confirm(stars, sets, percent))
+    more = across(merged(early, near), percent).join(pairs.union(stars), ["a", "b"], "left_anti")
+    return written(found.union(near).union(confirm(written(more), sets, percent)))
 
 
-def overlapping(ids: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the documents ``ids(d)`` that lie in different components and can be similar enough.
+def early_shingles(ids: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """(d, n, s, room, c): the shingles s that come early enough in the documents ``ids(d)``, of size n and class c, to be the first that two similar ones share.
 
     Exact prefix filtering: with shingles in order of rarity among these documents, two sets of the wanted similarity
     share a shingle so early in both that the rest can still make up the overlap needed. Variants of one text,
-    each with changes of its own, begin with shingles that no other has, and meet nobody.
+    each with changes of its own, begin with shingles that no other has, and meet nobody. What is left of d from s on,
+    at most shared in full, is enough for a document of size m only if ``room`` >= percent * m.
     """
     mine = by_ids(sets, ids.select(F.col("d").alias("id")), "doc_id", keep=True).select(F.col("doc_id").alias("d"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = mine.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     shared = mine.join(counts, "s")
     w = W.partitionBy("d").orderBy("df", "s")
     place = F.row_number().over(w) + F.col("n") - F.count("*").over(W.partitionBy("d"))  # shingles of its own come first
-    early = shared.withColumn("p", place).where(100 * (F.col("p") - 1) <= (100 - percent) * F.col("n")).select("d", "n", "s", "p")
-    early = written(early.join(component.withColumnRenamed("id", "d"), "d", "left").select("d", "n", "s", "p", F.coalesce("component", "d").alias("c")))
-    x, y = early.select("s", "c", "d", "n", "p"), early.select("s", F.col("c").alias("c2"), F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
-    most = 1 + F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2"))
-    can = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))
-    met = classes_met(early, percent).join(x, ["s", "c"]).where((100 * F.col("n") >= percent * F.col("lo2")) & (percent * F.col("n") <= 100 * F.col("hi2")) & ((100 + percent) * (1 + F.col("n") - F.col("p")) >= percent * (F.col("n") + F.col("lo2"))))
-    return met.join(y, ["s", "c2"]).where(can).select(F.least("d", "d2").alias("a"), F.greatest("d", "d2").alias("b")).distinct()
+    early = shared.withColumn("p", place).where(100 * (F.col("p") - 1) <= (100 - percent) * F.col("n"))
+    room = (100 + percent) * (1 + F.col("n") - F.col("p")) - percent * F.col("n")
+    return early.withColumn("room", room).join(component.withColumnRenamed("id", "d"), "d", "left").select("d", "n", "s", "room", F.coalesce("component", "d").alias("c"))
+
+
+def similar_by(n: str, room: str, n2: str, room2: str, percent: int) -> Column:
+    """Whether two documents can be similar by their sizes and by the rooms that a shingle leaves them."""
+    sizes = 100 * F.least(n, n2) >= percent * F.greatest(n, n2)
+    return sizes & (F.col(room) >= percent * F.col(n2)) & (F.col(room2) >= percent * F.col(n))
+
+
+def hubs_met(early: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a document of ``early`` and the one with most room at a shingle of both, if their classes differ: at most one for each row."""
+    hubs = early.groupBy("s").agg(F.max_by(F.struct("d", "n", "room", "c"), F.struct("room", -F.col("d"))).alias("h"), F.count("*").alias("k")).where("k > 1")
+    hubs = written(hubs.select("s", *[F.col(f"h.{k}").alias(f"{k}2") for k in ("d", "n", "room", "c")]))
+    met = by_key(early, hubs, "s").where((F.col("c") != F.col("c2")) & similar_by("n", "room", "n2", "room2", percent))
+    return met.select(F.least("d", "d2").alias("a"), F.greatest("d", "d2").alias("b")).distinct()
+
+
+def merged(early: DataFrame, links: DataFrame) -> DataFrame:
+    """``early`` with the classes that the ``links`` (a, b) between its documents make of its classes."""
+    of = early.select("d", "c").distinct()
+    edges = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    component = connected_components(edges).withColumnRenamed("id", "c")
+    return written(early.join(component, "c", "left").select("d", "n", "s", "room", F.coalesce("component", "c").alias("c")))
+
+
+def overlapping(ids: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the documents ``ids(d)`` that lie in different components and can be similar enough."""
+    return across(written(early_shingles(ids, sets, component, percent)), percent)
+
+
+def across(early: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the documents of ``early`` that lie in different classes and can be similar by a shingle.
+
+    Documents of the class with fewer of them go to a class in which one may have room for them, and meet the documents there that do.
+    """
+    x, y = early, early.select("s", *[F.col(k).alias(f"{k}2") for k in ("c", "d", "n", "room")])
+    fits = (100 * F.col("n") >= percent * F.col("lo2")) & (percent * F.col("n") <= 100 * F.col("hi2")) & (F.col("room") >= percent * F.col("lo2")) & (F.col("most2") >= percent * F.col("n"))
+    met = classes_met(early, percent).join(x, ["s", "c"]).where(fits).select("s", "c2", "d", "n", "room")
+    return met.join(y, ["s", "c2"]).where(similar_by("n", "room", "n2", "room2", percent)).select(F.least("d", "d2").alias("a"), F.greatest("d", "d2").alias("b")).distinct()
 
 
 def classes_met(early: DataFrame, percent: int) -> DataFrame:
-    """(s, c, c2, lo2, hi2): pairs c < c2 of classes that can hold similar documents by the shingle s of ``early`` (d, n, s, p, c), with the sizes of c2.
+    """(s, c, c2, lo2, hi2, most2): pairs of classes that can hold similar documents by the shingle s of ``early``, with the sizes and the most room in c2.
 
-    Documents of one class never meet. Of two similar ones the smaller has s within the shorter prefix (``fit``) that twice its own size
-    allows, so a shingle that nobody has as early pairs nobody. A shingle of many classes is dealt by pairs of blocks of CLASSES_MET of them.
+    Documents of one class never meet; c has no more documents with s than c2. Of two similar ones the smaller has room for its own size (``fit``),
+    so a shingle that nobody has as early pairs nobody. A shingle of many classes is dealt by pairs of blocks of CLASSES_MET of them.
     """
-    fit = (100 + percent) * (1 + F.col("n") - F.col("p")) >= 2 * percent * F.col("n")
-    own = early.groupBy("s", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("p")).alias("tail"), F.max(fit).alias("fit"))
+    fit = F.col("room") >= percent * F.col("n")
+    own = early.groupBy("s", "c").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("most"), F.max(fit).alias("fit"))
     own = written(own)
     busy = own.groupBy("s").agg(F.count("*").alias("m"), F.max("fit").alias("some")).where("m > 1 and some")
     own = own.join(busy.select("s", F.ceil(F.col("m") / CLASSES_MET).cast("int").alias("parts")), "s")
     block, others = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    mine = own.select("s", "c", "lo", "hi", "tail", "fit", block.alias("i"), others.alias("j"))
-    theirs = own.select("s", *[F.col(k).alias(f"{k}2") for k in ("c", "lo", "hi", "tail", "fit")], block.alias("j"), others.alias("i"))
+    mine = own.select("s", "c", "k", "lo", "hi", "most", "fit", block.alias("i"), others.alias("j"))
+    theirs = own.select("s", *[F.col(k).alias(f"{k}2") for k in ("c", "k", "lo", "hi", "most", "fit")], block.alias("j"), others.alias("i"))
+    first = (F.col("k") < F.col("k2")) | ((F.col("k") == F.col("k2")) & (F.col("c") < F.col("c2")))
     sizes = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
-    room = (100 + percent) * (1 + F.least("tail", "tail2")) >= percent * (F.col("lo") + F.col("lo2"))
-    return mine.join(theirs, ["s", "i", "j"]).where((F.col("c") < F.col("c2")) & (F.col("fit") | F.col("fit2")) & sizes & room).select("s", "c", "c2", "lo2", "hi2")
+    rooms = (F.col("most") >= percent * F.col("lo2")) & (F.col("most2") >= percent * F.col("lo"))
+    return mine.join(theirs, ["s", "i", "j"]).where(first & (F.col("fit") | F.col("fit2")) & sizes & rooms).select("s", "c", "c2", "lo2", "hi2", "most2")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -392,6 +392,68 @@ def test_passages_that_classes_share(spark, monkeypatch, block):
         assert all(a < b and of(a) != of(b) for a, b in got)
 
 
+def execution_count(spark):
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def join_rows(spark, since, keys):
+    """Rows that each join whose keys match made in the session's executions after the first ``since``."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(since, runs.size())):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and re.search(keys, node.desc()):
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                value = next(values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows")
+                out.append(int(value.get().replace(",", "")) if value.isDefined() else 0)
+    return out
+
+
+def edited(rng, words, least, most, name):
+    """``words`` with so many replaced, no two neighbours and neither end."""
+    w = list(words)
+    for p in 1 + 2 * rng.choice(len(w) // 2 - 1, rng.integers(least, most + 1), replace=False):
+        w[p] = f"{name}x{p}"
+    return " ".join(w)
+
+
+def test_outliers_of_a_large_class(spark):
+    """Outliers for which only one short document of a large class leaves room don't meet the rest of that class."""
+    from lectern.llm import minhash
+    from lectern.llm.common import written
+
+    rng = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(150)]
+    rows = {i: edited(rng, base, 1, 3, f"n{i}") for i in range(200)} | {200: " ".join(base[:140])}
+    rows |= {i: edited(rng, base, 9, 9, f"n{i}") for i in range(300, 360)}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    table, ids = written(minhash.shingle_table(docs, 2)), docs.selectExpr("doc_id as d")
+    component = spark.createDataFrame([(i, 0) for i in rows if 0 < i <= 200], "id long, component long")
+    since = execution_count(spark)
+    got = {tuple(r) for r in minhash.overlapping(ids, table, component, 80).collect()}
+    sets = {i: shingles(t, 2) for i, t in rows.items()}
+    of = lambda i: 0 if i <= 200 else i
+    assert {(a, b) for a in sets for b in sets if a < b and of(a) != of(b) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])} <= got
+    made = join_rows(spark, since, r"\[s#\d+L?, c")
+    assert len(made) >= 2 and 0 < max(made) <= 2 * len(rows)
+
+
+def test_many_variants_make_few_rows(spark):
+    """Variants whose bands' hubs are far from them meet the one with fewest changes, and not each other."""
+    from lectern.llm.minhash import near_duplicates
+
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = {i: edited(rng, base, 1, 11, f"n{i}") for i in range(300)} | {400: " ".join(base)}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    since = execution_count(spark)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, 2).collect()}
+    assert got == classes(rows, 2)
+    made = join_rows(spark, since, r"\[s#\d+L?, [ci]")
+    assert len(made) >= 3 and max(made) <= len(rows)
+
+
 def test_packing(spark, duck):
     from lectern.llm.queries import QUERIES
 
