@@ -176,6 +176,14 @@ def test_modes_share_candidates(spark):
         assert want and sorted(tuple(r)[1:] for r in got if r.variant == mode) == want, mode
 
 
+def test_modes_search_by_whole_queries(spark):
+    """The word that finds stands beyond the thousandth character."""
+    c = V.embed_passages(spark.createDataFrame([(i, i, 0, t) for i, t in enumerate(["amber moss", "quiet harbour", "slow comet"])], "chunk_id long, document_id long, ordinal int, text string"))
+    q = V.embed_queries(spark.createDataFrame([(1, "unheard " * 130 + "harbour")], "query_id long, query string"), prefix="")
+    hits = R.search_modes(q, c, limit=10).where("keyword_rank is not null").select("variant", "chunk_id").collect()
+    assert {tuple(h) for h in hits} == {("vector", 1), ("keyword", 1), ("hybrid", 1)}
+
+
 def test_second_leg_reads_each_vector_once(spark, monkeypatch):
     """Not a row for each pair of a query and a passage of its label."""
     from lectern.plans import q_retrieval
