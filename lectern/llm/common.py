@@ -47,13 +47,13 @@ def mix64(x):
 MAX_BROADCAST_IDS = 500_000
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, column: str, keep: bool) -> DataFrame:
-    """Rows whose ``column`` is (keep) or is not (not keep) among ``ids(id)``, which are distinct and written.
+def by_ids(rows: DataFrame, ids: DataFrame, column: str, keep: bool, most: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """Rows whose ``column`` is (keep) or is not (not keep) among ``ids(id)``, which are distinct and written, and broadcast if they are ``most`` at most.
 
     A null is never among them.
     """
-    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, rows[column] == ids["id"], "left_semi" if keep else "left_anti")
+    few = ids.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(ids) if few else ids.hint("merge"), rows[column] == ids["id"], "left_semi" if keep else "left_anti")
 
 
 def one_per_id(docs: DataFrame, column: str = "doc_id") -> DataFrame:

@@ -24,13 +24,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     digest = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     state = tuple(e.agg(*digest).first())
     n = max(1, -(-state[0] // EDGES_PER_TASK))  # few edges don't need many tasks; a round never makes more of them
+    kept = lambda low: low.hint("merge") if n > 1 else low  # noqa: E731  # many minima don't go to the driver, however small their file
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(n)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(kept(low), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.coalesce(n).distinct().coalesce(n)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(kept(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
                     .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).coalesce(n).distinct().coalesce(n))
         before, state = state, tuple(e.agg(*digest).first())

@@ -10,10 +10,13 @@ from pyspark.sql import Window as W
 
 from lectern.llm.common import by_ids, mix64, one_per_id, read_table, words_of, written
 from lectern.llm.components import connected_components
+from lectern.operators.joins import among, key_bits
 
 BANDS, ROWS = 40, 6  # two sets at similarity 0.8 share no band with probability (1 - 0.8^6)^40 = 5e-6
 MAX_KEPT = 300_000
 SALTS, MAX_BROADCAST_KEYS = 16, 50_000
+#: Ids up to which they are broadcast (some 80 bytes each in the driver), and bits that go to tasks in place of more ids (8 MB, whatever their number).
+MAX_IDS, WANTED_BITS = 65_536, 1 << 26
 CLASSES_MET = 2_048  # classes in a block of those that a shingle brings together
 
 
@@ -122,14 +125,16 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def shingle_table(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles array<long>), in full."""
+def shingle_table(docs: DataFrame, size: int, bits=None) -> DataFrame:
+    """(doc_id, shingles array<long>), in full; with broadcast ``bits`` (of ``key_bits``) only of documents whose ids, not null, have theirs."""
 
     def sets(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(among(bits.value, batch.column(0).to_numpy())))
             out = [shingle_set(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
@@ -138,10 +143,28 @@ def shingle_table(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sets, "doc_id long, shingles array<long>")
 
 
+def unsent(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join that doesn't send them through the driver if they are more than MAX_IDS; the size of a file, by which Spark decides, tells little of the rows made of it."""
+    return rows.hint("merge") if rows.limit(MAX_IDS + 1).count() > MAX_IDS else rows
+
+
+def wanted_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles) of the written, distinct ids ``wanted(id)``, one row each.
+
+    Few ids are broadcast. Of more, tasks have WANTED_BITS: other documents are passed over where they lie, and those of an id with another one's bit go in the join, which moves no texts.
+    """
+    if wanted.limit(MAX_IDS + 1).count() <= MAX_IDS:
+        return shingle_table(by_ids(docs, wanted, "doc_id", keep=True), size).dropDuplicates(["doc_id"])
+    bits = docs.sparkSession.sparkContext.broadcast(key_bits(wanted.select(F.col("id").alias("key")), WANTED_BITS))
+    return by_ids(shingle_table(docs, size, bits), wanted, "doc_id", keep=True, most=0).dropDuplicates(["doc_id"])
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    mine = by_ids(sets, ids, "doc_id", keep=True)
+    few = ids.limit(MAX_IDS + 1).count() <= MAX_IDS
+    # the joins with pairs leave other sets out, too
+    mine = by_ids(sets, ids, "doc_id", keep=True) if few else sets.hint("merge")
     both = (pairs.join(mine.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
             .join(mine.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -156,7 +179,8 @@ def by_key(rows: DataFrame, keys: DataFrame, column: str = "key", spread: str =
     """
     if keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
         return rows.join(F.broadcast(keys), column, how)
-    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # by the size of their file, SALTS times as many rows would be taken for few
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [column, "salt"], how).drop("salt")
 
 
@@ -181,9 +205,9 @@ def links(sig: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame
     # texts are read again only for documents that share a bucket with one of their size
     rest = met.where("c > 2")
     wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(rest.select("d")).distinct())
-    sets = written(shingle_table(by_ids(docs, wanted, "doc_id", keep=True), size).dropDuplicates(["doc_id"]))
+    sets = written(wanted_sets(docs, wanted, size))
     found = written(confirm(pairs, sets, percent))
-    ok = found.select("a", "b", F.lit(True).alias("ok"))
+    ok = unsent(found.select("a", "b", F.lit(True).alias("ok")))
     rest = rest.select("key", "d", "n", *pair).join(ok, ["a", "b"], "left")
     rest = written(rest.select("key", "d", "ok"))
     open_ = written(rest.where("ok is null").select("key").distinct())
@@ -205,14 +229,14 @@ def early_shingles(ids: DataFrame, sets: DataFrame, component: DataFrame, percen
     each with changes of its own, begin with shingles that no other has, and meet nobody. What is left of d from s on,
     at most shared in full, is enough for a document of size m only if ``room`` >= percent * m.
     """
-    mine = by_ids(sets, ids.select(F.col("d").alias("id")), "doc_id", keep=True).select(F.col("doc_id").alias("d"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    mine = by_ids(sets, ids.select(F.col("d").alias("id")), "doc_id", keep=True, most=MAX_IDS).select(F.col("doc_id").alias("d"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = mine.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     shared = mine.join(counts, "s")
     w = W.partitionBy("d").orderBy("df", "s")
     place = F.row_number().over(w) + F.col("n") - F.count("*").over(W.partitionBy("d"))  # shingles of its own come first
     early = shared.withColumn("p", place).where(100 * (F.col("p") - 1) <= (100 - percent) * F.col("n"))
     room = (100 + percent) * (1 + F.col("n") - F.col("p")) - percent * F.col("n")
-    return early.withColumn("room", room).join(component.withColumnRenamed("id", "d"), "d", "left").select("d", "n", "s", "room", F.coalesce("component", "d").alias("c"))
+    return early.withColumn("room", room).join(unsent(component.withColumnRenamed("id", "d")), "d", "left").select("d", "n", "s", "room", F.coalesce("component", "d").alias("c"))
 
 
 def similar_by(n: str, room: str, n2: str, room2: str, percent: int) -> Column:
@@ -247,6 +271,7 @@ def across(early: DataFrame, percent: int) -> DataFrame:
 
     Documents of the class with fewer of them go to a class in which one may have room for them, and meet the documents there that do.
     """
+    early = unsent(early)
     x, y = early, early.select("s", *[F.col(k).alias(f"{k}2") for k in ("c", "d", "n", "room")])
     fits = (100 * F.col("n") >= percent * F.col("lo2")) & (percent * F.col("n") <= 100 * F.col("hi2")) & (F.col("room") >= percent * F.col("lo2")) & (F.col("most2") >= percent * F.col("n"))
     met = classes_met(early, percent).join(x, ["s", "c"]).where(fits).select("s", "c2", "d", "n", "room")
@@ -270,7 +295,7 @@ def classes_met(early: DataFrame, percent: int) -> DataFrame:
     first = (F.col("k") < F.col("k2")) | ((F.col("k") == F.col("k2")) & (F.col("c") < F.col("c2")))
     sizes = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
     rooms = (F.col("most") >= percent * F.col("lo2")) & (F.col("most2") >= percent * F.col("lo"))
-    return mine.join(theirs, ["s", "i", "j"]).where(first & (F.col("fit") | F.col("fit2")) & sizes & rooms).select("s", "c", "c2", "lo2", "hi2", "most2")
+    return mine.join(unsent(theirs), ["s", "i", "j"]).where(first & (F.col("fit") | F.col("fit2")) & sizes & rooms).select("s", "c", "c2", "lo2", "hi2", "most2")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -287,7 +312,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     edges = links(named, docs.where("doc_id is not null"), size, percent)
     component = connected_components(edges)
     least = named.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = written(least.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")))
+    classes = written(least.join(unsent(component.withColumnRenamed("id", "rep")), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")))
     out = by_key(sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), classes, "set_key", "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))

@@ -418,6 +418,32 @@ def edited(rng, words, least, most, name):
     return " ".join(w)
 
 
+def test_many_ids_and_keys_stay_out_of_the_driver(spark, monkeypatch):
+    """Beyond their bounds neither ids nor salted keys are broadcast, however small their files; bits that two ids share take in no other document."""
+    from lectern.llm import minhash
+    from lectern.llm.common import written
+
+    rng = np.random.default_rng(13)
+    base = [f"b{i}" for i in range(90)]
+    rows = {i * 100_003: edited(rng, base, 1, 12, f"n{i}") for i in range(60)} | {7: " ".join(base), 8: None, -5: "one two"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    want = sorted(map(str, minhash.near_duplicates(docs, 2).collect()))
+    monkeypatch.setattr(minhash, "MAX_IDS", 3)
+    monkeypatch.setattr(minhash, "WANTED_BITS", 32_768)
+    monkeypatch.setattr(minhash, "MAX_BROADCAST_KEYS", 3)
+    assert sorted(map(str, minhash.near_duplicates(docs, 2).collect())) == want
+
+    ids = written(docs.where("doc_id % 2 = 0").selectExpr("doc_id as id"))
+    sets = minhash.wanted_sets(docs, ids, 2)
+    got = {r.doc_id: {x for x in r.shingles} for r in sets.collect()}
+    assert got == {r.doc_id: set(r.shingles) for r in minhash.shingle_table(docs, 2).collect() if r.doc_id % 2 == 0}
+    keyed = minhash.by_key(docs.selectExpr("doc_id as key", "doc_id as d"), written(ids.selectExpr("id as key", "id as x")))
+    pairs = spark.createDataFrame([(0, 200_006), (200_006, 400_012), (400_012, 600_018)], "a long, b long")
+    early = written(minhash.early_shingles(docs.selectExpr("doc_id as d"), written(minhash.shingle_table(docs, 2)), pairs.selectExpr("a as id", "b as component"), 80))
+    for df in (sets, keyed, minhash.confirm(pairs, written(sets), 50), minhash.unsent(early).join(early, "s")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_outliers_of_a_large_class(spark):
     """Outliers for which only one short document of a large class leaves room don't meet the rest of that class."""
     from lectern.llm import minhash
