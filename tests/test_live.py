@@ -335,6 +335,23 @@ def test_quotes_of_three_words_are_sought_by_all_of_them(spark, monkeypatch):
     assert max(n for columns, n in most if "of" in columns) <= 3000 < 300 * 300
 
 
+def test_quotes_are_candidates_where_all_their_keys_are(spark, monkeypatch):
+    """Passages that have one key of a quotation each are no candidates; a passage longer than an Arrow batch is one passage."""
+    monkeypatch.setattr(quotes, "MAX_BROADCAST_ROWS", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    rows = spark.range(200).select(F.col("id").alias("passage_id"), F.concat(F.repeat(F.lit("filler of the page "), 30), F.when(F.col("id") % 2 == 0, "the green door stood").otherwise("the small key turned"), F.format_string(" in w%d x%d y%d", "id", "id", "id")).alias("text"))
+    passages = rows.unionByName(spark.createDataFrame([(900, "so the green door stood open and the small key turned"), (None, "the green door stood where the small key turned")], "passage_id long, text string"))
+    answers = spark.createDataFrame([(1, '"the green door stood ... the small key turned"')], "answer_id long, text string")
+    most, plain = [], quotes.written
+    monkeypatch.setattr(quotes, "written", lambda df: most.append((df.columns, (w := plain(df)).count())) or w)
+    try:
+        got = quotes.check_library_quotes(answers, passages).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.verified, r.passages, r.first_passage) for r in got] == [(True, 1, 900)]
+    assert [n for columns, n in most if "of" in columns] == [1, 1] and ["passage_id", "keys"] in [columns for columns, _ in most]
+
+
 def plain_covers(places):
     """(begin, end) by trying: the shortest stretch of places from each start that holds all parts, if none of the stretches inside it does."""
     parts, out = {p for _, p, _ in places}, []
