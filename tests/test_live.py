@@ -89,6 +89,25 @@ def test_ingest_from_files(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[1], r.reason) for r in rejects] == [("c.pdf", "wrong magic bytes")]
 
 
+def test_small_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """A scan that has a partition for each file is no batch with a task and a written file for each."""
+    monkeypatch.setattr(jobs, "LOOKUPS", 1)
+    monkeypatch.setattr(jobs, "PARTITIONS_READ", 5, raising=False)
+    (tmp_path / "inbox").mkdir()
+    for i in range(40):
+        (tmp_path / "inbox" / f"{i}.txt").write_text(f"no pdf {i}")
+    lookups, size = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(lookups)
+    spark.conf.set(size, "4m")
+    try:
+        jobs.ingest_files(spark, f"{tmp_path}/inbox", f"{tmp_path}/out", f"{tmp_path}/check", F.xxhash64("path")).awaitTermination()
+    finally:
+        spark.conf.unset(size)
+        spark.conf.set(lookups, before)
+    assert spark.read.parquet(f"{tmp_path}/out/rejects").distinct().count() == 40
+    assert len(list(tmp_path.glob("out/rejects/batch=0/part-*"))) <= 8
+
+
 def test_files_lie_in_few_folders_and_a_batch_is_met_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "FOLDER_FILES", 3)
     rows = spark.createDataFrame([(f"id={i}.txt", f"{'%PDF-' if i % 2 else ''}é{i}\n".encode()) for i in range(10)], "name string, body binary").coalesce(1)
