@@ -176,6 +176,17 @@ def test_modes_share_candidates(spark):
         assert want and sorted(tuple(r)[1:] for r in got if r.variant == mode) == want, mode
 
 
+def test_index_search_meets_the_postings_once(spark, monkeypatch):
+    """The search through the index and the exact one have one keyword leg; edges chosen in single precision find what they should."""
+    from lectern.operators import rank
+    from lectern.plans import q_retrieval
+
+    calls, plain = [], rank.keyword.matches_of
+    monkeypatch.setattr(rank.keyword, "matches_of", lambda *a: calls.append(1) or plain(*a))
+    got = q_retrieval.Q["h6_index_search"](spark, "/root/testdata/sf0.001").collect()
+    assert [r.enough for r in got] == [True] and got[0].n > 100 and calls == [1]
+
+
 def test_modes_search_by_whole_queries(spark):
     """The word that finds stands beyond the thousandth character."""
     c = V.embed_passages(spark.createDataFrame([(i, i, 0, t) for i, t in enumerate(["amber moss", "quiet harbour", "slow comet"])], "chunk_id long, document_id long, ordinal int, text string"))
